@@ -1,11 +1,13 @@
 """Queries and oracle SQL of the training-data operators, for ``__spark_entry__``."""
 
-from . import bpe, langid, mixing, warc
+from . import ann, bpe, langid, mixing, topk, warc
 
 
 def queries() -> dict:
     return {
+        "op1_exact_topk": topk.op1_exact_topk,
         "op3_bpe_codec": bpe.op3_bpe_codec,
+        "op4_ann_graph": ann.op4_ann_graph,
         "op7_mix_sources": mixing.op7_mix_sources,
         "op9_language_id": langid.op9_language_id,
         "op10_warc": warc.op10_warc,
@@ -13,4 +15,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op7_mix_sources": mixing.ORACLE, "op10_warc": warc.ORACLE}
+    return {"op1_exact_topk": topk.ORACLE, "op7_mix_sources": mixing.ORACLE, "op10_warc": warc.ORACLE}
