@@ -234,7 +234,7 @@ def _reader(with_payload: bool):
     cols = [c.split()[0] for c in RECORD_SCHEMA.split(", ")]
 
     def frame(rows):
-        f = pd.DataFrame(rows, columns=cols)
+        f = pd.DataFrame(rows, columns=cols, dtype=object)
         for c in ("page_id", "refers_to", "payload_bytes", "offset", "length"):
             f[c] = pd.array(f[c].tolist(), dtype="Int64")
         return f
