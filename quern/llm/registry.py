@@ -1,6 +1,6 @@
 """Queries and oracle SQL of the training-data operators, for ``__spark_entry__``."""
 
-from . import ann, bpe, jaccard, langid, mixing, suffix_dedup, topk, warc
+from . import ann, bpe, jaccard, langid, mixing, suffix_dedup, tokenfile, topk, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
         "op6_jaccard_join": jaccard.op6_jaccard_join,
         "op7_mix_sources": mixing.op7_mix_sources,
+        "op8_token_files": tokenfile.op8_token_files,
         "op9_language_id": langid.op9_language_id,
         "op10_warc": warc.op10_warc,
     }
