@@ -1,11 +1,12 @@
 """Queries and oracle SQL of the training-data operators, for ``__spark_entry__``."""
 
-from . import ann, bpe, jaccard, langid, mixing, suffix_dedup, tokenfile, topk, warc
+from . import ann, bpe, jaccard, langid, mixing, quality, suffix_dedup, tokenfile, topk, warc
 
 
 def queries() -> dict:
     return {
         "op1_exact_topk": topk.op1_exact_topk,
+        "op2_quality_classifier": quality.op2_quality_classifier,
         "op3_bpe_codec": bpe.op3_bpe_codec,
         "op4_ann_graph": ann.op4_ann_graph,
         "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,

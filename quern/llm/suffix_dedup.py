@@ -284,30 +284,34 @@ def _cut(data: bytes, spans) -> tuple[bytes, int]:
     return b"".join(out), count
 
 
-def dedup_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def dedup_passages(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
     """docs with kept (binary), n_bytes, n_removed, n_spans.
 
+    with_text gives kept_text instead of kept, without characters that are cut in part.
+
     Every byte is removed that a string of `length` bytes covers which also starts
     anywhere else in any text. Strings are judged on the input. A null text counts as
     empty; texts shorter than `length` are kept whole; repeated rows remove each other.
     Columns of these names are replaced, others kept.
     """
-    data = docs.drop("kept", "n_bytes", "n_removed", "n_spans")
+    kind = "kept_text string" if with_text else "kept binary"
+    name = kind.split()[0]
+    data = docs.drop(name, "n_bytes", "n_removed", "n_spans")
     keyed = data.withColumn("key", F.xxhash64(F.col("doc_id"), F.col("text")))
     spans = repeated_spans(keyed.where("text is not null").select("key", "text"), length)
 
-    @F.pandas_udf("kept binary, n_bytes long, n_removed long, n_spans long")
+    @F.pandas_udf(f"{kind}, n_bytes long, n_removed long, n_spans long")
     def cut(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
         rows = []
         for text, s in zip(texts, found, strict=True):
             raw = (text or "").encode()
             kept, n = _cut(raw, s) if s is not None else (raw, 0)
-            rows.append((kept, len(raw), len(raw) - len(kept), n))
-        return pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans"])
+            rows.append((kept.decode("utf-8", "ignore") if with_text else kept, len(raw), len(raw) - len(kept), n))
+        return pd.DataFrame(rows, columns=[name, "n_bytes", "n_removed", "n_spans"])
 
     both = keyed.join(spans.withColumnRenamed("key", "key2"), F.col("key") == F.col("key2"), "left")
     both = both.withColumn("_cut", cut(F.col("text").cast("string"), "spans"))
-    return both.select(*data.columns, "_cut.kept", "_cut.n_bytes", "_cut.n_removed", "_cut.n_spans")
+    return both.select(*data.columns, f"_cut.{name}", "_cut.n_bytes", "_cut.n_removed", "_cut.n_spans")
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, scratch_path, shuffle_parts
+from .common import make_folder, read_table, scratch_path, shuffle_parts
 
 MAGIC = b"QTOK0001"
 BLOCK = 4096
@@ -372,8 +372,6 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame, with_ids:
 
 
 def op8_token_files(spark, sf_dir: str) -> DataFrame:
-    folder = scratch_path(spark, "tokens")
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    folder = make_folder(spark, scratch_path(spark, "tokens"))
     manifest = write_tokens(read_table(spark, sf_dir, "documents"), folder)
     return read_tokens(spark, folder, manifest)

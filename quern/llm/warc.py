@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, scratch_path, shuffle_parts
+from .common import make_folder, read_table, scratch_path, shuffle_parts
 
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 DATE = "2020-01-01T00:00:00Z"
@@ -269,8 +269,7 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = False) -> D
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
-    folder = scratch_path(spark, "warc")
-    spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(folder))
+    folder = make_folder(spark, scratch_path(spark, "warc"))
     write_warc(read_table(spark, sf_dir, "pages"), folder)
     return read_warc(spark, folder).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
