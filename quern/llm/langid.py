@@ -16,19 +16,21 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, read_table
 
-#: Training rows of a language, at most; the rows with the smallest md5 of their id are taken.
+#: Bound on the training rows of a language; those with a small md5 of their id are taken.
 TRAIN_ROWS = 3000
 EM_ROUNDS = 2
 SMOOTH = 0.1
 MAX_PIECE = 12
 #: Words longer than this are passed through in rescaled steps, not in a batch.
 BATCH_CHARS = 40
-MEMO_SIZE = 1_500_000
+MEMO_SIZE = 1_000_000
+#: Characters of the texts whose new words are scored together.
+BATCH_TEXT = 4 << 20
 WORDS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 
@@ -45,20 +47,57 @@ def load_pieces(name: str) -> dict[str, int]:
     return {x: i + 1 for i, x in enumerate(pieces)}
 
 
-def piece_ids(words: list[str], pieces: dict[str, int]) -> np.ndarray:
-    """(word, end, length) -> piece; 0: none. Single letters that are no piece get the unknown piece, the last id."""
-    n, unknown, get = max(map(len, words)), len(pieces) + 1, pieces.get
-    out = np.zeros((len(words), n + 1, MAX_PIECE + 1), np.int32)
-    for k, w in enumerate(words):
-        row = out[k]
-        for e in range(1, len(w) + 1):
-            for s in range(max(0, e - MAX_PIECE), e):
-                i = get(w[s:e])
-                if i:
-                    row[e, e - s] = i
-            if not row[e, 1]:
-                row[e, 1] = unknown
-    return out
+class PieceTable:
+    """Sorted hashes of all prefixes of all pieces, with the piece that a prefix is, or 0."""
+
+    def __init__(self, pieces: dict[str, int]):
+        found: dict[str, int] = {}
+        for x, i in pieces.items():
+            for k in range(1, len(x)):
+                found.setdefault(x[:k], 0)
+            found[x] = i
+        hashes = np.array([self.of(x) for x in found], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.piece = hashes[order], np.array(list(found.values()), np.int32)[order]
+        self.unknown = len(pieces) + 1
+
+    BASE = 0x9E3779B97F4A7C15
+
+    @classmethod
+    def of(cls, x: str) -> int:
+        h = 0
+        for c in x:
+            h = (h * cls.BASE + ord(c) + 1) % (1 << 64)
+        return h
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        """(word, end, length) -> piece, 0: none, for words of one length.
+
+        A letter that is no piece by itself gets the unknown piece, the last id.
+        """
+        n = len(words[0])
+        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.uint64) + np.uint64(1)
+        out = np.zeros((len(words), n + 1, MAX_PIECE + 1), np.int32)
+        row, start = (x.ravel() for x in np.indices((len(words), n)))
+        h = np.zeros(len(row), np.uint64)
+        for k in range(1, min(n, MAX_PIECE) + 1):
+            inside = start + k <= n
+            row, start, h = row[inside], start[inside], h[inside]
+            h = h * np.uint64(self.BASE) + chars[row, start + (k - 1)]
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            known = self.hashes[at] == h
+            if k == 1:
+                out[row[~known], start[~known] + 1, 1] = self.unknown
+            row, start, h, at = row[known], start[known], h[known], at[known]
+            out[row, start + k, k] = self.piece[at]
+        first = out[:, 1:, 1]
+        first[first == 0] = self.unknown
+        return out
+
+
+@lru_cache(2)
+def load_table(name: str) -> PieceTable:
+    return PieceTable(load_pieces(name))
 
 
 def forward(ids: np.ndarray, prob: np.ndarray) -> np.ndarray:
@@ -69,8 +108,9 @@ def forward(ids: np.ndarray, prob: np.ndarray) -> np.ndarray:
     for e in range(1, n + 1):
         for k in range(1, min(e, MAX_PIECE) + 1):
             col = ids[:, e, k]
-            if col.any():
-                alpha[:, e] += alpha[:, e - k] * prob[col]
+            hit = np.flatnonzero(col)
+            if len(hit):
+                alpha[hit, e] += alpha[hit, e - k] * prob[col[hit]]
     return alpha
 
 
@@ -81,8 +121,9 @@ def backward(ids: np.ndarray, prob: np.ndarray) -> np.ndarray:
     for s in range(n - 1, -1, -1):
         for k in range(1, min(n - s, MAX_PIECE) + 1):
             col = ids[:, s + k, k]
-            if col.any():
-                beta[:, s] += prob[col] * beta[:, s + k]
+            hit = np.flatnonzero(col)
+            if len(hit):
+                beta[hit, s] += prob[col[hit]] * beta[hit, s + k]
     return beta
 
 
@@ -102,7 +143,7 @@ def _long_score(word: str, pieces: dict[str, int], prob: np.ndarray) -> np.ndarr
     return shift
 
 
-def word_scores(words: list[str], pieces: dict[str, int], prob: np.ndarray) -> np.ndarray:
+def word_scores(words: list[str], pieces: dict[str, int], table: PieceTable, prob: np.ndarray) -> np.ndarray:
     """Log probabilities of words, one column for each language."""
     out = np.empty((len(words), prob.shape[1]), np.float32)
     by_len: dict[int, list[int]] = {}
@@ -114,18 +155,18 @@ def word_scores(words: list[str], pieces: dict[str, int], prob: np.ndarray) -> n
     for own in by_len.values():
         for at in range(0, len(own), 4096):
             part = own[at : at + 4096]
-            out[part] = np.log(forward(piece_ids([MARK + words[i] for i in part], pieces), prob)[:, -1])
+            out[part] = np.log(forward(table.ids([MARK + words[i] for i in part]), prob)[:, -1])
     return out
 
 
-def _fit(words: pd.DataFrame, n_langs: int, pieces: dict[str, int], prob: np.ndarray) -> pd.DataFrame:
+def _fit(words: pd.DataFrame, n_langs: int, table: PieceTable, prob: np.ndarray) -> pd.DataFrame:
     """Expected piece counts (lang, piece, n) of a batch of (lang index, word, n)."""
-    total = np.zeros((n_langs, len(pieces) + 2))
+    total = np.zeros((n_langs, table.unknown + 1))
     sizes = words.word.str.len()
     for _, own in words[sizes <= BATCH_CHARS].groupby(sizes):
         for at in range(0, len(own), 4096):
             part = own.iloc[at : at + 4096]
-            ids = piece_ids([MARK + w for w in part.word], pieces)
+            ids = table.ids([MARK + w for w in part.word])
             langs, weight = part.lang.to_numpy(), part.n.to_numpy(float)
             alpha, beta = forward(ids, prob), backward(ids, prob)
             r = np.arange(len(part))
@@ -145,29 +186,32 @@ def _fit(words: pd.DataFrame, n_langs: int, pieces: dict[str, int], prob: np.nda
 def train(labelled: DataFrame, name: str = "piece_bpe_32k.model", rows: int = TRAIN_ROWS, rounds: int = EM_ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages and their piece probabilities, from rows (doc_id, text, lang).
 
-    The sample is bounded: at most `rows` rows of a language. Texts are counted into
+    The sample is bounded by `rows` rows of a language. Texts are counted into
     words and words into expected piece counts by Spark; only the table of vocabulary
     size times languages comes to the driver.
     """
     spark = labelled.sparkSession
-    order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "text")
-    sample = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    sample = sample.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= rows)
-    words = sample.select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    words = materialize(words, "langid-words")
-    langs = sorted(r.lang for r in words.select("lang").distinct().collect())
+    usable = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    langs = sorted(sizes)
     pieces = load_pieces(name)
     prob = np.full((len(pieces) + 2, max(1, len(langs))), 1.0 / (len(pieces) + 2))
     prob[0] = 0
     if not langs:
         return [], prob
+    # an even draw by the hash of the id, nine tenths of the bound on average
+    drawn = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("double") / float(16**15)
+    part = F.create_map(*[x for c in langs for x in (F.lit(c), F.lit(1.0 if sizes[c] <= rows else 0.9 * rows / sizes[c]))])
+    sample = usable.where(drawn < part[F.col("lang")])
+    words = sample.select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    words = materialize(words, "langid-words")
     index = F.create_map(*[x for i, c in enumerate(langs) for x in (F.lit(c), F.lit(i))])
     indexed = words.select(index[F.col("lang")].alias("lang"), "word", "n")
     for _ in range(rounds):
         now = prob
 
         def count(frames, now=now):
-            own = load_pieces(name)
+            own = load_table(name)
             held = pd.concat([f for f in frames] or [pd.DataFrame({"lang": [], "word": [], "n": []})])
             held = held[held.word.map(lambda w: bool(WORDS.fullmatch(w)))]
             if len(held):
@@ -184,8 +228,8 @@ def train(labelled: DataFrame, name: str = "piece_bpe_32k.model", rows: int = TR
 class _Scorer:
     """Word scores that a worker remembers, up to MEMO_SIZE words."""
 
-    def __init__(self, key: str, pieces: dict[str, int], prob: np.ndarray):
-        self.key, self.pieces, self.prob = key, pieces, prob
+    def __init__(self, name: str, prob: np.ndarray):
+        self.pieces, self.pieces_table, self.prob = load_pieces(name), load_table(name), prob
         self.reset()
 
     def reset(self) -> None:
@@ -198,24 +242,29 @@ class _Scorer:
         start, end = len(self.index), len(self.index) + len(words)
         while end > len(self.table):
             self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        self.table[start:end] = word_scores(words, self.pieces, self.prob)
+        self.table[start:end] = word_scores(words, self.pieces, self.pieces_table, self.prob)
         self.index.update(zip(words, range(start, end)))
 
     def totals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each text for each language, and its number of words."""
-        if len(self.index) > MEMO_SIZE:
-            self.reset()
         out, sizes = np.zeros((len(texts), self.prob.shape[1])), np.zeros(len(texts), np.int64)
-        for i, x in enumerate(texts):
-            words = WORDS.findall(x.lower())
-            sizes[i] = len(words)
-            if words:
-                get = self.index.get
-                ids = [get(w, -1) for w in words]
-                if -1 in ids:
-                    self.learn(list({w for w, k in zip(words, ids) if k < 0}))
-                    ids = list(map(self.index.__getitem__, words))
-                out[i] = self.table[ids].sum(axis=0, dtype=np.float64)
+        start = 0
+        while start < len(texts):
+            # so many texts at a time that their new words make a batch
+            words, chars, end = [], 0, start
+            while end < len(texts) and (chars < BATCH_TEXT or end == start):
+                chars += len(texts[end])
+                words.append(WORDS.findall(texts[end].lower()))
+                end += 1
+            if len(self.index) > MEMO_SIZE:
+                self.reset()
+            self.learn(list({w for x in words for w in x}.difference(self.index)))
+            get = self.index.__getitem__
+            for i, x in enumerate(words, start):
+                sizes[i] = len(x)
+                if x:
+                    out[i] = self.table[list(map(get, x))].sum(axis=0, dtype=np.float64)
+            start = end
         return out, sizes
 
 
@@ -243,7 +292,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], name: str = "p
             return pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": [0.0] * len(texts)})
         if key not in _scorers:
             _scorers.clear()
-            _scorers[key] = _Scorer(key, load_pieces(name), p)
+            _scorers[key] = _Scorer(name, p)
         total, sizes = _scorers[key].totals([x or "" for x in texts])
         z = total / np.sqrt(np.maximum(sizes, 1))[:, None]
         z = np.exp(z - z.max(axis=1, keepdims=True))

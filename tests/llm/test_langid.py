@@ -27,7 +27,7 @@ def test_forward_sums_all_segmentations():
     prob = rng.random((len(pieces) + 2, 2))
     prob[0] = 0
     words = ["abab", "baab", "azab", "a"]
-    got = langid.word_scores(words, pieces, prob)
+    got = langid.word_scores(words, pieces, langid.PieceTable(pieces), prob)
     for w, row in zip(words, got, strict=True):
         for lang in range(2):
             assert np.isclose(row[lang], np.log(brute("▁" + w, pieces, prob[:, lang], len(pieces) + 1)), rtol=1e-5)
