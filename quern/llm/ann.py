@@ -22,7 +22,7 @@ from .topk import usable
 
 SHARD_ROWS = 8192
 QUERY_BLOCK = 8192
-DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 24, 40, 72, 1.2
+DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 24, 40, 128, 1.2
 #: Nodes inserted together, and nodes of a beam expanded together.
 BATCH, EXPAND = 512, 4
 
