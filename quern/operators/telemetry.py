@@ -169,8 +169,9 @@ def interval_samples(log: DataFrame, seconds: int = 10, last: int = 500) -> Data
     t = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000 * seconds)).cast("long").alias("interval")
     marked = log.select(t, "ts", "request_id", "latency_ms", "success", "status_code")
     order = Window.orderBy("ts", "request_id")
-    recent = F.array_sort(F.collect_list(F.when(F.col("success"), F.col("latency_ms"))).over(order.rowsBetween(-(last - 1), 0)))
-    ends = marked.withColumn("recent", recent).withColumn("nth", F.row_number().over(Window.partitionBy("interval").orderBy(F.desc("ts"), F.desc("request_id")))).where("nth = 1")
+    recent = F.collect_list(F.when(F.col("success"), F.col("latency_ms"))).over(order.rowsBetween(-(last - 1), 0))
+    ends = marked.withColumn("recent", recent).withColumn("next", F.lead("interval").over(order)).where("next is null or next <> interval")
+    ends = ends.withColumn("recent", F.array_sort("recent"))
     n = F.size("recent")
     mid = lambda k: F.element_at("recent", k.cast("int"))
     p50 = F.when(n > 0, (mid(F.floor((n + 1) / 2)) + mid(F.floor((n + 2) / 2))) / 2).otherwise(0.0)
