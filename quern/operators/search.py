@@ -57,9 +57,10 @@ def score_batch(requests: DataFrame, postings: DataFrame, n_docs: DataFrame, df:
     df: (term, df), if it does not come from the same postings.
     """
     asked = query_table(requests).where("error is null").select("query_id", "mode", "n_terms", F.explode("terms").alias("term"))
+    # below the grouping that builds postings: only tokens that are asked for are counted
+    postings = postings.join(asked.select("term").distinct(), "term", "left_semi")
     hits = postings.join(asked, "term")
-    terms = asked.select("term").distinct()
-    df = I.document_frequency(postings.join(terms, "term", "left_semi")) if df is None else df
+    df = I.document_frequency(postings) if df is None else df
     stats = df.crossJoin(F.broadcast(n_docs)).select("term", F.log(F.col("n") / F.col("df")).alias("idf"))
     weighted = hits.join(stats, "term").withColumn("value", F.col("tf") * F.col("idf"))
     grouped = weighted.groupBy("query_id", "document_id").agg(
