@@ -29,8 +29,8 @@ from .common import materialize, read_table, shuffle_parts
 SHINGLE = 5
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 80
-BITS = 2048
-LEAF = 16
+#: Bits of a signature for each token, at least: of those that go between tasks, and of those in a cluster.
+SENT_BITS, CLUSTER_BITS = 2, 8
 #: Members of a group or cluster that one task compares at once.
 GROUP_LIMIT, CLUSTER_LIMIT = 20_000, 4_000
 #: A token in more than one of so many documents goes last in the order. So the list of
@@ -90,12 +90,38 @@ def set_key(tokens: np.ndarray) -> int:
     return int(_mix(np.array([total ^ _mix(np.array([other + np.uint64(len(tokens))], np.uint64))[0]], np.uint64)).view(np.int64)[0])
 
 
-def signature(tokens: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, bool)
-    bits[(tokens >> np.uint64(20)) % np.uint64(BITS)] = True
+def size_class(n: int) -> int:
+    return max(6, int(n).bit_length())
+
+
+def width(cls: int, bits: int) -> int:
+    """Signature bits for the sets of a size class, which have fewer than 2**cls tokens."""
+    return bits << cls
+
+
+def signature(tokens: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap of `size` bits, a power of two; halves of it, OR-ed, are the shorter bitmap."""
+    bits = np.zeros(size, bool)
+    bits[(tokens >> np.uint64(20)) & np.uint64(size - 1)] = True
     return np.packbits(bits)
 
 
+def shortened(bitmap: np.ndarray, size: int) -> np.ndarray:
+    while len(bitmap) * 8 > size:
+        bitmap = bitmap[: len(bitmap) // 2] | bitmap[len(bitmap) // 2 :]
+    return bitmap
+
+
+def size_classes(sizes: np.ndarray):
+    """(class, members) such that all pairs that can link meet in a class.
+
+    A class also holds the sets of the next one that are near enough in size.
+    """
+    own = np.array([size_class(n) for n in sizes.tolist()])
+    for c in np.unique(own).tolist():
+        yield c, np.flatnonzero((own == c) | ((own == c + 1) & (PERCENT * sizes <= 100 * ((1 << c) - 1))))
+
+
 def prefix(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The first tokens of which two linked sets share one: rare before common, then by hash."""
     n = len(tokens)
@@ -143,11 +169,13 @@ class SignatureTree:
     test(i, j) is true, except those that hang together already.
     """
 
-    def __init__(self, sizes: np.ndarray, bitmaps: np.ndarray):
-        first = bitmaps[:, 0] if len(bitmaps) else np.empty(0)
-        self.order = np.lexsort((first, sizes))
+    def __init__(self, sizes: np.ndarray, bitmaps: np.ndarray, members: np.ndarray | None = None):
+        """sizes of all sets, and the bitmaps of the members (all, if None) that the tree is of."""
+        members = np.arange(len(sizes)) if members is None else members
+        turn = np.lexsort((bitmaps[:, 0], sizes[members]))
+        self.order = members[turn]
         lo = hi = sizes[self.order].astype(np.int64)
-        any_ = all_ = bitmaps[self.order]
+        any_ = all_ = bitmaps[turn]
         self.levels = [(lo, hi, any_, all_)]
         while len(lo) > 1:
             if len(lo) % 2:  # an odd one stands twice
@@ -247,7 +275,8 @@ def _describe(common: np.ndarray):
                     continue
                 if len(seen) < 1_000_000:  # copies met later in this task need not say it again
                     seen.add(key)
-                rows.append((len(tokens), key, prefix(tokens, common).view(np.int64), signature(tokens).tobytes()))
+                bits = signature(tokens, width(size_class(len(tokens)), SENT_BITS))
+                rows.append((len(tokens), key, prefix(tokens, common).view(np.int64), bits.tobytes()))
             out = pd.DataFrame(rows, columns=["n", "set", "prefix", "bits"], dtype=object)
             out["set"] = pd.array(out["set"].tolist(), dtype="Int64")
             out["n"] = out["n"].astype("int64")
@@ -294,8 +323,10 @@ def _candidates(frames):
         for rows in _grouped(frames, ["token", "cell"]):
             keys = [r[2] for r in rows]
             forest = Forest(len(rows))
-            bitmaps = np.frombuffer(b"".join(bytes(r[4]) for r in rows), np.uint64).reshape(len(rows), -1)
-            SignatureTree(np.array([r[3] for r in rows]), bitmaps).links(forest, lambda i, j: True)
+            sizes = np.array([r[3] for r in rows])
+            for c, own in size_classes(sizes):
+                bitmaps = np.stack([shortened(np.frombuffer(rows[i][4], np.uint8), width(c, SENT_BITS)) for i in own.tolist()])
+                SignatureTree(sizes, bitmaps.view(np.uint64), own).links(forest, lambda i, j: True)
             yield keys, forest
 
     return _edges(joined())
@@ -312,7 +343,6 @@ def _verified(frames):
                 continue
             forest = Forest(len(keys))
             sizes = np.array([len(t) for t in tokens])
-            bitmaps = np.stack([signature(t) for t in tokens]).view(np.uint64)
 
             def test(i, j, tokens=tokens):
                 a, b = tokens[i], tokens[j]
@@ -322,7 +352,9 @@ def _verified(frames):
                 both = int((b[at] == a).sum())
                 return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
-            SignatureTree(sizes, bitmaps).links(forest, test)
+            for c, own in size_classes(sizes):
+                bitmaps = np.stack([signature(tokens[i], width(c, CLUSTER_BITS)) for i in own.tolist()])
+                SignatureTree(sizes, bitmaps.view(np.uint64), own).links(forest, test)
             yield keys, forest
 
     return _edges(joined())

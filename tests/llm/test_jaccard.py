@@ -57,14 +57,16 @@ def test_shingles_are_those_of_words():
 def test_tree_finds_all_links(seed):
     rng = np.random.default_rng(seed)
     sets = [s for s in (jc.shingles(t) for t in near_copies(rng, 150)) if len(s)]
-    sizes, bits = np.array([len(s) for s in sets]), np.stack([jc.signature(s) for s in sets]).view(np.uint64)
+    sizes = np.array([len(s) for s in sets])
     link = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))
     want, got = jc.Forest(len(sets)), jc.Forest(len(sets))
     for i in range(len(sets)):
         for j in range(i):
             if link(i, j):
                 want.join(i, j)
-    jc.SignatureTree(sizes, bits).links(got, link, step=64)
+    for c, own in jc.size_classes(sizes):
+        bits = np.stack([jc.shortened(jc.signature(sets[i], 1 << 14), jc.width(c, 2)) for i in own])
+        jc.SignatureTree(sizes, bits.view(np.uint64), own).links(got, link, step=64)
     assert got.labels().tolist() == want.labels().tolist()
 
 
