@@ -126,12 +126,12 @@ def sharded_search(requests: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def select_replicas(health: DataFrame) -> DataFrame:
     """For each shard the first replica in rank order that answers count, pinned for the query; null if none."""
+    healthy = F.when(F.col("count_ok"), F.col("replica_rank"))
     return health.groupBy("shard_id").agg(
-        F.min_by("node_id", F.when(F.col("count_ok"), F.col("replica_rank"))).alias("node_id"),
-        F.min("replica_rank").alias("_r"),
+        F.min_by("node_id", healthy).alias("node_id"),
         F.min_by("node_id", "replica_rank").alias("primary_node_id"),
-        F.min(F.when(F.col("count_ok"), F.col("replica_rank"))).alias("pinned_rank"),
-    ).select("shard_id", F.when(F.col("pinned_rank").isNotNull(), F.col("node_id")).alias("node_id"), "primary_node_id", "pinned_rank")
+        F.min(healthy).alias("pinned_rank"),
+    )
 
 
 def live_shards(health: DataFrame) -> tuple[DataFrame, DataFrame]:
