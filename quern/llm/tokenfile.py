@@ -7,8 +7,8 @@ of its code and of its ids.
 An id is predicted three ways: by the id that last followed the same two ids (order 2),
 the same id (order 1), and by the adapted frequencies of the block (order 0, by high and
 low byte). The predictions are mixed by weights that are learned for each state of
-confidence of the two and whether they agree; a 48-bit range coder codes the choice and,
-where both miss, the bytes. Blocks are independent, so a task codes all blocks of a file
+confidence of the two and whether they agree; a 64-bit range coder codes the choice and,
+where both miss, the bytes, in one step. Blocks are independent, so a task codes all blocks of a file
 side by side, one step of each at a time.
 """
 
@@ -36,7 +36,7 @@ END_ID = 2
 MEMO_SIZE = 800_000
 ONE, BITS = 4096, 12
 TABLE = 4096
-MASK, TOP, BOTTOM, WORD = (np.uint64(x) for x in ((1 << 48) - 1, 32, 1 << 20, 16))
+TOP, BOTTOM, WORD = np.uint64(48), np.uint64(1 << 40), np.uint64(16)
 #: Steps at which the byte frequencies of a block are taken anew.
 RENEW = frozenset((16, 32, 64, 128, 256, 512, 1024, 2048))
 
@@ -96,106 +96,98 @@ class Mixer:
         self.counts[1, self.base, ids & 255] += 24
 
 
+def _interval(model: Mixer, ids: np.ndarray, choice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place and width of each id in [0, 2**36): the choice, and within a miss the high and in that the low byte."""
+    high, low = ids >> 8, ids & 255
+    at, wide = model.start[0, model.base, high].astype(np.uint64), model.start[0, model.base, high + 1].astype(np.uint64)
+    wide -= at
+    at_low, wide_low = model.start[1, model.base, low].astype(np.uint64), model.start[1, model.base, low + 1].astype(np.uint64)
+    wide_low -= at_low
+    w2, w1 = model.w2.astype(np.uint64), model.w1.astype(np.uint64)
+    edge = w2 + w1
+    miss = np.uint64(ONE) - edge
+    two = np.uint64(2 * BITS)
+    start = np.where(choice == 0, np.uint64(0), np.where(choice == 1, w2 << two, (edge << two) + miss * ((at << np.uint64(BITS)) + wide * at_low)))
+    return start, np.where(choice == 0, w2 << two, np.where(choice == 1, w1 << two, miss * wide * wide_low))
+
+
+def _narrow(low, span, start, freq):
+    r = span >> np.uint64(3 * BITS)
+    low += r * start
+    np.multiply(r, freq, out=span)
+
+
+def _to_move(low, span):
+    """Lanes that can shift out a word; where only the span is short, it is cut so that they can."""
+    same = (low ^ (low + span - np.uint64(1))) >> TOP == 0
+    move = np.flatnonzero(same | (span < BOTTOM))
+    if len(move):
+        short = move[~same[move]]
+        span[short] = (~low[short] + np.uint64(1)) & (BOTTOM - np.uint64(1))
+    return move
+
+
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
     """Codes of the rows of ids (blocks, BLOCK), all below 65536."""
     n, steps = ids.shape
     model = Mixer(n)
-    low, span = np.zeros(n, np.uint64), np.full(n, MASK, np.uint64)
+    low, span = np.zeros(n, np.uint64), np.full(n, ~np.uint64(0), np.uint64)
     out, at = np.zeros((n, 4 * steps + 16), np.uint16), np.zeros(n, np.int64)
     columns = np.ascontiguousarray(ids.T.astype(np.int32))
-
-    def put(k, start, freq):
-        r = span[k] >> np.uint64(BITS)
-        lo = low[k] + r * start.astype(np.uint64)
-        sp = r * freq.astype(np.uint64)
-        while True:
-            same = (lo ^ (lo + sp)) >> TOP == 0
-            move = np.flatnonzero(same | (sp < BOTTOM))
-            if not len(move):
-                break
-            a, b = lo[move], sp[move]
-            b = np.where(same[move], b, (~a + np.uint64(1)) & (BOTTOM - np.uint64(1)))
-            lane = move if k is ALL else k[move]
-            out[lane, at[lane]] = (a >> TOP).astype(np.uint16)
-            at[lane] += 1
-            lo[move], sp[move] = (a << WORD) & MASK, b << WORD
-        low[k], span[k] = lo, sp
-
     for t in range(steps):
         if t in RENEW:
             model.renew()
         now = columns[t]
         model.predict()
         choice = np.where(now == model.id2, 0, np.where(now == model.id1, 1, 2))
-        start = np.where(choice == 0, 0, np.where(choice == 1, model.w2, model.w2 + model.w1))
-        freq = np.where(choice == 0, model.w2, np.where(choice == 1, model.w1, ONE - model.w2 - model.w1))
-        put(ALL, start, freq)
-        k = np.flatnonzero(choice == 2)
-        if len(k):
-            for part, byte in ((0, now[k] >> 8), (1, now[k] & 255)):
-                s = model.start[part, k, byte]
-                put(k, s, model.start[part, k, byte + 1] - s)
+        _narrow(low, span, *_interval(model, now, choice))
+        while len(move := _to_move(low, span)):
+            out[move, at[move]] = (low[move] >> TOP).astype(np.uint16)
+            at[move] += 1
+            low[move] <<= WORD
+            span[move] <<= WORD
         model.update(now, choice)
     lanes = np.arange(n)
-    for shift in (32, 16, 0):
+    for shift in (48, 32, 16, 0):
         out[lanes, at] = (low >> np.uint64(shift)).astype(np.uint16)
         at += 1
     return [out[i, : at[i]].astype("<u2").tobytes() for i in range(n)]
 
 
-ALL = slice(None)
-
-
 def decode_blocks(codes: list[bytes], steps: int = BLOCK) -> np.ndarray:
     n = len(codes)
     model = Mixer(n)
     words = np.zeros((n, max(map(len, codes)) // 2 + 8), np.uint64)
     for i, c in enumerate(codes):
         words[i, : len(c) // 2] = np.frombuffer(c, "<u2")
-    low, span, at = np.zeros(n, np.uint64), np.full(n, MASK, np.uint64), np.full(n, 3, np.int64)
-    code = (words[:, 0] << np.uint64(32)) | (words[:, 1] << np.uint64(16)) | words[:, 2]
+    low, span, at = np.zeros(n, np.uint64), np.full(n, ~np.uint64(0), np.uint64), np.full(n, 4, np.int64)
+    code = (words[:, 0] << np.uint64(48)) | (words[:, 1] << np.uint64(32)) | (words[:, 2] << np.uint64(16)) | words[:, 3]
     out = np.zeros((steps, n), np.int32)
-
-    def slot(k):
-        return np.minimum((code[k] - low[k]) // (span[k] >> np.uint64(BITS)), np.uint64(ONE - 1)).astype(np.int64)
-
-    def take(k, start, freq):
-        r = span[k] >> np.uint64(BITS)
-        lo, cd = low[k] + r * start.astype(np.uint64), code[k]
-        sp = r * freq.astype(np.uint64)
-        while True:
-            same = (lo ^ (lo + sp)) >> TOP == 0
-            move = np.flatnonzero(same | (sp < BOTTOM))
-            if not len(move):
-                break
-            a, b = lo[move], sp[move]
-            b = np.where(same[move], b, (~a + np.uint64(1)) & (BOTTOM - np.uint64(1)))
-            lane = move if k is ALL else k[move]
-            cd[move] = ((cd[move] << WORD) & MASK) | words[lane, np.minimum(at[lane], words.shape[1] - 1)]
-            at[lane] += 1
-            lo[move], sp[move] = (a << WORD) & MASK, b << WORD
-        low[k], span[k], code[k] = lo, sp, cd
-
+    most, two = np.uint64((1 << 3 * BITS) - 1), np.uint64(2 * BITS)
     for t in range(steps):
         if t in RENEW:
             model.renew()
         model.predict()
-        v = slot(ALL)
+        v = np.minimum((code - low) // (span >> np.uint64(3 * BITS)), most)
+        top = (v >> two).astype(np.int64)
         edge = model.w2 + model.w1
-        choice = np.where(v < model.w2, 0, np.where(v < edge, 1, 2))
-        start = np.where(choice == 0, 0, np.where(choice == 1, model.w2, edge))
-        freq = np.where(choice == 0, model.w2, np.where(choice == 1, model.w1, ONE - edge))
-        take(ALL, start, freq)
+        choice = np.where(top < model.w2, 0, np.where(top < edge, 1, 2))
         now = np.where(choice == 0, model.id2, model.id1)
         k = np.flatnonzero(choice == 2)
         if len(k):
-            whole = np.zeros(len(k), np.int32)
-            for part in (0, 1):
-                byte = model.slot_table()[part, k, slot(k)].astype(np.int64)
-                s = model.start[part, k, byte]
-                take(k, s, model.start[part, k, byte + 1] - s)
-                whole = whole * 256 + byte.astype(np.int32)
-            now[k] = whole
+            e, slots = edge[k].astype(np.uint64), model.slot_table()
+            u = (v[k] - (e << two)) // (np.uint64(ONE) - e)
+            high = slots[0, k, (u >> np.uint64(BITS)).astype(np.int64)].astype(np.int32)
+            s = model.start[0, k, high].astype(np.uint64)
+            wide = model.start[0, k, high + 1].astype(np.uint64) - s
+            low_slot = (u - (s << np.uint64(BITS))) // wide
+            now[k] = high * 256 + slots[1, k, low_slot.astype(np.int64)]
+        _narrow(low, span, *_interval(model, now, choice))
+        while len(move := _to_move(low, span)):
+            code[move] = (code[move] << WORD) | words[move, np.minimum(at[move], words.shape[1] - 1)]
+            at[move] += 1
+            low[move] <<= WORD
+            span[move] <<= WORD
         out[t] = now
         model.update(now, choice)
     return out.T
