@@ -26,8 +26,9 @@ TRAIN_ROWS = 3000
 EM_ROUNDS = 2
 SMOOTH = 0.1
 MAX_PIECE = 12
-#: Words longer than this are passed through in rescaled steps, not in a batch.
-BATCH_CHARS = 40
+#: Words longer than this are passed through in rescaled steps, as their products could
+#: become 0 in a batch.
+BATCH_CHARS = 24
 MEMO_SIZE = 1_000_000
 #: Characters of the texts whose new words are scored together.
 BATCH_TEXT = 4 << 20
@@ -293,12 +294,13 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], name: str = "p
         if key not in _scorers:
             _scorers.clear()
             _scorers[key] = _Scorer(name, p)
-        total, sizes = _scorers[key].totals([x or "" for x in texts])
+        plain = [x or "" for x in texts]
+        total, sizes = _scorers[key].totals(plain)
         z = total / np.sqrt(np.maximum(sizes, 1))[:, None]
         z = np.exp(z - z.max(axis=1, keepdims=True))
         z /= z.sum(axis=1, keepdims=True)
         best = z.argmax(axis=1)
-        known = sizes > 0
+        known = (sizes > 0) & np.array([any(map(str.isalpha, x)) for x in plain], bool)  # words also hold signs like raised digits
         return pd.DataFrame({"lang_pred": np.where(known, np.array(names, object)[best], "und"), "score": np.where(known, z[np.arange(len(z)), best], 0.0)})
 
     return kept.withColumn("_guess", guess(F.col("text").cast("string"))).select(*kept.columns, "_guess.lang_pred", "_guess.score")

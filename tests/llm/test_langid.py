@@ -43,10 +43,10 @@ def test_held_out_accuracy_and_determinism(spark, sf_dir):
 
 
 def test_nulls_no_letters_empty_training(spark):
-    df = spark.createDataFrame([(1, None, "en", 0), (2, "", "en", 0), (3, "12 !?", None, 0), (4, "the cat", "en", 0), (None, "x" * 5000, "de", 0), (5, "le chat", "fr", 0)], "doc_id long, text string, lang string, score int")
+    df = spark.createDataFrame([(1, None, "en", 0), (2, "", "en", 0), (3, "12 !?", None, 0), (4, "the cat", "en", 0), (None, "x" * 5000, "de", 0), (5, "le chat", "fr", 0), (6, "² ½", "fr", 0), (7, "漢" * 24 + " " + "語" * 90, None, 0)], "doc_id long, text string, lang string, score int")
     got = {r.doc_id: r for r in langid.predict(df, langid.train(df)).collect()}
-    assert [got[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3
+    assert [got[i].lang_pred for i in (1, 2, 3, 6)] == ["und"] * 4
     assert all(0 <= r.score <= 1 for r in got.values())
     none = langid.predict(df, langid.train(df.limit(0)))
-    assert none.where(F.col("lang_pred") == "und").count() == 6
+    assert none.where(F.col("lang_pred") == "und").count() == 8
     assert langid.predict(df.limit(0), langid.train(df)).count() == 0
