@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import make_folder, read_table, scratch_path, shuffle_parts
+from .common import make_folder, read_table, scratch_path
 
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 DATE = "2020-01-01T00:00:00Z"
@@ -124,7 +124,8 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = MIN_DEDUP_BYTES,
     written as 64-bit decimal numbers. An empty table writes no file.
     """
     spark = pages.sparkSession
-    planned = plan_records(pages, min_bytes).repartition(shuffle_parts(spark), "page_id", "payload_digest").sortWithinPartitions("page_id", "payload_digest", "url")
+    # the join has dealt the records by page already; they are not moved again
+    planned = plan_records(pages, min_bytes).sortWithinPartitions("page_id", "payload_digest", "url")
     planned = planned.withColumn("refers_to", F.col("refers_to").cast("string")).withColumn("page_id", F.col("page_id").cast("string"))
     planned = planned.select("page_id", "url", "payload", "payload_digest", "refers_to")
     manifest = planned.mapInPandas(_writer(folder, file_bytes), "file string, records long, bytes long")
