@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import hold_memo, read_table
 
 #: The longest fragment, in characters, and the number of fragments that a worker remembers.
 MEMO_CHARS, MEMO_SIZE = 48, 800_000
@@ -181,6 +181,7 @@ def encode_documents(docs: DataFrame, name: str = "byte_bpe_50k.json", pattern:
         import public_tokenizers
 
         bpe = load_bpe(public_tokenizers.path(name), pattern or public_tokenizers.PATTERN)
+        hold_memo("bpe", bpe.memo.clear)
         rows = []
         for x in texts:
             ids = bpe.encode(x or "")

@@ -11,6 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 _scratch: list[str] = []
+_memos: dict = {}
+
+
+def hold_memo(owner: str, forget) -> None:
+    """Say that an operator now remembers things in this worker; others forget theirs.
+
+    Workers go from stage to stage of a pipeline, and hold one operator's memory at a time.
+    """
+    for name in [n for n in _memos if n != owner]:
+        _memos.pop(name)()
+    _memos[owner] = forget
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table
+from .common import hold_memo, materialize, read_table
 
 #: Bound on the training rows of a language; those with a small md5 of their id are taken.
 TRAIN_ROWS = 3000
@@ -29,7 +29,7 @@ MAX_PIECE = 12
 #: Words longer than this are passed through in rescaled steps, as their products could
 #: become 0 in a batch.
 BATCH_CHARS = 24
-MEMO_SIZE = 1_000_000
+MEMO_SIZE = 700_000
 #: Characters of the texts whose new words are scored together.
 BATCH_TEXT = 4 << 20
 WORDS = re.compile(r"[^\W\d_]+")
@@ -291,6 +291,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], name: str = "p
         names, p = sent.value
         if not names:
             return pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": [0.0] * len(texts)})
+        hold_memo("langid", _scorers.clear)
         if key not in _scorers:
             _scorers.clear()
             _scorers[key] = _Scorer(name, p)

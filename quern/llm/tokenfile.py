@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import make_folder, read_table, scratch_path, shuffle_parts
+from .common import hold_memo, make_folder, read_table, scratch_path, shuffle_parts
 
 MAGIC = b"QTOK0001"
 BLOCK = 4096
@@ -286,6 +286,7 @@ def _writer(folder: str, name: str, end_id: int, file_ids: int):
         store, base = pafs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         encoder, pid, seq = load_encoder(name), TaskContext.get().partitionId(), 0
+        hold_memo("tokenfile", encoder.memo.clear)
         docs, lengths, parts, size = [], [], [], 0
         end = end_id.to_bytes(2, "little")
 
