@@ -178,41 +178,84 @@ def parse_record(raw: bytes, at: int = 0) -> tuple[dict, int]:
     return rec, end + 8 + length
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at a place, and where it ends."""
+def _inflate(data: bytes, at: int, step: int, stop: int) -> tuple[list[bytes], int, int, str | None]:
+    """(content, end of the last piece that was read, end of the member, error) of the gzip member at a place.
+
+    Pieces of step bytes are read, and from stop on single bytes.
+    """
     z, view, raw, end = zlib.decompressobj(31), memoryview(data), [], at
     try:
         while not z.eof and end < len(data):
-            piece = view[end : end + (1 << 16)]
+            piece = view[end : end + (step if end < stop else 1)]
             raw.append(z.decompress(piece))
             end += len(piece)
     except zlib.error as e:
-        raise ValueError(f"gzip: {e}") from None
-    if not z.eof:
-        raise ValueError("gzip: cut short")
-    return b"".join(raw), end - len(z.unused_data)
+        return raw, end, end, f"gzip: {e}"
+    return raw, end, end - len(z.unused_data), None if z.eof else "gzip: cut short"
+
+
+def _member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """The content of the gzip member at a place, where it ends, and the error that ended it before.
+
+    Content before an error is returned up to the byte that the error was found at.
+    """
+    raw, last, end, error = _inflate(data, at, 1 << 16, len(data))
+    if error and last < len(data):
+        raw, _, end, error = _inflate(data, at, 1 << 16, last)
+    return b"".join(raw), end, error
+
+
+def _content(raw: bytes, error: str | None) -> tuple[list[tuple], str | None]:
+    """Records and gaps of the content of a member, as (kind, record or reason), and the first failed check.
+
+    The bytes up to a cut are as they were written. Where gzip fails another check, the
+    damage must show in a record; if none fails, it is in a header, which no digest covers,
+    and no record of the member can be taken for right.
+    """
+    found, p, gap, why, first, shown = [], 0, None, "", None, False
+    while p < len(raw):
+        try:
+            rec, end = parse_record(raw, p)
+        except ValueError as e:
+            if gap is None:
+                gap, why, first = p, str(e), first or str(e)
+            shown = shown or raw.startswith(VERSION, p)
+            p = raw.find(VERSION, p + 1)
+            p = len(raw) if p < 0 else p
+            continue
+        if gap is not None:
+            found.append(("gap", f"bytes {gap} to {p} of the member: {why}"))
+            gap = None
+        found.append(("record", rec))
+        p = end
+    if gap is not None or error:
+        found.append(("gap", f"bytes {len(raw) if gap is None else gap} on of the member: {error or why}"))
+    if error not in (None, "gzip: cut short") and not shown:
+        return [], error
+    return found, error or first
 
 
 def salvage(data: bytes):
     """Yield (kind, offset, length, record or reason) for the records and gaps of an archive.
 
     Works on gzip members and on plain records, also mixed. Bytes that belong to no
-    valid record come back as gaps; together both cover the whole archive.
+    valid record come back as gaps; together both cover the whole archive. Records and
+    gaps inside a member have the place of the member; such a gap says in its reason
+    which bytes of the content it is.
     """
     at, gap, why, n = 0, None, "", len(data)
     while at < n:
         try:
             if data.startswith(MAGIC, at):
-                raw, end = _member(data, at)
-                found, p = [], 0
-                while p < len(raw):
-                    rec, p = parse_record(raw, p)
-                    found.append(rec)
-                if not found:
-                    raise ValueError("empty member")
+                raw, end, error = _member(data, at)
+                found, first = _content(raw, error)
+                if not any(kind == "record" for kind, _ in found):
+                    raise ValueError(first or "empty member")
+                if error:  # where the member would have ended isn't known
+                    end = min((x for x in (data.find(MAGIC, at + 1), data.find(VERSION, end)) if x >= 0), default=n)
             elif data.startswith(VERSION, at):
                 rec, end = parse_record(data, at)
-                found = [rec]
+                found = [("record", rec)]
             else:
                 raise ValueError("neither a member nor a version line")
         except ValueError as e:
@@ -224,8 +267,8 @@ def salvage(data: bytes):
         if gap is not None:
             yield "gap", gap, at - gap, why
             gap = None
-        for rec in found:
-            yield "record", at, end - at, rec
+        for kind, what in found:
+            yield kind, at, end - at, what
         at = end
     if gap is not None:
         yield "gap", gap, n - gap, why

@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import random
 
 from quern.llm import warc
 
@@ -34,6 +35,37 @@ def test_salvage_skips_damage_and_logs_gaps():
     assert kinds(gzip.decompress(a) + plain[: len(plain) // 2] + gzip.decompress(c)) == [("record", 1), ("gap", (len(gzip.decompress(a)), len(plain) // 2)), ("record", 3)]
 
 
+def test_members_of_several_records():
+    a, b, c = (gzip.decompress(rec(i, bytes([96 + i]) * 300)) for i in (1, 2, 3))
+    spoiled = b.replace(b"bbb", b"bXb", 1)
+    whole = gzip.compress(a + spoiled + c)
+    place = (0, len(whole))
+    assert kinds(whole + rec(4, b"d")) == [("record", 1), ("gap", place), ("record", 3), ("record", 4)]
+    assert kinds(gzip.compress(b"junk" + a + c)) == [("gap", (0, len(gzip.compress(b"junk" + a + c)))), ("record", 1), ("record", 3)]
+    reason = [what for k, _, _, what in warc.salvage(whole) if k == "gap"][0]
+    assert f"bytes {len(a)} to {len(a) + len(b)} of the member" in reason and "digest" in reason
+
+
+def test_one_member_cut_short_or_damaged():
+    r = random.Random(3)
+    plain = [gzip.decompress(rec(i, r.randbytes(3000))) for i in range(1, 41)]
+    whole = gzip.compress(b"".join(plain))
+    for end in (len(whole) // 2, len(whole) - 9):
+        got = kinds(whole[:end])
+        n = len(got) - 1
+        assert got == [*(("record", i) for i in range(1, n + 1)), ("gap", (0, end))] and n >= 40 * end // len(whole) - 2
+    spoiled = list(plain)
+    spoiled[6] = spoiled[6][:-50] + bytes([spoiled[6][-50] ^ 1]) + spoiled[6][-49:]
+    other = gzip.compress(b"".join(spoiled))
+    bad_crc = other[:-8] + whole[-8:]
+    got = list(warc.salvage(bad_crc + rec(50, b"z")))
+    assert [what["page_id"] for k, _, _, what in got if k == "record"] == [i for i in [*range(1, 41), 50] if i != 7]
+    assert sum(k == "gap" and "incorrect data check" in what for k, _, _, what in got) == 1
+    # the damage is in no payload, so it may be in any header
+    bad_crc = whole[:-6] + bytes([whole[-6] ^ 1]) + whole[-5:]
+    assert kinds(bad_crc + rec(50, b"z")) == [("gap", (0, len(bad_crc))), ("record", 50)]
+
+
 def test_table_with_nulls_copies_and_small_payloads(spark, tmp_path):
     big = "é" * 80
     pages = spark.createDataFrame([(5, "u", big), (3, None, big), (9, "u\r\nX: y", big), (None, "u", big), (1, "u", None), (2, "u", ""), (7, "s", "same"), (8, "s", "same"), (3, None, big)], "page_id long, url string, html string")
