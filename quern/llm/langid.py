@@ -6,7 +6,8 @@ pieces, found by a forward pass; a text is the product of its words. Piece proba
 are fitted by expected counts (forward and backward pass over the training words, EM).
 
 Words are runs of letters of the lower-cased text, each with a word-start mark. Letters
-outside the vocabulary count as one unknown piece each.
+outside the vocabulary count as one unknown piece each. Words of any length take part in
+both; the sums are kept as logarithms or rescaled on the way, so that none becomes 0.
 """
 
 from __future__ import annotations
@@ -21,15 +22,17 @@ from pyspark.sql import functions as F
 
 from .common import hold_memo, materialize, read_table
 
-#: Bound on the training rows of a language; those with a small md5 of their id are taken.
-TRAIN_ROWS = 3000
+#: Bounds on the training sample: rows of a language, those with a small md5 of their id,
+#: and languages, those with most rows.
+TRAIN_ROWS, TRAIN_LANGS = 3000, 200
 EM_ROUNDS = 2
 SMOOTH = 0.1
-MAX_PIECE = 12
-#: Words longer than this are passed through in rescaled steps, as their products could
-#: become 0 in a batch.
-BATCH_CHARS = 24
-MEMO_SIZE = 700_000
+#: Letters of the words that are passed through side by side, and ends that are looked up at once.
+BATCH_LETTERS, WIDTH = 1 << 17, 1 << 14
+#: Steps after which the forward sums are rescaled.
+RESCALE = 8
+#: Scores of words by languages that a worker remembers.
+MEMO_CELLS = 1_600_000
 #: Characters of the texts whose new words are scored together.
 BATCH_TEXT = 4 << 20
 WORDS = re.compile(r"[^\W\d_]+")
@@ -38,13 +41,13 @@ MARK = "▁"
 
 @lru_cache(2)
 def load_pieces(name: str) -> dict[str, int]:
-    """Pieces of letters, with or without the word-start mark, up to MAX_PIECE characters."""
+    """Pieces of letters, with or without the word-start mark."""
     import public_tokenizers
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
     found = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-    pieces = sorted({x.lower() for x in found if len(x) <= MAX_PIECE and WORDS.fullmatch(x.removeprefix(MARK).lower() or "a") and x.count(MARK) <= 1})
+    pieces = sorted({x.lower() for x in found if WORDS.fullmatch(x.removeprefix(MARK).lower() or "a") and x.count(MARK) <= 1})
     return {x: i + 1 for i, x in enumerate(pieces)}
 
 
@@ -60,7 +63,7 @@ class PieceTable:
         hashes = np.array([self.of(x) for x in found], np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.piece = hashes[order], np.array(list(found.values()), np.int32)[order]
-        self.unknown = len(pieces) + 1
+        self.unknown, self.longest = len(pieces) + 1, max(map(len, pieces), default=1)
 
     BASE = 0x9E3779B97F4A7C15
 
@@ -71,29 +74,47 @@ class PieceTable:
             h = (h * cls.BASE + ord(c) + 1) % (1 << 64)
         return h
 
-    def ids(self, words: list[str]) -> np.ndarray:
-        """(word, end, length) -> piece, 0: none, for words of one length.
+    def ids(self, chars: np.ndarray, first: int, last: int) -> np.ndarray:
+        """(word, end - first, length) -> piece, 0: none, for the ends first + 1 .. last.
 
         A letter that is no piece by itself gets the unknown piece, the last id.
         """
-        n = len(words[0])
-        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.uint64) + np.uint64(1)
-        out = np.zeros((len(words), n + 1, MAX_PIECE + 1), np.int32)
-        row, start = (x.ravel() for x in np.indices((len(words), n)))
+        back = min(first, self.longest)
+        own = chars[:, first - back : last]
+        m, n = own.shape
+        out = np.zeros((m, n + 1, self.longest + 1), np.int32)
+        row, start = (x.ravel() for x in np.indices((m, n)))
         h = np.zeros(len(row), np.uint64)
-        for k in range(1, min(n, MAX_PIECE) + 1):
+        for k in range(1, min(n, self.longest) + 1):
             inside = start + k <= n
             row, start, h = row[inside], start[inside], h[inside]
-            h = h * np.uint64(self.BASE) + chars[row, start + (k - 1)]
+            h = h * np.uint64(self.BASE) + own[row, start + (k - 1)]
             at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             known = self.hashes[at] == h
-            if k == 1:
-                out[row[~known], start[~known] + 1, 1] = self.unknown
             row, start, h, at = row[known], start[known], h[known], at[known]
             out[row, start + k, k] = self.piece[at]
-        first = out[:, 1:, 1]
-        first[first == 0] = self.unknown
-        return out
+        single = out[:, 1:, 1]
+        single[single == 0] = self.unknown
+        return out[:, back + 1 :]
+
+
+def letters(words: list[str]) -> np.ndarray:
+    """The letters of words, each after a word-start mark, as one row each; shorter rows end in 0."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    out = np.zeros((len(words), sizes.max()), np.uint64)
+    points = np.frombuffer((MARK + MARK.join(words)).encode("utf-32-le", "surrogatepass"), np.uint32)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = points.astype(np.uint64) + np.uint64(1)
+    return out
+
+
+def batches(sizes: np.ndarray):
+    """Indexes of words, in order of length, that are passed through together."""
+    order, at = np.argsort(sizes, kind="stable"), 0
+    while at < len(order):
+        ends = sizes[order[at:]] * np.arange(1, len(order) - at + 1)
+        n = max(1, int(np.searchsorted(ends, BATCH_LETTERS, side="right")))
+        yield order[at : at + n]
+        at += n
 
 
 @lru_cache(2)
@@ -101,99 +122,105 @@ def load_table(name: str) -> PieceTable:
     return PieceTable(load_pieces(name))
 
 
-def forward(ids: np.ndarray, prob: np.ndarray) -> np.ndarray:
-    """alpha[word, end, language]: sums over the segmentations of each prefix, words of one length."""
-    m, n = ids.shape[0], ids.shape[1] - 1
-    alpha = np.zeros((m, n + 1, prob.shape[1]))
-    alpha[:, 0] = 1
-    for e in range(1, n + 1):
-        for k in range(1, min(e, MAX_PIECE) + 1):
-            col = ids[:, e, k]
-            hit = np.flatnonzero(col)
-            if len(hit):
-                alpha[hit, e] += alpha[hit, e - k] * prob[col[hit]]
-    return alpha
-
-
-def backward(ids: np.ndarray, prob: np.ndarray) -> np.ndarray:
-    m, n = ids.shape[0], ids.shape[1] - 1
-    beta = np.zeros((m, n + 1, prob.shape[1]))
-    beta[:, n] = 1
-    for s in range(n - 1, -1, -1):
-        for k in range(1, min(n - s, MAX_PIECE) + 1):
-            col = ids[:, s + k, k]
-            hit = np.flatnonzero(col)
-            if len(hit):
-                beta[hit, s] += prob[col[hit]] * beta[hit, s + k]
-    return beta
-
-
-def _long_score(word: str, pieces: dict[str, int], prob: np.ndarray) -> np.ndarray:
-    """Log probability of a long word for each language; the last MAX_PIECE sums are kept, rescaled."""
-    unknown, window, shift = len(pieces) + 1, [np.ones(prob.shape[1])], np.zeros(prob.shape[1])
-    for e in range(1, len(word) + 1):
-        a = np.zeros(prob.shape[1])
-        for k in range(1, min(e, MAX_PIECE) + 1):
-            i = pieces.get(word[e - k : e], unknown if k == 1 else 0)
-            if i:
-                a += window[-k] * prob[i]
-        window = [*window[1 - MAX_PIECE :], a]
-        top = a.copy()
-        window = [x / top for x in window]
-        shift += np.log(top)
-    return shift
-
-
-def word_scores(words: list[str], pieces: dict[str, int], table: PieceTable, prob: np.ndarray) -> np.ndarray:
-    """Log probabilities of words, one column for each language."""
-    out = np.empty((len(words), prob.shape[1]), np.float32)
-    by_len: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        if len(w) > BATCH_CHARS:
-            out[i] = _long_score(MARK + w, pieces, prob)
-        else:
-            by_len.setdefault(len(w), []).append(i)
-    for own in by_len.values():
-        for at in range(0, len(own), 4096):
-            part = own[at : at + 4096]
-            out[part] = np.log(forward(table.ids([MARK + words[i] for i in part]), prob)[:, -1])
+def forward(chars: np.ndarray, sizes: np.ndarray, table: PieceTable, prob: np.ndarray) -> np.ndarray:
+    """Log of the sum over all segmentations of each word, a column for each language."""
+    m, n = chars.shape
+    out = np.empty((m, prob.shape[1]))
+    shift = np.zeros((m, prob.shape[1]))
+    sums = np.zeros((table.longest + 1, m, prob.shape[1]))  # of the last prefixes, in turn
+    sums[0] = 1
+    ending = np.argsort(sizes, kind="stable")
+    done = np.searchsorted(sizes[ending], np.arange(n + 2))
+    for first in range(0, n, WIDTH):
+        ids = table.ids(chars, first, min(first + WIDTH, n))
+        for e in range(first + 1, min(first + WIDTH, n) + 1):
+            now = np.zeros((m, prob.shape[1]))
+            for k in range(1, min(e, table.longest) + 1):
+                col = ids[:, e - first - 1, k]
+                hit = np.flatnonzero(col)
+                if len(hit):
+                    now[hit] += sums[(e - k) % len(sums), hit] * prob[col[hit]]
+            sums[e % len(sums)] = now
+            if e % RESCALE == 0:
+                sums /= now
+                shift += np.log(now)
+                now = sums[e % len(sums)]
+            own = ending[done[e] : done[e + 1]]
+            out[own] = np.log(now[own]) + shift[own]
     return out
 
 
-def _fit(words: pd.DataFrame, n_langs: int, table: PieceTable, prob: np.ndarray) -> pd.DataFrame:
-    """Expected piece counts (lang, piece, n) of a batch of (lang index, word, n)."""
-    total = np.zeros((n_langs, table.unknown + 1))
-    sizes = words.word.str.len()
-    for _, own in words[sizes <= BATCH_CHARS].groupby(sizes):
-        for at in range(0, len(own), 4096):
-            part = own.iloc[at : at + 4096]
-            ids = table.ids([MARK + w for w in part.word])
-            langs, weight = part.lang.to_numpy(), part.n.to_numpy(float)
-            alpha, beta = forward(ids, prob), backward(ids, prob)
-            r = np.arange(len(part))
-            a, b = alpha[r, :, langs], beta[r, :, langs]
-            whole = a[:, -1]
-            for e in range(1, ids.shape[1]):
-                for k in range(1, min(e, MAX_PIECE) + 1):
-                    col = ids[:, e, k]
-                    hit = np.nonzero(col)[0]
+def _prefix_logs(chars: np.ndarray, sizes: np.ndarray, table: PieceTable, prob: np.ndarray, ahead: bool) -> np.ndarray:
+    """Log sums over the segmentations of each prefix (ahead) or of each suffix of words, in one language."""
+    m, n = chars.shape
+    logs = np.full((m, n + 1), -np.inf)
+    logs[np.arange(m), 0 if ahead else sizes] = 0
+    lp = np.log(prob, where=prob > 0, out=np.full(len(prob), -np.inf))
+    for first in range(0, n, WIDTH) if ahead else reversed(range(0, n, WIDTH)):
+        last = min(first + WIDTH, n)
+        if ahead:
+            ids = table.ids(chars, first, last)
+            for e in range(first + 1, last + 1):
+                for k in range(1, min(e, table.longest) + 1):
+                    col = ids[:, e - first - 1, k]
+                    hit = np.flatnonzero(col)
                     if len(hit):
-                        c = a[hit, e - k] * prob[col[hit], langs[hit]] * b[hit, e] / whole[hit] * weight[hit]
-                        np.add.at(total, (langs[hit], col[hit]), c)
-    lang, piece = np.nonzero(total)
-    return pd.DataFrame({"lang": lang, "piece": piece, "n": total[lang, piece]})
+                        logs[hit, e] = np.logaddexp(logs[hit, e], logs[hit, e - k] + lp[col[hit]])
+            continue
+        top = min(last + table.longest, n)
+        ids = table.ids(chars, first, top)
+        for s in range(last - 1, first - 1, -1):
+            for k in range(1, min(n - s, table.longest) + 1):
+                col = ids[:, s + k - first - 1, k]
+                hit = np.flatnonzero(col)
+                hit = hit[s + k <= sizes[hit]]
+                if len(hit):
+                    logs[hit, s] = np.logaddexp(logs[hit, s], lp[col[hit]] + logs[hit, s + k])
+    return logs
+
+
+def word_scores(words: list[str], table: PieceTable, prob: np.ndarray) -> np.ndarray:
+    """Log probabilities of words, one column for each language."""
+    out = np.empty((len(words), prob.shape[1]), np.float32)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    for own in batches(sizes):
+        out[own] = forward(letters([words[i] for i in own.tolist()]), sizes[own], table, prob)
+    return out
 
 
-def train(labelled: DataFrame, name: str = "piece_bpe_32k.model", rows: int = TRAIN_ROWS, rounds: int = EM_ROUNDS) -> tuple[list[str], np.ndarray]:
+def expected_counts(words: list[str], weights: np.ndarray, table: PieceTable, prob: np.ndarray) -> np.ndarray:
+    """Expected number of each piece in words of one language, by their weights."""
+    total = np.zeros(table.unknown + 1)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    lp = np.log(prob, where=prob > 0, out=np.full(len(prob), -np.inf))
+    for own in batches(sizes):
+        chars, size, weight = letters([words[i] for i in own.tolist()]), sizes[own], weights[own]
+        before, after = (_prefix_logs(chars, size, table, prob, ahead) for ahead in (True, False))
+        whole, n = before[np.arange(len(own)), size], chars.shape[1]
+        for first in range(0, n, WIDTH):
+            ids = table.ids(chars, first, min(first + WIDTH, n))
+            row, end, k = np.nonzero(ids)
+            piece, end = ids[row, end, k], end + first + 1
+            inside = end <= size[row]
+            row, end, k, piece = row[inside], end[inside], k[inside], piece[inside]
+            part = np.exp(before[row, end - k] + lp[piece] + after[row, end] - whole[row]) * weight[row]
+            total += np.bincount(piece, part, len(total))
+    return total
+
+
+def train(labelled: DataFrame, name: str = "piece_bpe_32k.model", rows: int = TRAIN_ROWS, rounds: int = EM_ROUNDS, most_langs: int = TRAIN_LANGS) -> tuple[list[str], np.ndarray]:
     """Languages and their piece probabilities, from rows (doc_id, text, lang).
 
-    The sample is bounded by `rows` rows of a language. Texts are counted into
-    words and words into expected piece counts by Spark; only the table of vocabulary
-    size times languages comes to the driver.
+    The sample is bounded by `rows` rows of a language and by the `most_langs` languages
+    with most rows (then the one that sorts first), so a label column full of stray values
+    can't swell the model. Texts are counted into words and words into expected piece
+    counts by Spark; only the table of vocabulary size times languages comes to the
+    driver. Repeated rows count as often as they stand; words of all lengths count.
     """
     spark = labelled.sparkSession
     usable = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    most = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
+    sizes = {r.lang: r.n for r in most.collect()}  # at most most_langs rows
     langs = sorted(sizes)
     pieces = load_pieces(name)
     prob = np.full((len(pieces) + 2, max(1, len(langs))), 1.0 / (len(pieces) + 2))
@@ -202,23 +229,25 @@ def train(labelled: DataFrame, name: str = "piece_bpe_32k.model", rows: int = TR
         return [], prob
     # an even draw by the hash of the id, nine tenths of the bound on average
     drawn = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("double") / float(16**15)
-    part = F.create_map(*[x for c in langs for x in (F.lit(c), F.lit(1.0 if sizes[c] <= rows else 0.9 * rows / sizes[c]))])
-    sample = usable.where(drawn < part[F.col("lang")])
-    words = sample.select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    known = spark.createDataFrame([(c, i, 1.0 if sizes[c] <= rows else 0.9 * rows / sizes[c]) for i, c in enumerate(langs)], "lang string, i int, part double")
+    sample = usable.join(F.broadcast(known), "lang").where(drawn < F.col("part"))
+    words = sample.select(F.col("i").alias("lang"), F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     words = materialize(words, "langid-words")
-    index = F.create_map(*[x for i, c in enumerate(langs) for x in (F.lit(c), F.lit(i))])
-    indexed = words.select(index[F.col("lang")].alias("lang"), "word", "n")
     for _ in range(rounds):
         now = prob
 
         def count(frames, now=now):
-            own = load_table(name)
-            held = pd.concat([f for f in frames] or [pd.DataFrame({"lang": [], "word": [], "n": []})])
-            held = held[held.word.map(lambda w: bool(WORDS.fullmatch(w)))]
-            if len(held):
-                yield _fit(held, now.shape[1], own, now)
-
-        found = indexed.mapInPandas(count, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+            own, total = load_table(name), {}
+            for f in frames:  # a batch of rows at a time
+                f = f.reset_index(drop=True)
+                for lang, part in f[f.word.map(lambda w: bool(WORDS.fullmatch(w)))].groupby("lang"):
+                    found = expected_counts(part.word.tolist(), part.n.to_numpy(float), own, now[:, lang])
+                    total[lang] = total.get(lang, 0) + found
+            for lang, found in total.items():
+                piece = np.flatnonzero(found)
+                yield pd.DataFrame({"lang": lang, "piece": piece, "n": found[piece]})
+
+        found = words.mapInPandas(count, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
         fresh = np.full_like(prob, SMOOTH)
         fresh[found.piece.to_numpy(), found.lang.to_numpy()] += found.n.to_numpy()
         fresh[0] = 0
@@ -227,10 +256,10 @@ def train(labelled: DataFrame, name: str = "piece_bpe_32k.model", rows: int = TR
 
 
 class _Scorer:
-    """Word scores that a worker remembers, up to MEMO_SIZE words."""
+    """Word scores that a worker remembers, up to MEMO_CELLS of them."""
 
     def __init__(self, name: str, prob: np.ndarray):
-        self.pieces, self.pieces_table, self.prob = load_pieces(name), load_table(name), prob
+        self.pieces_table, self.prob = load_table(name), prob
         self.reset()
 
     def reset(self) -> None:
@@ -243,7 +272,7 @@ class _Scorer:
         start, end = len(self.index), len(self.index) + len(words)
         while end > len(self.table):
             self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        self.table[start:end] = word_scores(words, self.pieces, self.pieces_table, self.prob)
+        self.table[start:end] = word_scores(words, self.pieces_table, self.prob)
         self.index.update(zip(words, range(start, end)))
 
     def totals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -257,7 +286,7 @@ class _Scorer:
                 chars += len(texts[end])
                 words.append(WORDS.findall(texts[end].lower()))
                 end += 1
-            if len(self.index) > MEMO_SIZE:
+            if len(self.index) * self.prob.shape[1] > MEMO_CELLS:
                 self.reset()
             self.learn(list({w for x in words for w in x}.difference(self.index)))
             get = self.index.__getitem__
