@@ -8,10 +8,21 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
-def build_postings(corpus: DataFrame) -> DataFrame:
-    """(term, document_id, tf) of (document_id, content)."""
-    terms = corpus.select("document_id", F.explode(X.tokens(F.col("content"))).alias("term"))
-    return terms.groupBy("term", "document_id").agg(F.count(F.lit(1)).alias("tf"))
+def build_postings(corpus: DataFrame, *keep: str) -> DataFrame:
+    """(term, document_id, tf) of (document_id, content), and further columns of the corpus to keep.
+
+    All tokens of a document stand in its row, so they are sorted there and each run of
+    equal ones becomes a posting: nothing is shuffled. A document id stands once.
+    """
+    tokens = corpus.select("document_id", *keep, F.sort_array(X.tokens(F.col("content"))).alias("tokens"))
+    at = F.when(F.size("tokens") > 0, F.sequence(F.lit(0), F.size("tokens") - 1))
+    ends = F.filter(at, lambda i: (i == F.size("tokens") - 1) | (F.get("tokens", i) != F.get("tokens", i + 1)))
+    runs = tokens.select("document_id", *keep, "tokens", ends.alias("ends"))
+    before = lambda k: F.coalesce(F.get("ends", k - 1), F.lit(-1))
+    run = F.transform("ends", lambda e, k: F.struct(F.get("tokens", e).alias("term"), (e - before(k)).cast("long").alias("tf")))
+    # explode_outer, as explode would bring a filter on the runs, for which each step is done again and again below
+    rows = runs.select("document_id", *keep, run.alias("run")).select("document_id", *keep, F.explode_outer("run").alias("run"))
+    return rows.where("run is not null").select("run.term", "document_id", "run.tf", *keep)
 
 
 def postings_lists(postings: DataFrame) -> DataFrame:

@@ -74,8 +74,7 @@ def search_batch(requests: DataFrame, postings: DataFrame, n_docs: DataFrame, df
     """The first lim hits of each request: query_id, rank, document_id, score."""
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id")
     scored = score_batch(requests, postings, n_docs, df).withColumn("rank", F.row_number().over(best))
-    limits = requests.select("query_id", F.least(F.col("lim"), F.lit(100)).alias("lim"))
-    return scored.where("rank <= 100").join(limits, "query_id").where("rank <= lim").select("query_id", F.col("rank").cast("long").alias("rank"), "document_id", "score")
+    return scored.join(requests.select("query_id", "lim"), "query_id").where("rank <= lim").select("query_id", F.col("rank").cast("long").alias("rank"), "document_id", "score")
 
 
 def search_totals(requests: DataFrame, postings: DataFrame, n_docs: DataFrame) -> DataFrame:
@@ -116,12 +115,11 @@ def search(corpus: DataFrame, query: str, mode: str = "or", limit: int = 10, pos
 
 def sharded_search(requests: DataFrame, corpus: DataFrame) -> DataFrame:
     """Statistics by shard, summed to global ones, then one ranking: equal to search_batch for any sharding."""
-    postings = I.build_postings(corpus)
-    shards = corpus.select("document_id", "shard_id")
-    per_shard = postings.join(shards, "document_id").groupBy("shard_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    postings = I.build_postings(corpus, "shard_id")
+    per_shard = postings.groupBy("shard_id", "term").agg(F.count(F.lit(1)).alias("df"))
     df = per_shard.groupBy("term").agg(F.sum("df").alias("df"))
     n = corpus.groupBy("shard_id").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n"))
-    return search_batch(requests, postings, n, df)
+    return search_batch(requests, postings.drop("shard_id"), n, df)
 
 
 def select_replicas(health: DataFrame) -> DataFrame:

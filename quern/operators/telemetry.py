@@ -160,24 +160,34 @@ def read_failovers(log: DataFrame, placement: DataFrame) -> DataFrame:
     return served.groupBy("shard_id").agg(F.count(F.lit(1)).alias("reads"), _count(F.col("replica_rank") > 0).alias("failovers"))
 
 
-def interval_samples(log: DataFrame, seconds: int = 10, last: int = 500) -> DataFrame:
+def interval_samples(log: DataFrame, seconds: int = 10, last: int = 500, span: int = 4_000) -> DataFrame:
     """For each interval: requests, running totals, and p50 and p99 of the last samples so far.
 
-    Intervals with requests only. The samples before an interval's end come from a window
-    over at most `last` rows.
+    Intervals with requests only. Rows are numbered in order and dealt by spans of them;
+    a span also gets the last - 1 rows before it, so that its windows need no other.
     """
     t = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000 * seconds)).cast("long").alias("interval")
     marked = log.select(t, "ts", "request_id", "latency_ms", "success", "status_code")
-    order = Window.orderBy("ts", "request_id")
-    recent = F.collect_list(F.when(F.col("success"), F.col("latency_ms"))).over(order.rowsBetween(-(last - 1), 0))
-    ends = marked.withColumn("recent", recent).withColumn("next", F.lead("interval").over(order)).where("next is null or next <> interval")
-    ends = ends.withColumn("recent", F.array_sort("recent"))
+    sums = marked.groupBy("interval").agg(F.count(F.lit(1)).alias("requests"), _count(F.col("success")).alias("a"), _count(F.col("status_code") == 429).alias("r"), _count(~F.col("success") & (F.col("status_code") != 429)).alias("e"))
+    before = Window.orderBy("interval").rowsBetween(Window.unboundedPreceding, -1)  # a row for each interval
+    starts = sums.select(F.col("interval").alias("i"), "requests", F.coalesce(F.sum("requests").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("interval").orderBy("ts", "request_id")
+    placed = marked.withColumn("nth", F.row_number().over(inside)).join(starts, F.col("interval") == F.col("i"))
+    place = F.col("start") + F.col("nth") - 1
+    placed = placed.select("interval", place.alias("place"), F.when(F.col("success"), F.col("latency_ms")).alias("sample"), (F.col("nth") == F.col("requests")).alias("end"))
+    own = F.floor(F.col("place") / span)
+    spans = F.sequence(own, F.floor((F.col("place") + last - 1) / span))
+    # a row brings a list of `last`, so spans are kept apart though they are short
+    tasks = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = placed.select("*", own.alias("own"), F.explode(spans).alias("span")).repartition(tasks, "span")
+    recent = F.collect_list("sample").over(Window.partitionBy("span").orderBy("place").rowsBetween(-(last - 1), 0))
+    ends = dealt.withColumn("recent", recent).where("end and own = span")
+    ends = ends.withColumn("recent", F.sort_array("recent"))
     n = F.size("recent")
     mid = lambda k: F.element_at("recent", k.cast("int"))
     p50 = F.when(n > 0, (mid(F.floor((n + 1) / 2)) + mid(F.floor((n + 2) / 2))) / 2).otherwise(0.0)
     p99 = F.when(n >= 10, mid(F.floor(F.lit(0.99).cast("double") * (n - 1)) + 1)).otherwise(p50)
     ends = ends.select("interval", F.round(p50, 6).alias("recent_p50_ms"), F.round(p99, 6).alias("recent_p99_ms"))
-    sums = marked.groupBy("interval").agg(F.count(F.lit(1)).alias("requests"), _count(F.col("success")).alias("a"), _count(F.col("status_code") == 429).alias("r"), _count(~F.col("success") & (F.col("status_code") != 429)).alias("e"))
     running = Window.orderBy("interval").rowsBetween(Window.unboundedPreceding, 0)  # a row for each interval
     out = sums.join(ends, "interval")
     return out.select(

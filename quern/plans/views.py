@@ -14,7 +14,10 @@ VIEWS: dict[str, str] = {
     "corpus": "SELECT doc_id AS document_id, text AS content, doc_id % 3 AS shard_id, lang, source FROM documents",
     "query_batch": (
         "SELECT * FROM (VALUES (1,'the and','or',10),(2,'the and','and',10),(3,'and die the','or',5),(4,'and die the','and',100),(5,'que','or',10),(6,'license thou','and',10),"
-        "(7,'THE, the; The!','or',3),(8,'zzzqqq the','and',10),(9,'zzzqqq the','or',10),(10,'!!!','or',10),(11,'   ','or',10),(12,'thou','or',0)) AS q(query_id, query, mode, lim)"
+        "(7,'THE, the; The!','or',3),(8,'zzzqqq the','and',10),(9,'zzzqqq the','or',10),(10,'!!!','or',10),(11,'   ','or',10),(12,'thou','or',0)) AS q(query_id, query, mode, lim) "
+        # and the first words of a text of each language and source, so that requests grow with the table
+        "UNION ALL SELECT CAST(100 + row_number() OVER (ORDER BY lang, source) AS INT), substr(query, 1, 24), CASE WHEN lang = 'en' THEN 'and' ELSE 'or' END, 250 "
+        "FROM (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, min(text) AS query FROM documents GROUP BY 1, 2) g"
     ),
     # a request for each document, with blank, padded and wrong ones among them
     "requests": (
@@ -49,18 +52,20 @@ FROM (SELECT event_id, user_id, event_type AS et, CASE WHEN event_id % 101 = 0 T
  WHEN 'click' THEN 'DISPATCHING' ELSE 'PENDING' END AS status, event_id % 4 AS attempt_count FROM events""",
     "attempt_log": "SELECT event_id % 211 AS message_id, event_id AS seq, 'topic-' || (event_id % 211 % 2) AS topic, event_type = 'purchase' AS ok FROM events",
     "lag_samples": """SELECT event_id % 40 AS sample_index, CASE WHEN event_id % 40 < 5 THEN 'baseline' WHEN event_id % 40 < 30 THEN 'workload' WHEN event_id % 40 < 31 THEN 'workload_end' ELSE 'drain' END AS phase,
- 'dse-node-' || (user_id % 3) AS consumer_group, (event_id + user_id) % 3 AS part, MAX(event_id) AS log_end_offset,
+ 'node-' || (user_id % 3) AS consumer_group, (event_id + user_id) % 3 AS part, MAX(event_id) AS log_end_offset,
  MAX(CASE WHEN event_type <> 'error' THEN event_id END) AS current_offset, MAX(CASE WHEN event_id % 499 = 0 THEN 1 ELSE 0 END) = 1 AS query_failed
 FROM events GROUP BY 1,2,3,4""",
     "replica_inventory": """SELECT n.node_id, d.doc_id AS document_id, d.doc_id % 3 AS shard_id, CASE WHEN d.doc_id % 31 = 0 AND n.node_id = 1 THEN d.text || '!' ELSE d.text END AS content
 FROM documents d CROSS JOIN (SELECT * FROM (VALUES (0),(1),(2)) AS v(node_id)) n
 WHERE ((n.node_id - d.doc_id % 3 + 3) % 3 < 2 AND (d.doc_id + n.node_id) % 17 <> 0) OR ((n.node_id - d.doc_id % 3 + 3) % 3 = 2 AND d.doc_id % 29 = 0)""",
-    "shard_health": "SELECT * FROM (VALUES (0,0,0,true,true),(0,1,1,true,true),(1,0,1,false,true),(1,1,2,true,true),(2,0,2,true,false),(2,1,0,true,true)) AS h(shard_id, replica_rank, node_id, count_ok, search_ok)",
+    # the last answers of each replica to a count and to a search
+    "shard_health": """SELECT event_id % 3 AS shard_id, user_id % 2 AS replica_rank, (event_id % 3 + user_id % 2) % 3 AS node_id,
+ max_by(event_type <> 'error', event_id) AS count_ok, max_by(event_type NOT IN ('error', 'signup'), event_id) AS search_ok FROM events GROUP BY 1, 2, 3""",
     "propagation_log": """SELECT event_id AS document_id, value AS t_write_done, value + event_id % 7 AS t_published,
  CASE WHEN event_id % 37 = 0 THEN NULL ELSE value + event_id % 13 END AS t_node1, CASE WHEN event_id % 41 = 0 THEN NULL ELSE value + event_id % 17 END AS t_node2 FROM events""",
-    # a write for each third document: new, clashing and blank ones, some twice
-    "write_batch": """SELECT doc_id AS seq, CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE doc_id + 1000000 END AS document_id, CASE WHEN doc_id % 15 = 0 THEN '  ' ELSE text || ' v2' END AS content FROM documents WHERE doc_id % 3 = 0
-UNION ALL SELECT doc_id + 5000000, doc_id + 1000000, 'again' FROM documents WHERE doc_id % 9 = 3""",
+    # a write for each document, and a second one: new, clashing, repeated and blank ones
+    "write_batch": """SELECT doc_id AS seq, CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE doc_id + 1000000000 END AS document_id, CASE WHEN doc_id % 15 = 0 THEN '  ' ELSE text || ' v2' END AS content FROM documents
+UNION ALL SELECT doc_id + 5000000000, CASE WHEN doc_id % 9 = 3 THEN doc_id + 1000000000 ELSE doc_id + 2000000000 END, 'again' FROM documents""",
     # what each replica answered to a write
     "replica_results": """SELECT event_id AS op_id, r AS replica_rank, (event_id + r) % 5 <> 0 AS ok, event_id % 40 + 1 AS terms_indexed,
  CASE WHEN (event_id + r) % 5 = 0 THEN 'node ' || r || ' failed' ELSE '' END AS message FROM events CROSS JOIN (SELECT * FROM (VALUES (0),(1),(2)) AS v(r)) x""",
