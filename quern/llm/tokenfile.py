@@ -4,12 +4,14 @@ A file holds the ids of consecutive documents, an index of the documents, and bl
 BLOCK ids. Each block starts from an empty model, is coded by itself, and has checksums
 of its code and of its ids.
 
-An id is predicted three ways: by the id that last followed the same two ids (order 2),
-the same id (order 1), and by the adapted frequencies of the block (order 0, by high and
-low byte). The predictions are mixed by weights that are learned for each state of
-confidence of the two and whether they agree; a 64-bit range coder codes the choice and,
-where both miss, the bytes, in one step. Blocks are independent, so a task codes all blocks of a file
-side by side, one step of each at a time.
+Three models predict an id: the id that last followed the same two ids (order 2), the one
+that last followed the same id (order 1), and the adapted frequencies of the block (order
+0: the high byte, and the low byte given the class of the high one). The distribution that
+drives the coder is their mixture: the order-0 distribution at its weight, with the weights
+of the other two added at the ids that they name. The weights are learned, for each state
+of confidence of the two and whether they agree, from the share that each model had in the
+probability of what came. A 64-bit range coder codes an id in one step. Blocks are
+independent, so a task codes all blocks of a file side by side, one step of each at a time.
 """
 
 from __future__ import annotations
@@ -26,19 +28,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hold_memo, make_folder, read_table, scratch_path, shuffle_parts
+from .common import hold_memo, make_folder, read_table, scratch_path
 
-MAGIC = b"QTOK0001"
-BLOCK = 4096
+MAGIC = b"QTOK0002"
+BLOCK = 8192
 #: Ids of a file, about. A task begins a new file after the document that reaches it.
-FILE_IDS = 4 << 20
+FILE_IDS = 6 << 20
 END_ID = 2
-MEMO_SIZE = 800_000
+MEMO_SIZE = 500_000
+#: Frequencies and weights are parts of ONE; weights are learned in parts of FINE.
 ONE, BITS = 4096, 12
-TABLE = 4096
+FINE, RATE = 1 << 16, 5
+#: Slots for contexts, and classes of high bytes: each of the first by itself, one for the rest.
+TABLE, CLASSES = 4096, 8
+STATES = 32
 TOP, BOTTOM, WORD = np.uint64(48), np.uint64(1 << 40), np.uint64(16)
-#: Steps at which the byte frequencies of a block are taken anew.
-RENEW = frozenset((16, 32, 64, 128, 256, 512, 1024, 2048))
+
+
+def renewed_at(t: int) -> bool:
+    """Are the order-0 frequencies of a block taken anew at this step?"""
+    return t >= 16 and (t % 512 == 0 or (t < 512 and t & (t - 1) == 0))
 
 
 class Mixer:
@@ -46,107 +55,152 @@ class Mixer:
 
     def __init__(self, lanes: int):
         self.base = np.arange(lanes, dtype=np.int64)
-        self.seen2 = np.zeros(lanes * TABLE, np.int32)  # id * 4 + confidence
-        self.seen1 = np.zeros(lanes * TABLE, np.int32)
-        self.hit2 = np.full(lanes * 32, ONE // 8, np.int32)
-        self.hit1 = np.full(lanes * 32, ONE // 8, np.int32)
+        self.slots_of, self.states_of = self.base * TABLE, self.base * STATES
+        self.seen2 = np.zeros(lanes * TABLE, np.int64)  # id * 4 + confidence
+        self.seen1 = np.zeros(lanes * TABLE, np.int64)
+        self.fine2 = np.full(lanes * STATES, FINE // 8, np.int64)
+        self.fine1 = np.full(lanes * STATES, FINE // 8, np.int64)
         self.p1 = np.zeros(lanes, np.int64)
         self.p2 = np.zeros(lanes, np.int64)
-        self.counts = np.ones((2, lanes, 256), np.int32)
+        # one table for high bytes, then one of low bytes for each class
+        self.counts = np.ones((lanes, 1 + CLASSES, 256), np.int32)
+        self.rows = self.base * (1 + CLASSES)
         self.renew()
 
     def renew(self) -> None:
         c = self.counts
         f = 1 + c * (ONE - 256) // c.sum(axis=2, keepdims=True)
         f[:, :, 0] += ONE - f.sum(axis=2)
-        start = np.zeros((*f.shape[:2], 257), np.int32)
+        start = np.zeros((*f.shape[:2], 257), np.int64)
         np.cumsum(f, axis=2, out=start[:, :, 1:])
-        self.start, self.slots = start, None
+        self.start, self.slots = start.reshape(-1), None
 
     def slot_table(self) -> np.ndarray:
-        """The symbol of each of the ONE slots, for decoding."""
+        """The symbol of each of the ONE slots of each table, for decoding."""
         if self.slots is None:
-            mark = np.zeros((*self.start.shape[:2], ONE + 1), np.uint8)
-            i, j, _ = np.indices(self.start[:, :, 1:256].shape, sparse=True)
-            mark[i, j, self.start[:, :, 1:256]] = 1
-            self.slots = np.cumsum(mark[:, :, :ONE], axis=2, dtype=np.uint8)
+            start = self.start.reshape(-1, 257)
+            mark = np.zeros((len(start), ONE + 1), np.uint8)
+            mark[np.arange(len(start))[:, None], start[:, 1:256]] = 1
+            self.slots = np.cumsum(mark[:, :ONE], axis=1, dtype=np.uint8).reshape(-1)
         return self.slots
 
     def predict(self) -> None:
-        self.f2 = self.base * TABLE + (((self.p1 * 0x9E3779B1 + self.p2 * 0x85EBCA6B) >> 15) & (TABLE - 1))
-        self.f1 = self.base * TABLE + (((self.p1 * 0x9E3779B1) >> 15) & (TABLE - 1))
+        """The two ids, their confidence, and the weights of the three models."""
+        h = self.p1 * 0x9E3779B1
+        self.f1 = self.slots_of + ((h >> 15) & (TABLE - 1))
+        self.f2 = self.slots_of + (((h + self.p2 * 0x85EBCA6B) >> 15) & (TABLE - 1))
         s2, s1 = self.seen2[self.f2], self.seen1[self.f1]
         self.id2, self.id1 = s2 >> 2, s1 >> 2
         self.c2, self.c1 = s2 & 3, s1 & 3
-        self.ctx = self.base * 32 + (self.c2 * 8 + self.c1 * 2 + (self.id2 == self.id1))
-        self.q2, self.q1 = self.hit2[self.ctx], self.hit1[self.ctx]
-        self.w2 = self.q2
-        self.w1 = np.maximum((ONE - self.q2) * self.q1 >> BITS, 1)
-
-    def update(self, ids: np.ndarray, choice: np.ndarray) -> None:
-        first, second = choice == 0, choice == 1
-        q2, q1 = self.q2, self.q1
-        self.hit2[self.ctx] = np.clip(q2 + (np.where(first, ONE, 0) - q2 >> 4), 32, ONE - 32)
-        self.hit1[self.ctx] = np.where(first, q1, np.clip(q1 + (np.where(second, ONE, 0) - q1 >> 4), 32, ONE - 32))
+        self.ctx = self.states_of + (self.c2 * 8 + self.c1 * 2 + (self.id2 == self.id1))
+        self.q2, self.q1 = self.fine2[self.ctx], self.fine1[self.ctx]
+        # never 0, so that a model can come back; together below ONE
+        self.w2, self.w1 = (self.q2 >> 4) + 4, (self.q1 >> 4) + 4
+        self.w0 = ONE - self.w2 - self.w1
+
+    def plain(self, ids: np.ndarray, lanes=slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """Place and width of ids in the order-0 distribution, in parts of ONE * ONE."""
+        high, rows = ids >> 8, self.rows[lanes]
+        at = rows * 257 + high
+        place = self.start[at]
+        wide = self.start[at + 1] - place
+        at = (rows + 1 + np.minimum(high, CLASSES - 1)) * 257 + (ids & 255)
+        low = self.start[at]
+        return (place << BITS) + wide * low, wide * (self.start[at + 1] - low)
+
+    def interval(self, ids: np.ndarray, plain: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Place and width of ids in the mixture, in parts of ONE ** 3, from those in the order-0 distribution."""
+        place, wide = plain
+        place = self.w0 * place + (((self.id2 < ids) * self.w2 + (self.id1 < ids) * self.w1) << 2 * BITS)
+        return place, self.w0 * wide + (((self.id2 == ids) * self.w2 + (self.id1 == ids) * self.w1) << 2 * BITS)
+
+    def find(self, v: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """The ids in whose interval the places v lie, and their place and width in the order-0 distribution."""
+        n = len(v)
+        both, lanes = np.concatenate([self.id2, self.id1]), np.concatenate([self.base, self.base])
+        place, wide = self.plain(both, lanes)
+        w2, w1 = self.w2 << 2 * BITS, self.w1 << 2 * BITS
+        same = self.id2 == self.id1
+        from2 = self.w0 * place[:n] + (self.id1 < self.id2) * w1
+        from1 = self.w0 * place[n:] + (self.id2 < self.id1) * w2
+        over2 = v >= from2 + self.w0 * wide[:n] + w2 + same * w1
+        over1 = v >= from1 + self.w0 * wide[n:] + w1 + same * w2
+        in2 = (v >= from2) & ~over2
+        out, place, wide = np.where(in2, self.id2, self.id1), np.where(in2, place[:n], place[n:]), np.where(in2, wide[:n], wide[n:])
+        k = np.flatnonzero(~in2 & ((v < from1) | over1))
+        if len(k):
+            u = (v[k] - np.where(over2[k], w2[k], 0) - np.where(over1[k], w1[k], 0)) // self.w0[k]
+            slots, rows = self.slot_table(), self.rows[k]
+            high = slots[rows * ONE + (u >> BITS)].astype(np.int64)
+            at = rows * 257 + high
+            first = self.start[at]
+            low = (u - (first << BITS)) // (self.start[at + 1] - first)
+            out[k] = high * 256 + slots[(rows + 1 + np.minimum(high, CLASSES - 1)) * ONE + low]
+            place[k], wide[k] = self.plain(out[k], k)
+        return out, (place, wide)
+
+    def update(self, ids: np.ndarray, wide: np.ndarray) -> None:
+        """Learn from the ids that came, whose width in the mixture was wide."""
+        hit2, hit1 = self.id2 == ids, self.id1 == ids
+        # the share of a weight of 1 in what came, in parts of almost FINE: order 0 keeps the rest
+        share = ((FINE - FINE // 128) << 2 * BITS) // wide
+        self.fine2[self.ctx] = self.q2 + (hit2 * self.w2 * share - self.q2 >> RATE)
+        self.fine1[self.ctx] = self.q1 + (hit1 * self.w1 * share - self.q1 >> RATE)
         ids4 = ids * 4
-        self.seen2[self.f2] = ids4 + np.where(first, np.minimum(self.c2 + 1, 3), 0)
-        self.seen1[self.f1] = ids4 + np.where(self.id1 == ids, np.minimum(self.c1 + 1, 3), 0)
-        self.p2, self.p1 = self.p1, ids.astype(np.int64)
-        self.counts[0, self.base, ids >> 8] += 24
-        self.counts[1, self.base, ids & 255] += 24
-
-
-def _interval(model: Mixer, ids: np.ndarray, choice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place and width of each id in [0, 2**36): the choice, and within a miss the high and in that the low byte."""
-    high, low = ids >> 8, ids & 255
-    at, wide = model.start[0, model.base, high].astype(np.uint64), model.start[0, model.base, high + 1].astype(np.uint64)
-    wide -= at
-    at_low, wide_low = model.start[1, model.base, low].astype(np.uint64), model.start[1, model.base, low + 1].astype(np.uint64)
-    wide_low -= at_low
-    w2, w1 = model.w2.astype(np.uint64), model.w1.astype(np.uint64)
-    edge = w2 + w1
-    miss = np.uint64(ONE) - edge
-    two = np.uint64(2 * BITS)
-    start = np.where(choice == 0, np.uint64(0), np.where(choice == 1, w2 << two, (edge << two) + miss * ((at << np.uint64(BITS)) + wide * at_low)))
-    return start, np.where(choice == 0, w2 << two, np.where(choice == 1, w1 << two, miss * wide * wide_low))
+        self.seen2[self.f2] = ids4 + np.where(hit2, np.minimum(self.c2 + 1, 3), 0)
+        self.seen1[self.f1] = ids4 + np.where(hit1, np.minimum(self.c1 + 1, 3), 0)
+        self.p2, self.p1 = self.p1, ids
+        high = ids >> 8
+        flat = self.counts.reshape(-1)
+        flat[self.rows * 256 + high] += 24
+        flat[(self.rows + 1 + np.minimum(high, CLASSES - 1)) * 256 + (ids & 255)] += 24
 
 
 def _narrow(low, span, start, freq):
     r = span >> np.uint64(3 * BITS)
-    low += r * start
-    np.multiply(r, freq, out=span)
+    low += r * start.astype(np.uint64)
+    np.multiply(r, freq.astype(np.uint64), out=span)
 
 
 def _to_move(low, span):
-    """Lanes that can shift out a word; where only the span is short, it is cut so that they can."""
+    """Lanes that can shift out a word; where only the span is short, it is cut so that they can.
+
+    A span of exactly a word's range is cut by one, as it would be 0 after the shift.
+    """
     same = (low ^ (low + span - np.uint64(1))) >> TOP == 0
     move = np.flatnonzero(same | (span < BOTTOM))
     if len(move):
         short = move[~same[move]]
         span[short] = (~low[short] + np.uint64(1)) & (BOTTOM - np.uint64(1))
+        span[move] = np.minimum(span[move], np.uint64((1 << 48) - 1))
     return move
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """Codes of the rows of ids (blocks, BLOCK), all below 65536."""
+    """Codes of the rows of ids (blocks, steps), all below 65536.
+
+    Memory is about 95 kB a block, beside the ids and the codes.
+    """
     n, steps = ids.shape
     model = Mixer(n)
     low, span = np.zeros(n, np.uint64), np.full(n, ~np.uint64(0), np.uint64)
-    out, at = np.zeros((n, 4 * steps + 16), np.uint16), np.zeros(n, np.int64)
-    columns = np.ascontiguousarray(ids.T.astype(np.int32))
+    out, at = np.zeros((n, steps + 1024), np.uint16), np.zeros(n, np.int64)
+    columns = np.ascontiguousarray(ids.T)
     for t in range(steps):
-        if t in RENEW:
+        if renewed_at(t):
             model.renew()
-        now = columns[t]
+        if t % 64 == 0 and at.max(initial=0) + 64 * 8 > out.shape[1]:
+            out = np.concatenate([out, np.zeros_like(out)], axis=1)
+        now = columns[t].astype(np.int64)
         model.predict()
-        choice = np.where(now == model.id2, 0, np.where(now == model.id1, 1, 2))
-        _narrow(low, span, *_interval(model, now, choice))
+        place, wide = model.interval(now, model.plain(now))
+        _narrow(low, span, place, wide)
         while len(move := _to_move(low, span)):
             out[move, at[move]] = (low[move] >> TOP).astype(np.uint16)
             at[move] += 1
             low[move] <<= WORD
             span[move] <<= WORD
-        model.update(now, choice)
+        model.update(now, wide)
     lanes = np.arange(n)
     for shift in (48, 32, 16, 0):
         out[lanes, at] = (low >> np.uint64(shift)).astype(np.uint16)
@@ -155,41 +209,32 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
 
 
 def decode_blocks(codes: list[bytes], steps: int = BLOCK) -> np.ndarray:
+    """The ids (blocks, steps) of codes. Memory is about 130 kB a block, beside both."""
     n = len(codes)
     model = Mixer(n)
-    words = np.zeros((n, max(map(len, codes)) // 2 + 8), np.uint64)
+    words = np.zeros((n, max(map(len, codes)) // 2 + 8), np.uint16)
     for i, c in enumerate(codes):
         words[i, : len(c) // 2] = np.frombuffer(c, "<u2")
     low, span, at = np.zeros(n, np.uint64), np.full(n, ~np.uint64(0), np.uint64), np.full(n, 4, np.int64)
-    code = (words[:, 0] << np.uint64(48)) | (words[:, 1] << np.uint64(32)) | (words[:, 2] << np.uint64(16)) | words[:, 3]
-    out = np.zeros((steps, n), np.int32)
-    most, two = np.uint64((1 << 3 * BITS) - 1), np.uint64(2 * BITS)
+    code = np.zeros(n, np.uint64)
+    for k in range(4):
+        code = (code << WORD) | words[:, k].astype(np.uint64)
+    out, most = np.zeros((steps, n), np.uint16), np.uint64((1 << 3 * BITS) - 1)
     for t in range(steps):
-        if t in RENEW:
+        if renewed_at(t):
             model.renew()
         model.predict()
         v = np.minimum((code - low) // (span >> np.uint64(3 * BITS)), most)
-        top = (v >> two).astype(np.int64)
-        edge = model.w2 + model.w1
-        choice = np.where(top < model.w2, 0, np.where(top < edge, 1, 2))
-        now = np.where(choice == 0, model.id2, model.id1)
-        k = np.flatnonzero(choice == 2)
-        if len(k):
-            e, slots = edge[k].astype(np.uint64), model.slot_table()
-            u = (v[k] - (e << two)) // (np.uint64(ONE) - e)
-            high = slots[0, k, (u >> np.uint64(BITS)).astype(np.int64)].astype(np.int32)
-            s = model.start[0, k, high].astype(np.uint64)
-            wide = model.start[0, k, high + 1].astype(np.uint64) - s
-            low_slot = (u - (s << np.uint64(BITS))) // wide
-            now[k] = high * 256 + slots[1, k, low_slot.astype(np.int64)]
-        _narrow(low, span, *_interval(model, now, choice))
+        now, plain = model.find(v.astype(np.int64))
+        place, wide = model.interval(now, plain)
+        _narrow(low, span, place, wide)
         while len(move := _to_move(low, span)):
-            code[move] = (code[move] << WORD) | words[move, np.minimum(at[move], words.shape[1] - 1)]
+            code[move] = (code[move] << WORD) | words[move, np.minimum(at[move], words.shape[1] - 1)].astype(np.uint64)
             at[move] += 1
             low[move] <<= WORD
             span[move] <<= WORD
         out[t] = now
-        model.update(now, choice)
+        model.update(now, wide)
     return out.T
 
 
@@ -249,6 +294,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids above 65535 don't fit the token files")
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.memo: dict[str, bytes] = {}
@@ -264,7 +311,7 @@ class WordEncoder:
             for at in range(0, len(new), 20_000):
                 part = new[at : at + 20_000]
                 for w, e in zip(part, batch(part, add_special_tokens=False), strict=True):
-                    memo[w] = np.array(e.ids, "<u2").tobytes() if len(e.ids) != 1 else e.ids[0].to_bytes(2, "little")
+                    memo[w] = b"".join(i.to_bytes(2, "little") for i in e.ids)
         get = memo.__getitem__
         return [b"".join(map(get, x)) for x in cut]
 
@@ -321,12 +368,16 @@ def write_tokens(docs: DataFrame, folder: str, name: str = "word_bpe_49k.json",
 
     The manifest has file, docs, ids, bytes and start, the number of ids in all files
     before. Each document ends with end_id; a null text has only that. Rows with a null
-    doc_id come first, rows of one id in the order of their texts. An empty table
-    writes no file.
+    doc_id come first, rows of one id in the order of the md5 of their texts. An empty table
+    writes no file. A text of any length is one document; it is never split over files, so
+    a file is as long as its last text makes it. The vocabulary `name` must have less than
+    65536 ids, as a file holds 16 bits of each; else the task fails with ValueError.
+    The numbers of ids before each file are summed over a row for each file, in one task.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange(shuffle_parts(spark), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # ranges are drawn from short keys, which are what goes to the driver; how many ranges a task takes is left to AQE
+    rows = rows.withColumn("key", F.md5("text")).repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key")
     rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # pandas would make floats of ids with nulls
     manifest = rows.mapInPandas(_writer(folder, name, end_id, file_ids), "file string, docs long, ids long, bytes long")
     path = f"{folder.rstrip('/')}-manifest"

@@ -32,14 +32,69 @@ def test_blocks_round_trip(kind):
         assert sum(map(len, codes)) < x.nbytes / 8
 
 
+def test_span_of_a_whole_word_range():
+    """A span of 2**48 at a multiple of it must not become 0 when a word is shifted out."""
+    low, span = np.array([0x1234FFFF00000000, 0x5 << 48], np.uint64), np.array([1 << 39, 1 << 48], np.uint64)
+    for turn in range(8):
+        move = tf._to_move(low, span)
+        if not len(move):
+            break
+        low[move] <<= tf.WORD
+        span[move] <<= tf.WORD
+        assert (span > 0).all()
+    assert turn < 7 and (span >= tf.BOTTOM).all()
+
+
+def test_many_blocks_round_trip():
+    """Repeated passages and stretches of one id, as in groups of copies, over very many blocks."""
+    rng = np.random.default_rng(9)
+    text = rng.zipf(1.2, 400) % 49408
+    for trial in range(5):
+        n, steps = 20_000, 40
+        x = rng.integers(0, 65536, (n, steps)) if trial == 0 else rng.zipf(1.1 + 0.1 * trial, (n, steps)) % 65536
+        copies = rng.integers(0, 280, n)
+        own = rng.random(n) < 0.5
+        x[own] = text[(copies[:, None] + np.arange(steps)) % 400][own]
+        x[::7, 15:] = 65535
+        x = x.astype(np.uint16)
+        assert (tf.decode_blocks(tf.encode_blocks(x), steps) == x).all()
+
+
+def test_the_mixture_is_a_distribution():
+    """Intervals of all ids lie side by side, and places are found in them, also where both guesses agree or are learned."""
+    rng = np.random.default_rng(2)
+    model = tf.Mixer(3)
+    for t in range(200):
+        now = np.array([5, rng.integers(0, 65536), 257 * (t % 3)])
+        model.predict()
+        _, wide = model.interval(now, model.plain(now))
+        model.update(now, wide)
+        if t in (16, 100):
+            model.renew()
+    model.predict()
+    ids = np.arange(65536)
+    for lane in range(3):
+        one = tf.Mixer(1)
+        one.start = model.start.reshape(3, -1)[lane].copy()
+        for name in ("id2", "id1", "w2", "w1", "w0"):
+            setattr(one, name, getattr(model, name)[lane : lane + 1])
+        one.rows = np.zeros(65536, np.int64)
+        place, wide = one.interval(ids, one.plain(ids))
+        assert place[0] == 0 and (place[1:] == place[:-1] + wide[:-1]).all() and place[-1] + wide[-1] == tf.ONE**3 and (wide > 0).all()
+        one.rows = np.zeros(1, np.int64)
+        for i in [0, 5, 65535, int(one.id2[0]), int(one.id1[0]), *rng.integers(0, 65536, 50).tolist()]:
+            for v in (place[i], place[i] + wide[i] - 1):
+                assert one.find(np.array([v]))[0][0] == i
+
+
 def test_file_round_trip_and_damage():
     rng = np.random.default_rng(1)
-    ids = rng.integers(0, 49408, 5000).astype(np.uint16)
-    data = tf.pack([3, None, 2**62], [4000, 0, 1000], ids)
+    ids = rng.integers(0, 49408, tf.BLOCK + 1000).astype(np.uint16)
+    data = tf.pack([3, None, 2**62], [tf.BLOCK, 0, 1000], ids)
     docs, lengths, got = tf.unpack(data)
-    assert docs == [3, None, 2**62] and lengths.tolist() == [4000, 0, 1000] and (got == ids).all()
+    assert docs == [3, None, 2**62] and lengths.tolist() == [tf.BLOCK, 0, 1000] and (got == ids).all()
     assert tf.unpack(tf.pack([], [], ids[:0]))[2].size == 0
-    for at in range(0, len(data), 997):
+    for at in range(0, len(data), 4999):
         bad = bytearray(data)
         bad[at] ^= 1
         with pytest.raises(ValueError):
