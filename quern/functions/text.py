@@ -52,7 +52,7 @@ def tokens(content: Column) -> Column:
 
 
 def distinct_terms(content: Column) -> Column:
-    return F.array_sort(F.array_distinct(tokens(content)))
+    return F.sort_array(F.array_distinct(tokens(content)))
 
 
 def terms_indexed(content: Column) -> Column:

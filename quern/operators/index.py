@@ -27,7 +27,7 @@ def build_postings(corpus: DataFrame, *keep: str) -> DataFrame:
 
 def postings_lists(postings: DataFrame) -> DataFrame:
     """One row for each term with its list by document. For export: a common term makes a long row."""
-    return postings.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("document_id", "tf"))).alias("postings"))
+    return postings.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("document_id", "tf"))).alias("postings"))
 
 
 def postings_lookup(postings: DataFrame, *terms: str) -> DataFrame:
@@ -62,7 +62,7 @@ def corpus_stats(corpus: DataFrame) -> DataFrame:
 
 
 def forward_index(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("document_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    return postings.groupBy("document_id").agg(F.sort_array(F.collect_set("term")).alias("terms"))
 
 
 def remove_from_index(postings: DataFrame, removed: DataFrame) -> DataFrame:

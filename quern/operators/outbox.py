@@ -15,7 +15,7 @@ def replay_transitions(log: DataFrame) -> DataFrame:
     back to PENDING by requeue, which counts as retried; an attempt counts in any state;
     anything else changes nothing. Folded in the order of seq with a state of three values.
     """
-    ordered = log.groupBy("outbox_id").agg(F.array_sort(F.collect_list(F.struct("seq", "action"))).alias("log"))
+    ordered = log.groupBy("outbox_id").agg(F.sort_array(F.collect_list(F.struct("seq", "action"))).alias("log"))
 
     def step(s, x):
         a, status = x["action"], s["status"]

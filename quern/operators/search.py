@@ -47,7 +47,7 @@ def query_table(requests: DataFrame) -> DataFrame:
 
 def _sum_in_order(parts: Column) -> Column:
     """The sum of (term, value) structs in the order of their terms."""
-    return F.aggregate(F.array_sort(parts), F.lit(0.0), lambda a, x: a + x["value"])
+    return F.aggregate(F.sort_array(parts), F.lit(0.0), lambda a, x: a + x["value"])
 
 
 def score_batch(requests: DataFrame, postings: DataFrame, n_docs: DataFrame, df: DataFrame | None = None) -> DataFrame:
