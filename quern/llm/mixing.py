@@ -1,8 +1,8 @@
 """Mixing sources to target weights.
 
-Every row gets a hash-random key. Rows are dealt by (source, top bits of the key), so
-that a source of any size is spread over thousands of ranges; sums per range give each
-range's offset, a window inside a range gives each row's offset, and the source is cut
+Every row gets a hash-random key. Rows are dealt by (source, range of the key), so that a
+source of any size is spread over thousands of ranges; sums per range give each range's
+offset, a window inside a range gives each row's offset, and the source is cut
 at its exact budget. A budget above a source's size repeats the source in epochs.
 Only DataFrame functions are used.
 """
@@ -12,10 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, read_table
+from .common import WORD_PATTERN, materialize, read_table
 
-#: Key ranges of a source. A range is sorted by one task at a time.
-RANGES = 4096
+#: Hexadecimal digits of the key that name its range: 4096 ranges of a source. A range is
+#: sorted by one task at a time.
+RANGE_DIGITS = 3
 
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -25,7 +26,7 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap:
     turn. Together they get share times all sizes; none gets more than cap times its own
     size, what is above is shared out again by weight. That ends at one level: each
     target is least(cap * size, level * weight). The level is found by going through the
-    sources in the order of cap * size / weight.
+    sources in the order of cap * size / weight, in one task: a row for each source.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("_n") % len(weights) + 1).cast("int"))
@@ -46,13 +47,14 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap:
     return ranked.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix-1") -> DataFrame:
+def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix-1", carry: tuple[str, ...] = ()) -> DataFrame:
     """Return doc_id, source, size, source_size, target and taken for each row of docs.
 
     taken is the number of words of the row that the mix holds, repeats counted. Rows of
     a source are taken in the order of md5(seed:doc_id); ties (repeated ids) by size. A
     null text has size 0 and is taken 0 times; a null source is a source of its own; an
-    empty table gives an empty result. Extra columns are ignored.
+    empty table gives an empty result. A text of any length is one size. Columns named in
+    carry come along, others are ignored.
     """
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = docs.select(
@@ -60,12 +62,15 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: flo
         F.col("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
         key.alias("_key"),
+        *[F.col(c).alias(f"_carry_{c}") for c in carry],
     ).withColumns(
         {
             "_src": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("-")),
-            "_range": F.conv(F.substring("_key", 1, 4), 16, 10).cast("long") % RANGES,
+            "_range": F.substring("_key", 1, RANGE_DIGITS),
         }
     )
+    if not carry:  # narrow rows: texts are counted once
+        rows = materialize(rows, "sizes")
     ranges = rows.groupBy("_src", "_range").agg(F.first("source").alias("source"), F.sum("size").alias("_sum"))
     by_source = Window.partitionBy("_src")
     ranges = ranges.withColumn("_offset", F.coalesce(F.sum("_sum").over(by_source.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -81,7 +86,7 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: flo
         F.expr("floor(target) div source_size") * F.col("size")
         + F.greatest(F.lit(0), F.least(F.col("size"), budget % F.col("source_size") - F.col("_offset") - F.col("_before")))
     )
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"_carry_{c}").alias(c) for c in carry])
 
 
 def op7_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -103,7 +108,7 @@ s4 AS (SELECT *, (CAST(1.5 AS DOUBLE) * (sum(source_size) OVER ()) - coalesce(su
 lev AS (SELECT min_by(lv, i) AS lstar FROM s4 WHERE lv <= r),
 t AS (SELECT source, source_size, CASE WHEN lstar IS NULL THEN c ELSE least(c, lstar * w) END AS target FROM s4, lev),
 p AS (SELECT d.*, t.source_size, t.target,
-        coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY (('0x' || substr(k, 1, 4))::INT) % 4096, k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre
+        coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
   CAST(CASE WHEN source_size = 0 THEN 0 ELSE (CAST(floor(target) AS BIGINT) // source_size) * size
