@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, shuffle_parts
+from .common import hold_memo, materialize, read_table, shuffle_parts
 
 SHINGLE = 5
 #: A link: 100 * intersection >= PERCENT * union.
@@ -251,6 +251,7 @@ class SignatureTree:
 
 def _common_tokens(frames):
     """Tokens in many documents of a batch, with their counts."""
+    hold_memo("jaccard", lambda: None)
     for f in frames:
         sets = [shingles(t) for t in f.text]
         if sets:
@@ -261,33 +262,38 @@ def _common_tokens(frames):
 
 def _describe(common: np.ndarray):
     def describe(frames):
+        hold_memo("jaccard", lambda: None)
         seen: set[int] = set()
         for f in frames:
             rows = []
             for text in f.text:
                 tokens = shingles(text or "")
                 if not len(tokens):
-                    rows.append((0, None, None, None))
+                    rows.append((0, None, None, None, None))
                     continue
                 key = set_key(tokens)
                 if key in seen:
-                    rows.append((len(tokens), key, None, None))
+                    rows.append((len(tokens), key, None, None, None))
                     continue
                 if len(seen) < 1_000_000:  # copies met later in this task need not say it again
                     seen.add(key)
                 bits = signature(tokens, width(size_class(len(tokens)), SENT_BITS))
-                rows.append((len(tokens), key, prefix(tokens, common).view(np.int64), bits.tobytes()))
-            out = pd.DataFrame(rows, columns=["n", "set", "prefix", "bits"], dtype=object)
-            out["set"] = pd.array(out["set"].tolist(), dtype="Int64")
+                first = prefix(tokens, common)
+                rare = len(first) - int(np.isin(first, common).sum())
+                rows.append((len(tokens), key, first.view(np.int64), rare, bits.tobytes()))
+            out = pd.DataFrame(rows, columns=["n", "set", "prefix", "rare", "bits"], dtype=object)
+            for c in ("set", "rare"):
+                out[c] = pd.array(out[c].tolist(), dtype="Int64")
             out["n"] = out["n"].astype("int64")
             out.insert(0, "doc_id", f.doc_id.to_numpy())
+            out.insert(1, "text_hash", f.text_hash.to_numpy())
             yield out
 
     return describe
 
 
 def _grouped(frames, keys: list[str]):
-    """Groups of rows of a sorted partition, as lists of tuples."""
+    """Groups of rows of a sorted partition, as lists of tuples; the third column tells repeated rows."""
     held, now = [], None
     for f in frames:
         cols = [f[c].tolist() for c in keys]
@@ -296,7 +302,8 @@ def _grouped(frames, keys: list[str]):
                 if held:
                     yield held
                 held, now = [], key
-            held.append(row)
+            if not held or held[-1][2] != row[2]:
+                held.append(row)
     if held:
         yield held
 
@@ -395,7 +402,12 @@ def _cells(df: DataFrame, key: str, many: str, limit: int) -> DataFrame:
     return df.withColumn("cell", F.explode(F.when(F.col(many) > limit, pair).otherwise(F.array(F.lit("")))))
 
 
-def jaccard_components(docs: DataFrame, group_limit: int = GROUP_LIMIT, cluster_limit: int = CLUSTER_LIMIT) -> DataFrame:
+def text_hash(column="text"):
+    """A name of a text, null or not, by which rows with one doc_id are told apart."""
+    return F.coalesce(F.md5(F.col(column).cast("string")), F.lit("null"))
+
+
+def jaccard_components(docs: DataFrame, group_limit: int = GROUP_LIMIT, cluster_limit: int = CLUSTER_LIMIT, with_group: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text).
 
     Texts are lower-cased (A-Z) and cut into words at ASCII white space. The set of a
@@ -404,27 +416,29 @@ def jaccard_components(docs: DataFrame, group_limit: int = GROUP_LIMIT, cluster_
     when 100 * intersection >= 80 * union; component_id is the least doc_id reachable by
     links. A row with a null id links like others and gets that id or null. Repeated ids
     count by their texts. Extra columns are ignored.
+
+    with_group adds text_hash, which with doc_id names the text, and group, a name of the
+    component that is there for rows without an id too; null for texts without words.
     """
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
-    data = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    data = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash().alias("text_hash"))
     counts = data.where("text is not null").select("text").mapInPandas(_common_tokens, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     floor = max(20, data.count() // COMMON)
     common = np.sort(np.array([r.token for r in counts.where(F.col("n") >= floor).select("token").collect()], np.int64).view(np.uint64))
-    schema = "doc_id string, n long, set long, prefix array<long>, bits binary"  # pandas would make floats of ids with nulls
+    schema = "doc_id string, text_hash string, n long, set long, prefix array<long>, rare int, bits binary"  # pandas would make floats of ids with nulls
     described = data.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_describe(common), schema)
     described = materialize(described.withColumn("doc_id", F.col("doc_id").cast("long")), "sets")
 
-    tokens = described.where("prefix is not null").select("set", F.explode("prefix").alias("token"))
-    one = tokens.repartition(parts, "token").dropDuplicates(["token", "set"])
-    same = Window.partitionBy("token")
-    groups = one.withColumns(
-        {
-            "m": F.count(F.lit(1)).over(same),
-            "s1": F.bit_xor(F.xxhash64("set", F.lit(1))).over(same),
-            "s2": F.bit_xor(F.xxhash64("set", F.lit(2))).over(same),
-        }
-    ).where("m > 1")
+    tokens = described.where("prefix is not null").select("set", "rare", F.posexplode("prefix").alias("pos", "token"))
+    marks = {"m": F.count(F.lit(1)), "s1": F.bit_xor(F.xxhash64("set", F.lit(1))), "s2": F.bit_xor(F.xxhash64("set", F.lit(2)))}
+    # a rare token is in one document of COMMON at most
+    rare = tokens.where("pos < rare").select("set", "token").repartition(parts, "token").dropDuplicates(["token", "set"])
+    rare = rare.withColumns({c: x.over(Window.partitionBy("token")) for c, x in marks.items()}).where("m > 1")
+    # of a common one the sums are made before the shuffle, and the join can be split
+    late = materialize(tokens.where("pos >= rare").select("set", "token").dropDuplicates(["token", "set"]), "late")
+    stats = late.groupBy("token").agg(*[x.alias(c) for c, x in marks.items()]).where("m > 1").withColumnRenamed("token", "t")
+    groups = rare.unionByName(late.join(stats, F.col("token") == F.col("t")).drop("t"))
     groups = materialize(groups, "groups")
     # groups with the same members: one stands for all
     chosen = groups.groupBy("m", "s1", "s2").agg(F.min("token").alias("t")).select("t")
@@ -437,19 +451,20 @@ def jaccard_components(docs: DataFrame, group_limit: int = GROUP_LIMIT, cluster_
     clusters = components(edges)
 
     sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("m")).select(F.col("root").alias("cluster"), "m")
-    ids = described.where("set is not null and prefix is not null").groupBy("set").agg(F.min("doc_id").alias("one"))
+    ids = described.where("set is not null and prefix is not null").groupBy("set").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
     needed = clusters.join(ids, F.col("node") == F.col("set")).join(sizes, F.col("root") == F.col("cluster")).select("cluster", "m", "set", "one")
-    texts = needed.join(data, F.col("one").eqNullSafe(F.col("doc_id"))).select("cluster", "m", "set", "text")
+    named = F.col("one.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("one.text_hash") == F.col("text_hash"))
+    texts = needed.join(data, named).select("cluster", "m", "set", "text")
     cells = _cells(texts, "cluster", "m", cluster_limit).select("cluster", "cell", "set", "text")
     cells = cells.repartition(parts, "cluster", "cell").sortWithinPartitions("cluster", "cell", "set")
     linked = components(cells.mapInPandas(_verified, "u long, v long")).select(F.col("node").alias("node"), F.col("root").alias("root"))
 
-    own = described.select("doc_id", F.col("n").alias("n_shingles"), "set")
-    rooted = own.join(linked, F.col("set") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("root", "set").alias("_root"))
+    own = described.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "set")
+    rooted = own.join(linked, F.col("set") == F.col("node"), "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("root", "set").alias("group"))
     rooted = materialize(rooted, "rooted")
-    least = rooted.where("_root is not null").groupBy("_root").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("_root", "r2")
-    out = rooted.join(least, F.col("_root") == F.col("r2"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = rooted.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("group", "group2")
+    out = rooted.join(least, F.col("group") == F.col("group2"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *["text_hash", "group"] * with_group)
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
