@@ -3,7 +3,8 @@
 1. Each window of `length` bytes is owned by one anchor, its least 32-byte string under
    a fixed hash. Equal windows have equal anchors at equal offsets, so windows need to be
    compared only under the same anchor. Consecutive windows of an anchor form a run, kept
-   as a row (anchor hash, hash of the run's bytes, place).
+   as a row (anchor hash, hash of the run's bytes, place). Runs are taken as equal by both
+   hashes, 128 bits; texts are named by doc_id and a hash.
 2. An anchor that occurs once ends there. Runs with equal bytes are repeats as a whole;
    only one run of each kind takes part in what follows.
 3. The bytes of differing runs of an anchor meet in one block. A task builds one block
@@ -24,13 +25,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, shuffle_parts
+from .common import hold_memo, join_hot, materialize, read_table, shuffle_parts
 
 LENGTH, ANCHOR = 200, 32
 #: Window starts that are looked at together in a long text.
 PIECE = 1 << 20
 #: Bytes of a block, and differing runs of an anchor from which its windows are dealt by hash.
-BLOCK_BYTES, WIDE = 4 << 20, 20_000
+BLOCK_BYTES, WIDE = 2 << 20, 20_000
 #: Suffixes of a bucket that are sorted together.
 BUCKET = 1 << 18
 #: A perfect difference set: every difference modulo PERIOD occurs between two members.
@@ -91,18 +92,19 @@ def _runs(length: int):
     def runs(frames):
         import xxhash
 
+        hold_memo("suffixes", lambda: None)
         digest = xxhash.xxh3_64_intdigest
         for f in frames:
             out = []
-            for key, text in zip(f.key.to_numpy(), f.text, strict=True):
+            for key, tk, text in zip(f.key.to_numpy(), f.tk.to_numpy(), f.text, strict=True):
                 data = text.encode()
                 s, n, h = anchor_runs(data, length)
                 if len(s):
                     ends = (s + n + (length - 1)).tolist()
                     th = np.fromiter((digest(data[a:b]) for a, b in zip(s.tolist(), ends, strict=True)), np.uint64, len(s)).view(np.int64)
-                    out.append((np.full(len(s), key), h, th, s, n))
+                    out.append((np.full(len(s), key), np.full(len(s), tk), h, th, s, n))
             if out:
-                yield pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("key", "h", "th", "start", "n"))})
+                yield pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("key", "tk", "h", "th", "start", "n"))})
 
     return runs
 
@@ -231,27 +233,53 @@ def _blocks(length: int, block_bytes: int):
     return blocks
 
 
+def _pieces(length: int):
+    """All runs that are asked of a text, cut in one pass; repeated rows of a text stand together and count once."""
+
+    def pieces(frames):
+        last = None
+        for f in frames:
+            rows, size = [], 0
+            for key, tk, text, *asked in zip(f.key.tolist(), f.tk.tolist(), f.text, f.h, f.th, f.wide, f.start, f.n, strict=True):
+                if (key, tk) == last:
+                    continue
+                last, data = (key, tk), text.encode()
+                for h, th, wide, start, n in zip(*(x.tolist() for x in asked), strict=True):
+                    rows.append((h, th, wide, n, data[start : start + n + length - 1]))
+                    size += len(rows[-1][4])
+                    if size > BLOCK_BYTES:
+                        yield pd.DataFrame(rows, columns=["h", "th", "wide", "n", "run"])
+                        rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=["h", "th", "wide", "n", "run"])
+
+    return pieces
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, wide: int = WIDE) -> DataFrame:
-    """(key, spans): byte intervals of each text (key, text) that repeated strings cover.
+    """(key, tk, spans): byte intervals of each text (key, tk, text) that repeated strings cover.
 
-    Intervals of a key may overlap. Texts without repeats have no row.
+    key and tk together name a text. Intervals of a text may overlap. Texts without
+    repeats have no row.
     """
     spark = docs.sparkSession
-    texts = docs.where(F.octet_length("text") >= length).select("key", "text")
-    runs = texts.mapInPandas(_runs(length), "key long, h long, th long, start int, n int")
+    texts = docs.where(F.octet_length("text") >= length).select("key", "tk", "text")
+    runs = materialize(texts.mapInPandas(_runs(length), "key long, tk long, h long, th long, start int, n int"), "all-runs")
     kinds = runs.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("th").alias("lo"), F.max("th").alias("hi")).where("c > 1")
-    kinds = kinds.select(F.col("h").alias("h2"), (F.col("lo") != F.col("hi")).alias("mixed"))
-    shared = runs.join(kinds, F.col("h") == F.col("h2")).drop("h2")
-    shared = materialize(shared, "runs")
+    kinds = materialize(kinds.select("h", "c", (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
+    total = kinds.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    shared = materialize(join_hot(runs, kinds, ["h"], "c", total).drop("c"), "runs")
 
     # one run of each kind of an anchor with several kinds
-    ones = shared.where("mixed").groupBy("h", "th").agg(F.count(F.lit(1)).alias("c"), F.min_by(F.struct("key", "start", "n"), F.struct("key", "start")).alias("one"))
+    ones = shared.where("mixed").groupBy("h", "th").agg(F.count(F.lit(1)).alias("c"), F.min_by(F.struct("key", "tk", "start", "n"), F.struct("key", "tk", "start")).alias("one"))
     ones = materialize(ones, "kinds")
-    many = ones.groupBy("h").agg(F.count(F.lit(1)).alias("k")).select(F.col("h").alias("h2"), (F.col("k") > wide).alias("wide"))
-    asked = ones.join(many, F.col("h") == F.col("h2")).select("h", "th", "wide", F.col("one.key").alias("key2"), "one.start", "one.n")
-    piece = F.substring(F.encode("text", "UTF-8"), F.col("start") + 1, F.col("n") + length - 1)
-    pieces = asked.join(docs.select("key", "text"), F.col("key2") == F.col("key")).select("h", "th", "wide", "n", piece.alias("run"))
-    pieces = materialize(pieces, "pieces")
+    many = materialize(ones.groupBy("h").agg(F.count(F.lit(1)).alias("k")), "wide-anchors")
+    asked = join_hot(ones, many, ["h"], "k", total).select("h", "th", (F.col("k") > wide).alias("wide"), "one.*")
+    # a list for each text, no longer than the text
+    asked = asked.groupBy("key", "tk").agg(F.collect_list(F.struct("h", "th", "wide", "start", "n")).alias("asked"))
+    asked = asked.select(F.col("key").alias("key2"), F.col("tk").alias("tk2"), *[F.col(f"asked.{c}").alias(c) for c in ("h", "th", "wide", "start", "n")])
+    held = texts.join(asked.hint("merge"), (F.col("key") == F.col("key2")) & (F.col("tk") == F.col("tk2"))).select("key", "tk", "text", "h", "th", "wide", "start", "n")
+    pieces = materialize(held.mapInPandas(_pieces(length), "h long, th long, wide boolean, n int, run binary"), "pieces")
     parts = shuffle_parts(spark)
     sorted_runs = pieces.where("not wide").select("h", "th", "n", "run").repartition(parts, "h").sortWithinPartitions("h", "th")
     found = sorted_runs.mapInPandas(_blocks(length, block_bytes), "h long, th long, spans array<array<int>>")
@@ -263,13 +291,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     found = found.unionByName(dealt).select(F.col("h").alias("h2"), F.col("th").alias("th2"), "spans")
     whole = F.array(F.array(F.lit(0), F.col("one.n")))
     marks = ones.join(found, (F.col("h") == F.col("h2")) & (F.col("th") == F.col("th2")), "left")
-    marks = marks.select("h", "th", F.when(F.col("c") > 1, whole).otherwise(F.col("spans")).alias("spans")).where("spans is not null")
-    marks = materialize(marks, "marks").select(F.col("h").alias("h2"), F.col("th").alias("th2"), "spans")
+    marks = marks.select("h", "th", "c", F.when(F.col("c") > 1, whole).otherwise(F.col("spans")).alias("spans")).where("spans is not null")
+    marks = materialize(marks, "marks")
 
-    mixed = shared.where("mixed").join(marks, (F.col("h") == F.col("h2")) & (F.col("th") == F.col("th2"))).select("key", "start", "spans")
-    plain = shared.where("not mixed").select("key", "start", F.array(F.array(F.lit(0), F.col("n"))).alias("spans"))
+    mixed = join_hot(shared.where("mixed"), marks, ["h", "th"], "c", total).select("key", "tk", "start", "spans")
+    plain = shared.where("not mixed").select("key", "tk", "start", F.array(F.array(F.lit(0), F.col("n"))).alias("spans"))
     moved = F.transform("spans", lambda s: F.array(F.col("start") + s[0], F.col("start") + s[1] + length - 1))
-    return mixed.unionByName(plain).select("key", moved.alias("spans")).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return mixed.unionByName(plain).select("key", "tk", moved.alias("spans")).groupBy("key", "tk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _cut(data: bytes, spans) -> tuple[bytes, int]:
@@ -292,13 +320,15 @@ def dedup_passages(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     Every byte is removed that a string of `length` bytes covers which also starts
     anywhere else in any text. Strings are judged on the input. A null text counts as
     empty; texts shorter than `length` are kept whole; repeated rows remove each other.
-    Columns of these names are replaced, others kept.
+    A very long text is looked at in pieces and cut in one pass. Columns of these names
+    are replaced, others kept.
     """
     kind = "kept_text string" if with_text else "kept binary"
     name = kind.split()[0]
     data = docs.drop(name, "n_bytes", "n_removed", "n_spans")
-    keyed = data.withColumn("key", F.xxhash64(F.col("doc_id"), F.col("text")))
-    spans = repeated_spans(keyed.where("text is not null").select("key", "text"), length)
+    keyed = data.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_tk": F.xxhash64(F.col("doc_id").isNull(), F.col("text"))})
+    named = keyed.where("text is not null").select(F.col("_key").alias("key"), F.col("_tk").alias("tk"), F.col("text").cast("string").alias("text"))
+    spans = repeated_spans(named, length).withColumnRenamed("spans", "_spans")
 
     @F.pandas_udf(f"{kind}, n_bytes long, n_removed long, n_spans long")
     def cut(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
@@ -309,8 +339,9 @@ def dedup_passages(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
             rows.append((kept.decode("utf-8", "ignore") if with_text else kept, len(raw), len(raw) - len(kept), n))
         return pd.DataFrame(rows, columns=[name, "n_bytes", "n_removed", "n_spans"])
 
-    both = keyed.join(spans.withColumnRenamed("key", "key2"), F.col("key") == F.col("key2"), "left")
-    both = both.withColumn("_cut", cut(F.col("text").cast("string"), "spans"))
+    spans = spans.withColumnsRenamed({"key": "_key2", "tk": "_tk2"})
+    both = keyed.join(spans, (F.col("_key") == F.col("_key2")) & (F.col("_tk") == F.col("_tk2")), "left")
+    both = both.withColumn("_cut", cut(F.col("text").cast("string"), "_spans"))
     return both.select(*data.columns, f"_cut.{name}", "_cut.n_bytes", "_cut.n_removed", "_cut.n_spans")
 
 

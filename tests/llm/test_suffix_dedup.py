@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -68,9 +69,9 @@ def test_runs_cover_all_windows_in_pieces(monkeypatch):
 def test_against_brute_force(spark, wide):
     texts = made(np.random.default_rng(7))
     df = spark.createDataFrame([(i, t.decode(), 0) for i, t in enumerate(texts)], "doc_id long, text string, kept int")
-    keyed = df.selectExpr("xxhash64(doc_id, text) key", "doc_id", "text")
-    spans = {r.key: r.spans for r in sd.repeated_spans(keyed.select("key", "text"), block_bytes=3000, wide=wide).collect()}
-    keys = {r.doc_id: r.key for r in keyed.collect()}
+    keyed = df.selectExpr("coalesce(doc_id, 0) key", "xxhash64(text) tk", "doc_id", "text")
+    spans = {(r.key, r.tk): r.spans for r in sd.repeated_spans(keyed.select("key", "tk", "text"), block_bytes=3000, wide=wide).collect()}
+    keys = {r.doc_id: (r.key, r.tk) for r in keyed.collect()}
     for i, (t, want) in enumerate(zip(texts, brute(texts, 200), strict=True)):
         kept, n = sd._cut(t, spans.get(keys[i], []))
         assert (len(t) - len(kept), n, kept) == want, i
@@ -94,3 +95,28 @@ def test_nulls_repeats_accents_empty(spark):
     want = sorted((i or -1, len((t or "").encode()), w[0], w[1], w[2]) for (i, t), w in zip(rows, brute([(t or "").encode() for _, t in rows], 200), strict=True))
     assert got == want
     assert sd.dedup_passages(df.limit(0)).count() == 0
+
+
+def test_hot_anchors_repeated_rows_and_clashing_columns(spark, monkeypatch):
+    """Anchors in very many texts take the broadcast way and give the same spans."""
+    from quern.llm import common
+
+    rng = random.Random(5)
+    shared = bytes(rng.choices(range(97, 123), k=400)).decode()
+    texts = [f"{i} " * 40 + shared[: 200 + i % 150] + f" {i}" * 40 for i in range(60)] + [shared] * 5 + ["x" * 150, None, ""]
+    rows = [(i if i % 7 else None, t, i, 1, "s") for i, t in enumerate(texts)] + [(3, texts[3], 0, 0, "r"), (3, "other " * 50 + shared, 0, 0, "r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key int, tk int, spans string")
+    want = sorted(len(t[1] or "") - gone for t, (gone, _, _) in zip(rows, brute([(t[1] or "").encode() for t in rows], 200), strict=True))
+    plain = sorted(r.n_bytes - r.n_removed for r in sd.dedup_passages(df).collect())
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    hot = sd.dedup_passages(df)
+    assert sorted(r.n_bytes - r.n_removed for r in hot.collect()) == plain == want
+    assert hot.columns[:5] == df.columns
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{i * i % 1_000_003}" for i in range(300_000))
+    df = spark.createDataFrame([(1, text + " one"), (2, "two " + text)], "doc_id long, text string")
+    got = {r.doc_id: r for r in sd.dedup_passages(df).collect()}
+    assert got[1].n_removed == got[2].n_removed == len(text)
+    assert got[1].n_spans == got[2].n_spans == 1
