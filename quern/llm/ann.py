@@ -21,7 +21,8 @@ from .common import materialize, read_table
 from .topk import usable
 
 SHARD_ROWS = 8192
-QUERY_BLOCK = 8192
+#: Queries that a shard is sent with at once; they are searched BATCH by BATCH.
+QUERY_BLOCK = 65_536
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 24, 40, 128, 1.2
 #: Nodes inserted together, and nodes of a beam expanded together.
 BATCH, EXPAND = 512, 4
@@ -29,9 +30,18 @@ BATCH, EXPAND = 512, 4
 INDEX_SCHEMA = "shard int, node int, entry int, vec_ids array<long>, vector array<double>, neighbours array<int>"
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by their largest component, so that no square is infinite; zeros stay."""
+    top = np.abs(x).max(axis=1, initial=0, keepdims=True)
+    return x / np.where(top > 0, top, 1)
+
+
 def _with_length(x: np.ndarray) -> np.ndarray:
+    """Vectors as parts of the longest one, with the coordinate that makes them equally long."""
+    x = x / (np.abs(x).max(initial=0) or 1.0)
     sq = (x * x).sum(axis=1)
-    return np.column_stack([x, np.sqrt(np.maximum(sq.max(initial=0) - sq, 0))]).astype(np.float32)
+    longest = sq.max(initial=0) or 1.0
+    return (np.column_stack([x, np.sqrt(np.maximum(longest - sq, 0))]) / np.sqrt(longest)).astype(np.float32)
 
 
 def beam_search(x, graph, entries, qs, beam: int):
@@ -141,7 +151,34 @@ def build_graph(vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEA
                 if full.any():
                     graph[own[full]] = robust_prune(x, own[full], both[full], a, degree)
                 src, dst = src[~now], dst[~now]
-    return graph, entry
+    return connected(x, graph, entry), entry
+
+
+def reached_from(graph: np.ndarray, nodes: np.ndarray, reached: np.ndarray) -> None:
+    """Mark what edges lead to from nodes."""
+    reached[nodes] = True
+    while len(nodes):
+        nodes = np.unique(graph[nodes])
+        nodes = nodes[nodes >= 0]
+        nodes = nodes[~reached[nodes]]
+        reached[nodes] = True
+
+
+def connected(x: np.ndarray, graph: np.ndarray, entry: int) -> np.ndarray:
+    """The graph with an edge to each node without a path from the entry, from the nearest node that has one."""
+    reached = np.zeros(len(x), bool)
+    reached_from(graph, np.array([entry]), reached)
+    for node in np.flatnonzero(~reached).tolist():
+        if reached[node]:
+            continue
+        have = np.flatnonzero(reached & (graph < 0).any(axis=1))  # with room for an edge
+        if not len(have):
+            graph = np.column_stack([graph, np.full(len(graph), -1, np.int32)])
+            have = np.flatnonzero(reached)
+        near = have[((x[have] - x[node]) ** 2).sum(axis=1).argmin()]
+        graph[near, np.flatnonzero(graph[near] < 0)[0]] = node
+        reached_from(graph, np.array([node]), reached)
+    return graph
 
 
 def _build(f: pd.DataFrame) -> pd.DataFrame:
@@ -158,10 +195,13 @@ def build_index(vectors: DataFrame, keep: int = 21, shard_rows: int = SHARD_ROWS
     """An index table with a row for each distinct vector of (vec_id long, vector array<double>).
 
     Equal vectors share a row with their `keep` smallest ids: as ties go to the smaller
-    id, no other can be among the keep nearest of a query. Null ids take no part.
+    id, no other can be among the keep nearest of a query. Null ids take no part; rows
+    that repeat id and vector count once. Shorter vectors count as padded with zeros.
+    Vectors are searched as 32-bit parts of the longest of their shard, of any size;
+    every node of a shard can be reached from its entry.
     """
     order = Window.partitionBy("vector").orderBy("vec_id")
-    small = vectors.where("vec_id is not null").select("vec_id", "vector").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= keep)
+    small = vectors.where("vec_id is not null").select("vec_id", "vector").distinct().withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= keep)
     classes = small.groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("vec_ids")).withColumn("first_id", F.col("vec_ids")[0])
     classes = materialize(classes, "ann-classes")
     shards = max(1, math.ceil(classes.count() / shard_rows))
@@ -172,7 +212,7 @@ def build_index(vectors: DataFrame, keep: int = 21, shard_rows: int = SHARD_ROWS
 def _search(k: int, beam: int):
     def search(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(index) or not len(queries):
-            return pd.DataFrame({"query": pd.Series(dtype="int64"), "found": pd.Series(dtype=object)})
+            return pd.DataFrame({"query": pd.Series(dtype="int64"), "name": pd.Series(dtype="int64"), "found": pd.Series(dtype=object)})
         index = index.sort_values("node").reset_index(drop=True)
         dims = max(max(map(len, index.vector)), max(map(len, queries.asked)))
         exact, qs = np.zeros((len(index), dims)), np.zeros((len(queries), dims))
@@ -184,15 +224,17 @@ def _search(k: int, beam: int):
         out = []
         for at in range(0, len(qs), BATCH):
             part = qs[at : at + BATCH]
-            flat = np.column_stack([part, np.zeros(len(part))]).astype(np.float32)
-            # the distance counts the query's length, too, which is the same for all
+            # the order of a query's products does not depend on its length, nor do its nearest
+            unit = scaled(part)
+            unit /= np.maximum(np.sqrt((unit * unit).sum(axis=1, keepdims=True)), 1e-300)
+            flat = np.column_stack([unit, np.zeros(len(part))]).astype(np.float32)
             nodes, _ = beam_search(x, graph, entry, flat, beam)
             for q, row in zip(part, nodes, strict=True):
                 row = row[row >= 0]
                 score = (exact[row] * q).sum(axis=1)
                 best = [(-s, i) for s, r in zip(score.tolist(), row, strict=True) for i in members[r]]
                 out.append([{"vec_id": int(i), "score": -s} for s, i in sorted(best)[:k]])
-        return pd.DataFrame({"query": queries["query"].to_numpy(), "found": out})
+        return pd.DataFrame({"query": queries["query"].to_numpy(), "name": queries["name"].to_numpy(), "found": out})
 
     return search
 
@@ -201,22 +243,24 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 20, beam: int =
     """The k nearest found of each query (vec_id long, vector array<double>), without its own id.
 
     Returns query_id, rank, vec_id, score (inner product in double precision). Equal
-    query vectors are searched once. The index must keep k + 1 ids of equal vectors.
+    query vectors are searched once; a query that repeats id and vector asks once, one
+    that repeats an id with another vector is a query of its own, with ranks from 1. The
+    index must keep k + 1 ids of equal vectors. Other columns are ignored.
     """
-    asked = queries.where("vec_id is not null").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("asked"))
-    kinds = asked.groupBy("asked").agg(F.min("query_id").alias("query"))
+    asked = queries.where("vec_id is not null").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("asked")).distinct()
+    kinds = asked.groupBy("asked").agg(F.min("query_id").alias("query")).withColumn("name", F.xxhash64("asked"))
     blocks = max(1, math.ceil(kinds.count() / QUERY_BLOCK))
     n = max((r.shard for r in index.agg(F.max("shard").alias("shard")).collect() if r.shard is not None), default=-1) + 1
     if not n:
         return queries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sent = kinds.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    sent = kinds.withColumn("block", F.pmod("name", F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = held.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block")).applyInPandas(_search(k + 1, beam), "query long, found array<struct<vec_id: long, score: double>>")
+    found = held.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block")).applyInPandas(_search(k + 1, beam), "query long, name long, found array<struct<vec_id: long, score: double>>")
     # k + 1 of each shard, a list for each query
-    merged = found.groupBy("query").agg(F.flatten(F.collect_list("found")).alias("found"))
+    merged = found.groupBy("query", "name").agg(F.flatten(F.collect_list("found")).alias("found"))
     best = F.slice(F.array_sort("found", lambda a, b: F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1)).when(a["vec_id"] < b["vec_id"], -1).when(a["vec_id"] > b["vec_id"], 1).otherwise(0)), 1, k + 1)
-    merged = merged.select("query", best.alias("found"))
-    own = asked.join(kinds, "asked").select("query_id", "query").join(merged, "query")
+    merged = merged.select("query", "name", best.alias("found"))
+    own = asked.join(kinds, "asked").select("query_id", "query", "name").join(merged, ["query", "name"])
     others = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     rows = own.select("query_id", F.posexplode(others).alias("pos", "x"))
     return rows.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")

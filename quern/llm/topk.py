@@ -19,30 +19,35 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, shuffle_parts
+from .common import materialize, read_table, shuffle_parts
 
 RATIO = 0.9  # shortest to longest vector of a bucket
 BUCKET_ROWS = 512
 CHUNK_ROWS = (1024, 16384)
-QUERY_BLOCK = 4096
+#: Queries that a chunk is sent with, and those that are multiplied with a bucket at once.
+QUERY_BLOCK, QUERY_STEP = 32_768, 4096
 #: Local cosine threshold from which a bucket is pruned by coordinates.
 COORDINATE_FROM = 0.6
 EPS = 1e-9
 
 
 def _padded(column, dims: int) -> np.ndarray:
-    out = np.zeros((len(column), dims))
+    out = np.zeros((len(column), dims), np.int64)
     for i, x in enumerate(column):
         out[i, : len(x)] = x
     return out
 
 
+#: Scores beyond the range of a long stand at its ends.
+MOST = (1 << 63) - 1
+
+
 class TopK:
-    """Running k best of each query, ties to the smaller id."""
+    """Running k best of each query, ties to the smaller id. Scores are whole numbers; floor is rounded."""
 
     def __init__(self, n: int, k: int, floor: np.ndarray):
         self.k, self.floor = k, floor.astype(float)
-        self.q, self.s, self.i = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+        self.q, self.s, self.i = (np.empty(0, np.int64) for _ in range(3))
 
     def add(self, q: np.ndarray, s: np.ndarray, i: np.ndarray) -> None:
         q, s, i = np.concatenate([self.q, q]), np.concatenate([self.s, s]), np.concatenate([self.i, i])
@@ -56,17 +61,17 @@ class TopK:
         self.q, self.s, self.i = q[keep], s[keep], i[keep]
 
 
-def _length_pruned(qs, q_len, cs, c_len, floor, active):
+def _length_pruned(qs, q_len, cs, c_len, floor, slack, active):
     """Products with the vectors long enough for at least one query, then per query."""
     with np.errstate(divide="ignore", invalid="ignore"):
         need = np.where(floor[active] > 0, floor[active] / q_len[active] * (1 - EPS), 0.0)
     n = int(np.searchsorted(-c_len, -need.min(), side="right"))
     products = qs[active] @ cs[:n].T
-    r, c = np.nonzero(products >= floor[active][:, None])
+    r, c = np.nonzero(products >= (floor[active] - slack[active] * c_len.max(initial=0))[:, None])
     return active[r], products[r, c], c
 
 
-def _coordinate_pruned(qs, q_len, cs, c_len, floor, active, local):
+def _coordinate_pruned(qs, q_len, cs, c_len, floor, slack, active, local):
     """Products with the vectors whose focus coordinate can reach the local threshold."""
     unit = cs / np.maximum(c_len, 1e-300)[:, None]
     orders = np.argsort(unit, axis=0)
@@ -81,22 +86,52 @@ def _coordinate_pruned(qs, q_len, cs, c_len, floor, active, local):
         lo, hi = np.searchsorted(columns[:, f], [low - EPS, high + EPS])
         rows = orders[lo:hi, f]
         s = cs[rows] @ qs[a]
-        ok = s >= floor[a]
+        ok = s >= floor[a] - slack[a] * c_len.max(initial=0)
         found[0].append(np.full(int(ok.sum()), a))
         found[1].append(s[ok])
         found[2].append(rows[ok])
     return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in found)
 
 
-def search_chunk(qid, qs, floor, cid, cs, k: int) -> TopK:
-    """The k best of each query among the vectors of a chunk that reach its floor."""
+def _near_best(r, s, c, k: int, slack: np.ndarray):
+    """Of pairs with rounded products those that can be among the k best of their query."""
+    order = np.lexsort((-s, r))
+    r, s, c = r[order], s[order], c[order]
+    first = np.r_[True, r[1:] != r[:-1]] if len(r) else np.empty(0, bool)
+    start = np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))
+    sizes = np.bincount(r, minlength=len(slack))[r]
+    least = s[start + np.minimum(k, sizes) - 1]
+    keep = s >= least - 2 * slack[r]
+    return r[keep], c[keep]
+
+
+def _whole_products(qi, ci, r, c) -> np.ndarray:
+    """Exact products of pairs of rows of whole numbers, of any size."""
+    out = np.empty(len(r), np.int64)
+    for at in range(0, len(r), 4096):
+        part = slice(at, at + 4096)
+        exact = (qi[r[part]].astype(object) * ci[c[part]].astype(object)).sum(axis=1)
+        out[part] = [max(-MOST, min(MOST, x)) for x in exact.tolist()]
+    return out
+
+
+def search_chunk(qid, qi, floor, cid, ci, k: int) -> TopK:
+    """The k best of each query among the vectors of a chunk that reach its floor.
+
+    qi and ci hold whole numbers. Where a product could pass 2**53, floating-point ones
+    only select, with slack for their rounding, what is then multiplied exactly.
+    """
+    dims = max(1, qi.shape[1])
+    qs, cs = qi.astype(float), ci.astype(float)
+    exact = float(np.abs(cs).max(initial=0)) * float(np.abs(qs).max(initial=0)) * dims < 2**53
     q_len, c_len = np.linalg.norm(qs, axis=1), np.linalg.norm(cs, axis=1)
+    slack = np.zeros(len(qs)) if exact else q_len * (dims * 2.0**-50)
     order = np.argsort(-c_len, kind="stable")
-    cid, cs, c_len = cid[order], cs[order], c_len[order]
+    cid, ci, cs, c_len = cid[order], ci[order], cs[order], c_len[order]
     top, start = TopK(len(qid), k, floor), 0
     while start < len(cid):
         end = min(start + BUCKET_ROWS, int(np.searchsorted(-c_len, -RATIO * c_len[start], side="right")))
-        b, b_len, b_id = cs[start:end], c_len[start:end], cid[start:end]
+        b, b_len, b_id, b_int = cs[start:end], c_len[start:end], cid[start:end], ci[start:end]
         with np.errstate(divide="ignore", invalid="ignore"):
             local = np.where(top.floor > 0, top.floor / (q_len * b_len[0]), -1.0)
         active = np.nonzero(local <= 1 + EPS)[0]
@@ -106,31 +141,37 @@ def search_chunk(qid, qs, floor, cid, cs, k: int) -> TopK:
         # one choice for a bucket, by the thresholds of its queries
         high = local[active] >= COORDINATE_FROM
         if high.mean() > 0.5:
-            r, s, c = _coordinate_pruned(qs, q_len, b, b_len, top.floor, active[high], np.minimum(local[active][high], 1.0))
+            r, s, c = _coordinate_pruned(qs, q_len, b, b_len, top.floor, slack, active[high], np.minimum(local[active][high], 1.0))
             if not high.all():
-                r2, s2, c2 = _length_pruned(qs, q_len, b, b_len, top.floor, active[~high])
+                r2, s2, c2 = _length_pruned(qs, q_len, b, b_len, top.floor, slack, active[~high])
                 r, s, c = np.concatenate([r, r2]), np.concatenate([s, s2]), np.concatenate([c, c2])
         else:
-            r, s, c = _length_pruned(qs, q_len, b, b_len, top.floor, active)
+            r, s, c = _length_pruned(qs, q_len, b, b_len, top.floor, slack, active)
         r, c = r.astype(np.int64), c.astype(np.int64)
         other = b_id[c] != qid[r]
-        top.add(r[other], s[other], b_id[c[other]])
+        r, s, c = r[other], s[other], c[other]
+        if exact:
+            s = np.rint(s).astype(np.int64)
+        else:
+            r, c = _near_best(r, np.clip(s, -(2.0**63), 2.0**63), c, k, slack * b_len[0])
+            s = _whole_products(qi, b_int, r, c)
+        top.add(r, s, b_id[c])
     return top
 
 
 def _cell(k: int):
     def cell(cand: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        cols = {"query_id": "int64", "vec_id": "int64", "score": "int64"}
-        if not len(cand) or not len(queries):
-            return pd.DataFrame({c: pd.Series(dtype=t) for c, t in cols.items()})
-        dims = max(max(map(len, cand.v)), max(map(len, queries.qv)))
-        cs, qs = _padded(cand.v, dims), _padded(queries.qv, dims)
-        if float(np.abs(cs).max(initial=0)) * float(np.abs(qs).max(initial=0)) * max(dims, 1) >= 2**53:
-            raise OverflowError("components too large for exact products")
-        qid = queries.query_id.to_numpy(np.int64)
-        floor = queries.floor.fillna(-np.inf).to_numpy(float)
-        top = search_chunk(qid, qs, floor, cand.vec_id.to_numpy(np.int64), cs, k)
-        return pd.DataFrame({"query_id": qid[top.q], "vec_id": top.i, "score": np.rint(top.s).astype(np.int64)})
+        cols = {"query_id": "int64", "query": "int64", "vec_id": "int64", "score": "int64"}
+        out = [pd.DataFrame({c: pd.Series(dtype=t) for c, t in cols.items()})]
+        if len(cand) and len(queries):
+            dims = max(max(map(len, cand.v)), max(map(len, queries.qv)))
+            ci, cid = _padded(cand.v, dims), cand.vec_id.to_numpy(np.int64)
+            for at in range(0, len(queries), QUERY_STEP):
+                part = queries.iloc[at : at + QUERY_STEP]
+                qid, names = part.query_id.to_numpy(np.int64), part["query"].to_numpy(np.int64)
+                top = search_chunk(qid, _padded(part.qv, dims), part.floor.fillna(-np.inf).to_numpy(float), cid, ci, k)
+                out.append(pd.DataFrame({"query_id": qid[top.q], "query": names[top.q], "vec_id": top.i, "score": top.s}))
+        return pd.concat(out, ignore_index=True)
 
     return cell
 
@@ -164,8 +205,10 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, chunk_rows:
     vectors and queries: (vec_id long, v array<long>), null and non-finite vectors left
     out before. A row with the query's own id is no candidate; ties go to the smaller
     vec_id; fewer than k candidates are all returned. Shorter vectors count as padded
-    with zeros. Repeated rows of an id appear as often as they stand. Rows with a null
-    id take no part. Products must stay below 2**53, else the task fails.
+    with zeros. Candidates that repeat an id appear as often as they stand. A query that
+    repeats id and vector asks once; one that repeats an id with another vector is a query
+    of its own, with ranks from 1. Rows with a null id take no part. Products are exact at
+    any size; those beyond the range of a long count as its ends.
     """
     spark = vectors.sparkSession
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
@@ -176,31 +219,39 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, chunk_rows:
     n = sum(x[1] for x in bins)
     rows = chunk_rows or min(CHUNK_ROWS[1], max(CHUNK_ROWS[0], math.ceil(n / (2 * shuffle_parts(spark)))))
     plan = plan_chunks(bins, rows)
-    schema = "query_id long, vec_id long, score long"
+    schema = "query_id long, query long, vec_id long, score long"
     if not plan:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     of_bin = spark.createDataFrame(plan, "bin int, first int, many int, longest double")
     chunks = spark.createDataFrame([(c, top) for _, first, many, top in {p[1]: p for p in reversed(plan)}.values() for c in range(first, first + many)], "chunk int, longest double")
     cand = vec.join(F.broadcast(of_bin), "bin").select("vec_id", "v", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("many"))).cast("int").alias("chunk"))
     q = queries.where("vec_id is not null").withColumn("len", length).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.col("len").alias("len"))
+    q = q.dropDuplicates(["query_id", "qv"]).withColumn("query", F.xxhash64("query_id", "qv"))
     blocks = max(1, math.ceil(q.count() / QUERY_BLOCK))
-    q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    q = q.withColumn("block", F.pmod("query", F.lit(blocks)).cast("int"))
 
-    def run(cand, q):
-        cells = cand.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    def run(cand, q, pairs):
+        """pairs: (chunk, block) with a query; candidates go to these only."""
+        cells = cand.join(pairs, "chunk")
         return cells.groupBy("chunk", "block").cogroup(q.groupBy("chunk", "block")).applyInPandas(_cell(k), schema)
 
     none = F.lit(None).cast("double")
-    first = run(cand.where("chunk = 0"), q.select("query_id", "qv", "block", F.lit(0).alias("chunk"), none.alias("floor")))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    floors = first.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("floor"))
+    ids = spark.range(blocks).select(F.col("id").cast("int").alias("block"))
+    first = run(cand.where("chunk = 0"), q.select("query_id", "query", "qv", "block", F.lit(0).alias("chunk"), none.alias("floor")), ids.withColumn("chunk", F.lit(0)))
+    best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
+    floors = first.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).groupBy("query_id", "query").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("floor"))
     later = chunks.where("chunk > 0")
     if len(plan) == 1 and plan[0][2] == 1:
         found = first
     else:
-        reach = F.col("floor").isNull() | (F.col("len") * F.col("longest") * (1 + EPS) >= F.col("floor"))
-        sent = q.join(floors, "query_id", "left").join(F.broadcast(later), reach).select("query_id", "qv", "block", "chunk", "floor")
-        found = first.unionByName(run(cand.where("chunk > 0"), sent))
+        # a query reaches the chunks whose longest vector times ratio is 1 or more; a block what one of its queries does
+        ratio = F.when(F.col("floor") > 0, F.col("len") * (1 + EPS) / F.col("floor")).otherwise(F.lit(float("inf")))
+        asked = q.join(floors, ["query_id", "query"], "left").withColumn("ratio", ratio)
+        asked = materialize(asked, "asked")
+        reach = (F.col("ratio") == float("inf")) | (F.col("ratio") * F.col("longest") >= 1)
+        pairs = materialize(asked.groupBy("block").agg(F.max("ratio").alias("ratio")).join(F.broadcast(later), reach).select("block", "chunk", "longest"), "cells")
+        sent = asked.join(pairs, "block").where(reach).select("query_id", "query", "qv", "block", "chunk", "floor")
+        found = first.unionByName(run(cand.where("chunk > 0"), sent, pairs.select("block", "chunk")))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -33,6 +33,27 @@ def test_chunk_search_is_exact(kind):
     assert got == want
 
 
+@pytest.mark.parametrize("size", [2**27, 2**30, 2**55])
+def test_products_beyond_double_precision(size):
+    """Exact where floating-point products are not, and the ends of a long beyond its range."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(-size, size, (400, 8))
+    x[100:110] = x[3] + np.arange(10)[:, None] % 3
+    top = topk.search_chunk(np.arange(0, 400, 8), x[::8], np.full(50, -np.inf), np.arange(400), x, 6)
+    most = 2**63 - 1
+    for a in range(50):
+        s = [(-max(-most, min(most, sum(int(u) * int(v) for u, v in zip(x[8 * a], y, strict=True)))), j) for j, y in enumerate(x) if j != 8 * a]
+        mine = top.q == a
+        assert list(zip((-top.s[mine]).tolist(), top.i[mine].tolist(), strict=True)) == sorted(s)[:6]
+
+
+def test_repeated_queries_and_huge_components(spark):
+    rows = [(20, [3, 0]), (20, [3, 0]), (20, [0, 5]), (1, [2, 1]), (3, [1, 1]), (4, [1 << 40, -(1 << 40)]), (5, [-4, 0])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = sorted(tuple(r) for r in topk.exact_topk(df, df.where("vec_id % 20 = 0"), k=2).collect())
+    assert got == [(20, 1, 1, 5), (20, 1, 4, 3 << 40), (20, 2, 1, 6), (20, 2, 3, 5)]
+
+
 def test_chunks_split_crowded_lengths_and_merge_short_ones():
     plan = topk.plan_chunks([(5, 10, 9.0), (4, 2500, 7.0), (3, 10, 5.0), (2, 20, 4.0)], 1000)
     assert [(p[1], p[2]) for p in plan] == [(0, 1), (1, 3), (4, 1), (4, 1)]
@@ -89,3 +110,40 @@ def test_ann_odd_rows(spark):
     assert ann.search_index(ann.build_index(vec.limit(0)), vec.limit(0)).count() == 0
     alone = ann.search_index(ann.build_index(vec.where("vec_id = 220")), vec.where("vec_id = 220"))
     assert alone.count() == 0
+
+
+@pytest.mark.parametrize("n", [40, 100])
+def test_every_node_is_reached(n):
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        x = rng.normal(size=(n, 6)) * 10.0 ** rng.integers(-3, 4, (n, 1))
+        graph, entry = ann.build_graph(x, seed=seed)
+        reached = np.zeros(n, bool)
+        ann.reached_from(graph, np.array([entry]), reached)
+        assert reached.all()
+        assert sorted(ann.beam_search(ann._with_length(x), graph, np.array([entry]), ann._with_length(x)[:1], 128)[0][0].tolist())[-n:] == list(range(n))
+
+
+def test_unreached_nodes_are_linked():
+    x = ann._with_length(np.random.default_rng(1).normal(size=(9, 3)))
+    graph = np.full((9, 1), -1, np.int32)
+    graph[0, 0], graph[1, 0] = 1, 0
+    out = ann.connected(x, graph, 0)
+    reached = np.zeros(9, bool)
+    ann.reached_from(out, np.array([0]), reached)
+    assert reached.all()
+
+
+def test_ann_huge_repeated_and_uneven_vectors(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=4) * 10.0 ** rng.integers(-20, 21)).tolist()) for i in range(60)] + [(60, [1e150, -1e150]), (61, [1e-150])]
+    rows += [rows[0], rows[0], (20, [1.0, 2.0, 3.0, 4.0])]
+    df = spark.createDataFrame([(*r, 7, 0.0) for r in rows], "vec_id long, vector array<double>, rank int, score double")
+    out = ann.search_index(ann.build_index(df), df.where("vec_id in (0, 20, 60)"), 62).collect()
+    vec = {(i, tuple(v)) for i, v in rows}
+    pad = lambda v: np.array([*v, *[0.0] * (4 - len(v))])
+    for q, v in [(0, rows[0][1]), (60, rows[60][1]), (20, rows[20][1]), (20, [1.0, 2.0, 3.0, 4.0])]:
+        want = sorted((-float((pad(v) * pad(w)).sum()), j) for j, w in vec if j != q)[:62]
+        found = {(r["rank"], r.vec_id, r.score) for r in out if r.query_id == q}
+        missing = {(k, j, -s) for k, (s, j) in enumerate(want, 1)} - found
+        assert not missing, (sorted(missing)[:3], sorted(found)[:70])
