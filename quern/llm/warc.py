@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import make_folder, read_table, scratch_path
+from .common import join_hot, make_folder, materialize, read_table, scratch_path
 
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 DATE = "2020-01-01T00:00:00Z"
@@ -41,7 +41,8 @@ def plan_records(pages: DataFrame, min_bytes: int = MIN_DEDUP_BYTES) -> DataFram
     """pages with payload, payload_bytes, payload_digest and refers_to (null: a response).
 
     Only (page_id, digest) pairs are grouped by digest, with partial sums before the
-    shuffle; payloads move once, by page.
+    shuffle, and the digests of very common payloads go to their pages by broadcast;
+    payloads move once, by page and digest, so rows without an id are spread, too.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -49,9 +50,11 @@ def plan_records(pages: DataFrame, min_bytes: int = MIN_DEDUP_BYTES) -> DataFram
         F.coalesce(F.encode(F.col("html").cast("string"), "UTF-8"), F.lit(b"")).alias("payload"),
     )
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
-    large = rows.where(F.col("payload_bytes") >= min_bytes).select("page_id", "payload_digest")
+    large = materialize(rows.where(F.col("payload_bytes") >= min_bytes).select("page_id", "payload_digest"), "digests")
     firsts = large.groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1 and _first is not null")
-    revisits = large.join(firsts, "payload_digest").where(F.coalesce(F.col("page_id") > F.col("_first"), F.lit(True)))
+    firsts = materialize(firsts, "first-pages")
+    n = firsts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    revisits = join_hot(large, firsts, ["payload_digest"], "_n", n).where(F.coalesce(F.col("page_id") > F.col("_first"), F.lit(True)))
     revisits = revisits.groupBy("page_id", "payload_digest").agg(F.first("_first").alias("refers_to"))
     # the id goes first: it alone deals the rows evenly, and the digest settles repeated ids
     r = revisits.select(F.col("page_id").alias("_p"), F.col("payload_digest").alias("_d"), "refers_to")
