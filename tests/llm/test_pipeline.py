@@ -58,7 +58,42 @@ def test_odd_rows(spark):
     for _, stage in cp.STAGES:
         assert stage(spark, df.limit(0), "").count() == 0
     assert {r.doc_id for r in cp.language_id(spark, df, "").collect()} == {1, None, 4}
-    assert sorted((r.doc_id is None, r.doc_id) for r in cp.near_duplicates(spark, df, "").collect()) == [(False, 1), (False, 2), (False, 3), (False, 4), (True, None)]
+    assert sorted((r.doc_id is None, r.doc_id) for r in cp.near_duplicates(spark, df, "").collect()) == [(False, 1), (False, 2), (False, 3), (False, 4)]  # the row without an id links with 1
     assert len(cp.repeated_passages(spark, df, "").collect()) == 5
     assert cp.mix_to_targets(spark, df, "").count() > 0
     assert cp.encode(spark, df, "").count() == 6
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    """Rows of one id with different texts are judged by their texts, each."""
+    a = " ".join(f"alpha{i}" for i in range(60))
+    near = a.replace("alpha59", "omega")
+    b = " ".join(f"beta{i}" for i in range(60))
+    c = " ".join(f"gamma{i}" for i in range(60))
+    rows = [(1, a, "s"), (2, near, "s"), (2, b, "s"), (3, c, "s"), (3, c + " more", "t"), (3, c, "r"), (None, near, "s"), (None, "one two three", "s"), (None, "one two three", "t"), (4, None, "s"), (4, None, "s"), (4, "", "s"), (5, "", "s")]
+    df = spark.createDataFrame([(d, t, "en", s, 1, 7, 8, 9, 10) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, group int, _n int, taken int, size int")
+    kept = cp.near_duplicates(spark, df, "")
+    assert list(kept.columns) == list(cp.COLUMNS)
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    third = min([(3, c), (3, c + " more")], key=lambda r: hashlib.md5(r[1].encode()).hexdigest())
+    assert got == sorted([(1, a), (2, b), third, (None, "one two three"), (4, None), (4, ""), (5, "")], key=repr)
+    mixed = cp.mix_to_targets(spark, df, "")
+    want = {}
+    for r in mixing.mix_sources(df, carry=("text",)).collect():
+        key = (r.doc_id, r.text, r.source)
+        want[key] = want.get(key, 0) + (r.taken // r["size"] if r["size"] else 0)
+    found = {}
+    for r in mixed.collect():
+        key = (r.doc_id, r.text, r.source)
+        found[key] = found.get(key, 0) + 1
+    assert found == {k: n for k, n in want.items() if n} and found
+    for _, stage in cp.STAGES:
+        assert stage(spark, df, "").count() >= 0
+
+
+def test_scratch_of_a_lazy_result_stays(spark, sf_dir):
+    """A pipeline run deletes its own tables only."""
+    lazy = mixing.op7_mix_sources(spark, sf_dir)
+    cp.run(spark, sf_dir)
+    assert lazy.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    assert not cp._scratch.get(("near_duplicates", sf_dir))
