@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .telemetry import order_statistics
+
 
 def partition_lag(samples: DataFrame) -> DataFrame:
     """samples with lag and failed: end - current, at least 0; end if nothing is committed; null without an end."""
@@ -67,8 +69,11 @@ def final_lag_verdict(lags: DataFrame) -> DataFrame:
 
 
 def consumer_lag(offsets: DataFrame) -> DataFrame:
-    """Per sample and group, the sum over partitions of high - position; without a position high - low (0)."""
-    lag = F.greatest(F.lit(0), F.col("log_end_offset") - F.coalesce("current_offset", F.lit(0)))
+    """Per sample and group, the sum over partitions of high - position; without a position high - low.
+
+    offsets: log_start_offset (low), log_end_offset (high), current_offset (position).
+    """
+    lag = F.greatest(F.lit(0), F.col("log_end_offset") - F.coalesce("current_offset", "log_start_offset"))
     return offsets.groupBy("sample_index", "consumer_group").agg(F.sum(lag).alias("lag"))
 
 
@@ -82,6 +87,15 @@ def propagation_latency(log: DataFrame) -> DataFrame:
     return log.select("document_id", node("t_node1").alias("node1"), node("t_node2").alias("node2"), late("t_write_done").alias("both_nodes"), late("t_published").alias("from_publish"), timeout.alias("timeout"))
 
 
+def propagation_summary(log: DataFrame) -> DataFrame:
+    """Mutations, timeouts, and quantiles of the latency to both nodes, in one row."""
+    p = propagation_latency(log)
+    picks = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    counted = p.agg(F.count(F.lit(1)).alias("mutations"), F.count(F.when(F.col("timeout"), 1)).alias("timeouts"), F.max("both_nodes").alias("most"))
+    stats = order_statistics(p, "both_nodes", (), picks).select(*[F.round(m, 6).alias(m) for m in picks])
+    return counted.join(F.broadcast(stats), how="left")  # a row each
+
+
 def shard_routing(corpus: DataFrame, shards: int = 3) -> DataFrame:
     """Documents of each shard and their share against an even one."""
     if shards < 1:

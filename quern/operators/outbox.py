@@ -2,39 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STATUSES = ("PENDING", "DISPATCHING", "PUBLISHED", "FAILED")
 
 
-def replay_transitions(log: DataFrame) -> DataFrame:
+#: Rows of one event's log that are folded in a row of their own.
+FOLD_RANGE = 1_000
+
+
+def _moved(status: Column, action: Column) -> Column:
+    """The status after an action."""
+    return (
+        F.when((action == "mark_dispatching") & (status == "PENDING"), "DISPATCHING")
+        .when((action == "mark_published") & (status == "DISPATCHING"), "PUBLISHED")
+        .when((action == "mark_failed") & (status == "DISPATCHING"), "FAILED")
+        .when((action == "requeue") & (status == "FAILED"), "PENDING")
+        .otherwise(status)
+    )
+
+
+def replay_transitions(log: DataFrame, fold_range: int = FOLD_RANGE) -> DataFrame:
     """Final state of each event from log (outbox_id, seq, action): status, attempt_count, retried.
 
     All start PENDING. PENDING goes to DISPATCHING, that to PUBLISHED or FAILED, FAILED
     back to PENDING by requeue, which counts as retried; an attempt counts in any state;
-    anything else changes nothing. Folded in the order of seq with a state of three values.
+    anything else changes nothing. seq is an integer without ties in an event's log.
+
+    A log is folded by ranges of seq. Of each range it is kept where every status leads
+    and how many requeues that takes; such maps are joined range by range, and again by
+    ranges of ranges, so no row holds more than fold_range entries below the last level.
     """
-    ordered = log.groupBy("outbox_id").agg(F.sort_array(F.collect_list(F.struct("seq", "action"))).alias("log"))
-
-    def step(s, x):
-        a, status = x["action"], s["status"]
-        requeued = (a == "requeue") & (status == "FAILED")
-        now = (
-            F.when((a == "mark_dispatching") & (status == "PENDING"), "DISPATCHING")
-            .when((a == "mark_published") & (status == "DISPATCHING"), "PUBLISHED")
-            .when((a == "mark_failed") & (status == "DISPATCHING"), "FAILED")
-            .when(requeued, "PENDING")
-            .otherwise(status)
-        )
-        return F.struct(
-            now.alias("status"),
-            (s["attempt_count"] + F.when(a == "record_attempt", 1).otherwise(0)).cast("long").alias("attempt_count"),
-            (s["retried"] + F.when(requeued, 1).otherwise(0)).cast("long").alias("retried"),
-        )
-
-    zero = F.struct(F.lit("PENDING").alias("status"), F.lit(0).cast("long").alias("attempt_count"), F.lit(0).cast("long").alias("retried"))
-    return ordered.select("outbox_id", F.aggregate("log", zero, step).alias("s")).select("outbox_id", "s.status", "s.attempt_count", "s.retried")
+    k = "_range"
+
+    def fold(x, a):
+        now = _moved(x["status"], a["action"])
+        again = (a["action"] == "requeue") & (x["status"] == "FAILED")
+        return F.struct(now.alias("status"), (x["retried"] + again.cast("long")).alias("retried"))
+
+    def start(status):
+        return F.struct(F.lit(status).alias("status"), F.lit(0).cast("long").alias("retried"))
+
+    ranged = log.select("outbox_id", "seq", "action", F.floor(F.col("seq") / F.lit(fold_range)).alias(k))
+    steps = F.sort_array(F.collect_list(F.struct("seq", "action"))).alias("steps")
+    maps = ranged.groupBy("outbox_id", k).agg(steps, F.count(F.when(F.col("action") == "record_attempt", 1)).alias("attempt_count"))
+    maps = maps.select("outbox_id", k, "attempt_count", *[F.aggregate("steps", start(s), fold).alias(s) for s in STATUSES])
+
+    def joined(x, m):
+        to = F.coalesce(*[F.when(x["status"] == s, m[s]) for s in STATUSES])
+        return F.struct(to["status"].alias("status"), (x["retried"] + to["retried"]).alias("retried"))
+
+    for level in (F.floor(F.col(k) / F.lit(fold_range)), F.floor(F.col(k) / F.lit(fold_range)), F.lit(0)):
+        inner = F.sort_array(F.collect_list(F.struct(k, *STATUSES))).alias("maps")
+        maps = maps.groupBy("outbox_id", level.alias("_up")).agg(inner, F.sum("attempt_count").alias("attempt_count"))
+        maps = maps.select("outbox_id", F.col("_up").alias(k), "attempt_count", *[F.aggregate("maps", start(s), joined).alias(s) for s in STATUSES])
+    return maps.select("outbox_id", "PENDING.status", "attempt_count", "PENDING.retried")
 
 
 def by_status(outbox: DataFrame, status: str) -> DataFrame:

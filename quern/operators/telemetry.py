@@ -46,33 +46,108 @@ def latency_last_n(log: DataFrame, n: int = 1000) -> DataFrame:
     return ranked.agg(F.round(F.avg("latency_ms"), 6).alias("avg_ms"), F.max(F.when(F.col("r") == pick, F.col("latency_ms"))).alias("p99_ms"), F.count(F.lit(1)).alias("sample_count"))
 
 
-def breaker_transitions(log: DataFrame) -> DataFrame:
-    """Per node, how often the breaker opened and how often it left Open; it starts Closed."""
-    before = F.lag("circuit_state", 1, "Closed").over(Window.partitionBy("node_id").orderBy("ts", "request_id"))
-    moved = log.withColumn("before", before)
-    opened = (F.col("circuit_state") == "Open") & (F.col("before") != "Open")
-    left = (F.col("circuit_state") != "Open") & (F.col("before") == "Open")
-    return moved.groupBy("node_id").agg(_count(opened).alias("open_events"), _count(left).alias("close_events"))
+#: Seconds of a log that are put in order together; a report over a longer log joins the edges of such ranges.
+RANGE_SECONDS = 600
 
 
-def failure_trips(log: DataFrame, threshold: int = 5) -> DataFrame:
-    """Requests at which a node's run of failures reaches the threshold; a success ends the run."""
-    by_node = Window.partitionBy("node_id").orderBy("ts", "request_id")
-    runs = log.withColumn("island", F.sum(F.when(F.col("success"), 1).otherwise(0)).over(by_node.rowsBetween(Window.unboundedPreceding, 0)))
-    failed = runs.where(~F.col("success")).withColumn("k", F.row_number().over(Window.partitionBy("node_id", "island").orderBy("ts", "request_id")))
-    return failed.where(F.col("k") == threshold).select("node_id", "request_id", "ts")
+def _ranges(log: DataFrame, seconds: int) -> DataFrame:
+    return log.withColumn("_range", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000 * seconds)))
 
 
-def _percentiles(x: Column) -> list[Column]:
-    return [F.round(F.percentile(x, F.lit(q)), 6).alias(f"p{round(q * 100)}_ms") for q in (0.5, 0.95, 0.99)]
+def breaker_transitions(log: DataFrame, seconds: int = RANGE_SECONDS) -> DataFrame:
+    """Per node, how often the breaker opened and how often it left Open; it starts Closed.
+
+    Moves are counted inside ranges of time; those between two ranges come from their
+    last and first states, a row for each node and range.
+    """
+    inside = Window.partitionBy("node_id", "_range").orderBy("ts", "request_id")
+    opened = lambda now, before: (F.col(now) == "Open") & (F.col(before) != "Open")
+    moved = _ranges(log, seconds).withColumn("before", F.lag("circuit_state").over(inside))
+    at = F.struct("ts", "request_id")
+    edges = moved.groupBy("node_id", "_range").agg(
+        _count(opened("circuit_state", "before")).alias("o"), _count(opened("before", "circuit_state")).alias("c"), F.min_by("circuit_state", at).alias("first"), F.max_by("circuit_state", at).alias("last")
+    )
+    edges = edges.withColumn("before", F.lag("last", 1, "Closed").over(Window.partitionBy("node_id").orderBy("_range")))
+    return edges.groupBy("node_id").agg(
+        (F.sum("o") + _count(opened("first", "before"))).alias("open_events"), (F.sum("c") + _count(opened("before", "first"))).alias("close_events")
+    )
+
+
+def failure_trips(log: DataFrame, threshold: int = 5, seconds: int = RANGE_SECONDS) -> DataFrame:
+    """Requests at which a node's run of failures reaches the threshold; a success ends the run.
+
+    Runs are counted inside ranges of time; a run at the start of a range goes on from
+    the failures that ended those before, a row for each node and range.
+    """
+    inside = Window.partitionBy("node_id", "_range").orderBy("ts", "request_id")
+    island = F.sum(F.when(F.col("success"), 1).otherwise(0)).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    runs = _ranges(log, seconds).select("node_id", "_range", "ts", "request_id", "success", island.alias("island"))
+    tails = runs.groupBy("node_id", "_range", "island").agg(_count(~F.col("success")).alias("failed"))
+    tails = tails.groupBy("node_id", "_range").agg(F.max_by("failed", "island").alias("tail"), (F.max("island") > 0).cast("int").alias("cut"))
+    by_node = Window.partitionBy("node_id").orderBy("_range")
+    tails = tails.withColumn("since", F.sum("cut").over(by_node))
+    tails = tails.withColumn("carried", F.sum("tail").over(Window.partitionBy("node_id", "since").orderBy("_range")))
+    carry = tails.select("node_id", "_range", F.lag("carried", 1, 0).over(by_node).alias("carry"))
+    nth = F.row_number().over(Window.partitionBy("node_id", "_range", "island").orderBy("ts", "request_id"))
+    failed = runs.where(~F.col("success")).withColumn("nth", nth).join(carry, ["node_id", "_range"])
+    k = F.col("nth") + F.when(F.col("island") == 0, F.col("carry")).otherwise(0)
+    return failed.where(k == threshold).select("node_id", "request_id", "ts")
+
+
+def order_statistics(df: DataFrame, value: str, keys: tuple[str, ...], picks: dict[str, float], floor: tuple[str, ...] = ()) -> DataFrame:
+    """Exact quantiles of a column: keys, and a column for each name in picks.
+
+    A quantile q is interpolated at q * (n - 1), for names in floor taken at its floor.
+    Null values don't count. Equal values are counted first and classed by magnitude
+    (about 256 classes for each doubling); sums over the classes tell in which ones the
+    wanted ranks lie, and only those are sorted, each for itself.
+    """
+    v = F.col("v")
+    size = F.floor(F.least(F.log2(1 + F.abs(v)), F.lit(1e4)) * 256)
+    part = F.when(F.isnan(v), F.lit(1 << 62)).otherwise(F.signum(v).cast("long") * size)
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
+    values = df.where(F.col(value).isNotNull()).select(key.alias("_key"), F.col(value).cast("double").alias("v"))
+    counts = values.groupBy("_key", "v").agg(F.count(F.lit(1)).alias("c")).withColumn("part", part)
+    parts = counts.groupBy("_key", "part").agg(F.sum("c").alias("c"))
+    all_parts = Window.partitionBy("_key")
+    parts = parts.withColumn("n", F.sum("c").over(all_parts)).withColumn("end", F.sum("c").over(all_parts.orderBy("part")))
+    at = {name: F.lit(q) * (F.col("n") - 1) for name, q in picks.items()}
+    # pos, and the two ranks it lies between
+    want = F.array(*[F.struct(F.lit(m).alias("name"), (F.floor(x) if m in floor else x).cast("double").alias("pos"), up.alias("rank"), F.lit(i).alias("up")) for m, x in at.items() for i, up in enumerate((F.floor(x), F.floor(x) if m in floor else F.ceil(x)))])
+    start = F.col("end") - F.col("c")
+    here = parts.select("_key", "part", start.alias("start"), F.explode(F.filter(want, lambda w: (w["rank"] >= start) & (w["rank"] < F.col("end")))).alias("w"))
+    wanted = here.groupBy("_key", "part", "start").agg(F.collect_list("w").alias("ws"))  # at most two entries for each pick
+    upto = F.sum("c").over(Window.partitionBy("_key", "part").orderBy("v"))
+    found = counts.join(wanted, ["_key", "part"]).withColumn("stop", F.col("start") + upto)
+    found = found.select("_key", "v", F.explode(F.filter("ws", lambda w: (w["rank"] >= F.col("stop") - F.col("c")) & (w["rank"] < F.col("stop")))).alias("w"))
+
+    def pick(name):
+        mine = F.col("w.name") == name
+        low, high = (F.max(F.when(mine & (F.col("w.up") == i), F.col("v"))) for i in (0, 1))
+        pos = F.max(F.when(mine, F.col("w.pos")))
+        return (F.when(low == high, low).otherwise(low + (high - low) * (pos - F.floor(pos)))).alias(name)
+
+    out = found.groupBy("_key").agg(*[pick(m) for m in picks])
+    return out.select(*[F.col(f"_key.{k}").alias(k) for k in keys], *picks)
+
+
+PERCENTILES = {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}
+
+
+def _with_percentiles(log: DataFrame, keys: tuple[str, ...], aggs: list[Column], picks: dict[str, float] = PERCENTILES, floor: tuple[str, ...] = ()) -> DataFrame:
+    """aggs by keys over all rows, and quantiles of the latency of successful ones, in the order of names."""
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
+    counted = log.groupBy(key.alias("_key")).agg(*aggs) if keys else log.agg(*aggs).withColumn("_key", key)
+    stats = order_statistics(log.where("success"), "latency_ms", keys, picks, floor)
+    stats = stats.select(key.alias("_key"), *[F.round(m, 6).alias(m) if m not in floor else F.col(m) for m in picks])
+    names = [c for c in counted.columns if c != "_key"]
+    return counted.join(stats, "_key", "left").select(*[F.col(f"_key.{k}").alias(k) for k in keys], *names, *picks)
 
 
 def latency_percentiles(log: DataFrame, *keys: str) -> DataFrame:
     """min, p50, p95, p99, mean and max of successful requests, interpolated on n - 1."""
-    good = log.where("success")
     x = F.col("latency_ms")
-    aggs = [F.min(x).alias("min_ms"), *_percentiles(x), F.round(F.avg(x), 6).alias("mean_ms"), F.max(x).alias("max_ms")]
-    return good.groupBy(*keys).agg(*aggs) if keys else good.agg(*aggs)
+    return _with_percentiles(log.where("success"), keys, [F.min(x).alias("min_ms"), F.round(F.avg(x), 6).alias("mean_ms"), F.max(x).alias("max_ms")])
 
 
 def _summary() -> list[Column]:
@@ -83,7 +158,6 @@ def _summary() -> list[Column]:
         F.count(F.lit(1)).alias("requests"),
         _count(F.col("success")).alias("successful"),
         _count(~F.col("success")).alias("errors"),
-        *_percentiles(good),
         F.round(F.avg(good), 6).alias("mean_ms"),
         F.round(F.try_divide(F.count(F.lit(1)).cast("double"), span), 9).alias("throughput_rps"),
     ]
@@ -91,12 +165,13 @@ def _summary() -> list[Column]:
 
 def run_summary(log: DataFrame) -> DataFrame:
     """For each replication factor and concurrency: counts, percentiles, requests per second of wall clock."""
-    return log.groupBy("rf", "concurrency").agg(*_summary())
+    return _with_percentiles(log, ("rf", "concurrency"), _summary())
 
 
 def mixed_workload_breakdown(log: DataFrame) -> DataFrame:
     """run_summary for each concurrency, over all operations (op null) and for each."""
-    return log.groupingSets([["concurrency"], ["concurrency", "op"]], "concurrency", "op").agg(*_summary())
+    each = _with_percentiles(log, ("concurrency", "op"), _summary())
+    return _with_percentiles(log, ("concurrency",), _summary()).withColumn("op", F.lit(None).cast("string")).unionByName(each)
 
 
 def replication_overhead(log: DataFrame) -> DataFrame:
@@ -118,21 +193,17 @@ def load_shed_report(log: DataFrame) -> DataFrame:
 
     p50 is the median; p95 and p99 are the sorted samples at floor(q * (n - 1)).
     """
-    tier = Window.partitionBy("concurrency", "success")
-    ranked = log.withColumn("r", F.row_number().over(tier.orderBy("latency_ms", "request_id"))).withColumn("k", F.count(F.lit(1)).over(tier))
-    at = lambda q: F.max(F.when(F.col("success") & (F.col("r") == F.floor(F.lit(q).cast("double") * (F.col("k") - 1)) + 1), F.col("latency_ms")))
     shed = _count(F.col("status_code") == 429)
     n = F.count(F.lit(1))
-    return ranked.groupBy("concurrency").agg(
+    aggs = [
         n.alias("total_requests"),
         _count(F.col("success")).alias("accepted"),
         shed.alias("rejected_429"),
         _count(~F.col("success") & (F.col("status_code") != 429)).alias("other_errors"),
         F.round(shed / n * 100.0, 2).alias("rejected_percent"),
-        F.round(F.median(F.when(F.col("success"), F.col("latency_ms"))), 6).alias("accepted_p50_ms"),
-        at(0.95).alias("accepted_p95_ms"),
-        at(0.99).alias("accepted_p99_ms"),
-    )
+    ]
+    picks = {"accepted_p50_ms": 0.5, "accepted_p95_ms": 0.95, "accepted_p99_ms": 0.99}
+    return _with_percentiles(log, ("concurrency",), aggs, picks, floor=("accepted_p95_ms", "accepted_p99_ms"))
 
 
 COUNTERS = ("searches", "search_errors", "search_incomplete", "writes", "write_errors")

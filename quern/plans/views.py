@@ -52,7 +52,7 @@ FROM (SELECT event_id, user_id, event_type AS et, CASE WHEN event_id % 101 = 0 T
  WHEN 'click' THEN 'DISPATCHING' ELSE 'PENDING' END AS status, event_id % 4 AS attempt_count FROM events""",
     "attempt_log": "SELECT event_id % 211 AS message_id, event_id AS seq, 'topic-' || (event_id % 211 % 2) AS topic, event_type = 'purchase' AS ok FROM events",
     "lag_samples": """SELECT event_id % 40 AS sample_index, CASE WHEN event_id % 40 < 5 THEN 'baseline' WHEN event_id % 40 < 30 THEN 'workload' WHEN event_id % 40 < 31 THEN 'workload_end' ELSE 'drain' END AS phase,
- 'node-' || (user_id % 3) AS consumer_group, (event_id + user_id) % 3 AS part, MAX(event_id) AS log_end_offset,
+ 'node-' || (user_id % 3) AS consumer_group, (event_id + user_id) % 3 AS part, MIN(event_id) AS log_start_offset, MAX(event_id) AS log_end_offset,
  MAX(CASE WHEN event_type <> 'error' THEN event_id END) AS current_offset, MAX(CASE WHEN event_id % 499 = 0 THEN 1 ELSE 0 END) = 1 AS query_failed
 FROM events GROUP BY 1,2,3,4""",
     "replica_inventory": """SELECT n.node_id, d.doc_id AS document_id, d.doc_id % 3 AS shard_id, CASE WHEN d.doc_id % 31 = 0 AND n.node_id = 1 THEN d.text || '!' ELSE d.text END AS content

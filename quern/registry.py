@@ -45,6 +45,13 @@ DFN = {"df": "SELECT term, count(*) AS df FROM postings GROUP BY term", "n": "SE
 BLANK = "NOT regexp_matches(content, '[^ \\t\\n\\r]')"
 TRIM = "regexp_replace(query, '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g')"
 
+
+
+def _quoted(text: str) -> str:
+    """The inside of a SQL string."""
+    return text.replace("'", "''")
+
+
 # --- sources and text -------------------------------------------------------------------
 
 
@@ -82,14 +89,20 @@ def _(requests):
 @query(
     "validate_search_requests",
     "requests",
-    f"SELECT query_id, e <> '' AS is_error, e AS error_message FROM (SELECT query_id, CASE WHEN mode NOT IN ('', 'and', 'or') THEN '{X.MSG_MODE.replace(chr(39), chr(39) * 2)}' WHEN lim NOT BETWEEN 1 AND 100 THEN '{X.MSG_LIMIT}' WHEN {TRIM} = '' THEN '{X.MSG_REQUEST}' ELSE '' END AS e FROM requests)",
+    f"SELECT query_id, e <> '' AS is_error, e AS error_message FROM (SELECT query_id, CASE WHEN mode NOT IN ('', 'and', 'or') THEN '{_quoted(X.MSG_MODE)}' WHEN lim NOT BETWEEN 1 AND 100 THEN '{X.MSG_LIMIT}' WHEN {TRIM} = '' THEN '{X.MSG_REQUEST}' ELSE '' END AS e FROM requests)",
 )
 def _(requests):
     e = F.coalesce(X.request_error(F.col("query"), F.col("mode"), F.col("lim")), F.lit(""))
     return requests.select("query_id", (e != "").alias("is_error"), e.alias("error_message"))
 
 
-@query("validate_ingest_payloads", "mutation_log")
+@query(
+    "validate_ingest_payloads",
+    "mutation_log",
+    f"""SELECT event_id, CASE WHEN b IS NULL THEN '{X.MSG_JSON}' WHEN NOT coalesce(json_type(b, '$.id') = 'UBIGINT' AND CAST(b ->> '$.id' AS HUGEINT) <= {X.MAX_ID}, false) THEN '{_quoted(X.MSG_ID)}'
+      WHEN coalesce(json_type(b, '$.content') <> 'VARCHAR', true) THEN '{_quoted(X.MSG_CONTENT)}' ELSE '' END AS reject_reason FROM bodies""",
+    bodies="SELECT event_id, CASE WHEN json_valid(t) THEN t END AS b FROM (SELECT event_id, replace(replace(payload, 'document_id', 'id'), 'document_content', 'content') AS t FROM mutation_log)",
+)
 def _(log):
     body = F.regexp_replace(F.regexp_replace("payload", "document_id", "id"), "document_content", "content")
     return log.select("event_id", F.coalesce(X.ingest_error(body), F.lit("")).alias("reject_reason"))
@@ -743,7 +756,7 @@ def _(samples):
     return D.final_lag_verdict(D.partition_lag(samples))
 
 
-@query("consumer_lag", "lag_samples", "SELECT sample_index, consumer_group, CAST(sum(greatest(0, log_end_offset - coalesce(current_offset, 0))) AS BIGINT) AS lag FROM lag_samples GROUP BY 1, 2")
+@query("consumer_lag", "lag_samples", "SELECT sample_index, consumer_group, CAST(sum(greatest(0, log_end_offset - coalesce(current_offset, log_start_offset))) AS BIGINT) AS lag FROM lag_samples GROUP BY 1, 2")
 def _(samples):
     return D.consumer_lag(samples)
 
@@ -763,9 +776,7 @@ def _(log):
     "SELECT count(*) AS mutations, count(*) FILTER (WHERE t IS NULL) AS timeouts, round(quantile_cont(t, 0.5), 6) AS p50, round(quantile_cont(t, 0.95), 6) AS p95, round(quantile_cont(t, 0.99), 6) AS p99, round(max(t), 6) AS most FROM (SELECT CASE WHEN t_node1 IS NOT NULL AND t_node2 IS NOT NULL THEN round(greatest(0, greatest(t_node1, t_node2) - t_write_done), 6) END AS t FROM propagation_log)",
 )
 def _(log):
-    p = D.propagation_latency(log)
-    q = [F.round(F.percentile("both_nodes", F.lit(x)), 6).alias(n) for x, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))]
-    return p.agg(F.count(F.lit(1)).alias("mutations"), F.count(F.when(F.col("timeout"), 1)).alias("timeouts"), *q, F.max("both_nodes").alias("most"))
+    return D.propagation_summary(log)
 
 
 @query("shard_routing", "corpus", "SELECT document_id % 5 AS shard_id, count(*) AS documents, round(count(*) * 5 / CAST((SELECT count(*) FROM corpus) AS DOUBLE), 6) AS skew FROM corpus GROUP BY 1")

@@ -142,6 +142,64 @@ def test_outbox_transitions(spark):
     assert got == {1: ("PENDING", 1, 1), 2: ("PENDING", 1, 0), 3: ("PUBLISHED", 0, 0)}
 
 
+def test_outbox_folds_by_ranges_like_one_fold(spark):
+    import random
+
+    rng = random.Random(5)
+    actions = ["mark_dispatching", "mark_published", "mark_failed", "requeue", "record_attempt"]
+    log = [(rng.randrange(3), seq, rng.choice(actions)) for seq in rng.sample(range(4_000), 900)]
+    moves = {("mark_dispatching", "PENDING"): "DISPATCHING", ("mark_published", "DISPATCHING"): "PUBLISHED", ("mark_failed", "DISPATCHING"): "FAILED", ("requeue", "FAILED"): "PENDING"}
+    want = {k: ["PENDING", 0, 0] for k in range(3)}
+    for k, _, action in sorted(log, key=lambda x: x[1]):
+        s = want[k]
+        s[1] += action == "record_attempt"
+        s[2] += (action, s[0]) == ("requeue", "FAILED")
+        s[0] = moves.get((action, s[0]), s[0])
+    got = O.replay_transitions(spark.createDataFrame(log, "outbox_id long, seq long, action string"), fold_range=4).collect()
+    assert {r.outbox_id: [r.status, r.attempt_count, r.retried] for r in got} == want
+
+
+@pytest.mark.parametrize("seconds", [1, 7, 10_000])
+def test_reports_by_ranges_of_time_do_not_depend_on_the_ranges(spark, seconds):
+    import random
+
+    rng = random.Random(seconds)
+    rows = [(i, i % 2, rng.random() < 0.3, rng.choice(["Open", "Closed", "HalfOpen"]), i // 3) for i in range(300)]
+    log = spark.createDataFrame(rows, "request_id long, node_id long, success boolean, circuit_state string, t long").withColumn("ts", F.timestamp_seconds("t"))
+    trips, moves = set(), {}
+    for node in (0, 1):
+        run, before, opened, closed = 0, "Closed", 0, 0
+        for i, n, ok, state, _ in rows:
+            if n == node:
+                run = 0 if ok else run + 1
+                if run == 3:
+                    trips.add((node, i))
+                opened += state == "Open" and before != "Open"
+                closed += state != "Open" and before == "Open"
+                before = state
+        moves[node] = (opened, closed)
+    assert {(r.node_id, r.request_id) for r in T.failure_trips(log, 3, seconds).collect()} == trips and trips
+    assert {r.node_id: (r.open_events, r.close_events) for r in T.breaker_transitions(log, seconds).collect()} == moves
+
+
+def test_order_statistics(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    groups = {"a": rng.normal(size=501), "b": np.repeat([3.0, -2.0], [40, 41]), "c": np.array([7.0]), None: rng.exponential(1e5, 77).round()}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    picks = {"p0": 0.0, "p50": 0.5, "p99": 0.99, "f95": 0.95}
+    got = {r.k: r for r in T.order_statistics(df, "v", ("k",), picks, ("f95",)).collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        for name, q in picks.items():
+            want = np.quantile(vs, q, method="linear") if name != "f95" else np.sort(vs)[int(np.floor(q * (len(vs) - 1)))]
+            assert math.isclose(got[k][name], want, rel_tol=1e-12, abs_tol=1e-12), (k, name)
+    one = T.order_statistics(df.where("k = 'b'"), "v", (), {"p50": 0.5}).collect()
+    assert [r.p50 for r in one] == [-2.0] and T.order_statistics(df.where("k = 'd'"), "v", ("k",), picks).count() == 0
+
+
 def test_p99_takes_the_floor_index(spark):
     log = spark.createDataFrame([(i, float(i)) for i in range(10)], "request_id long, latency_ms double").withColumn("ts", F.current_timestamp())
     assert T.latency_last_n(log).first().p99_ms == 8.0
@@ -159,5 +217,7 @@ def test_placement_and_lag_rules(spark):
         D.replica_placement(shards, nodes=2, replicas=3)
     with pytest.raises(ValueError):
         D.shard_routing(shards, 0)
+    low = spark.createDataFrame([(0, "g", 0, 4, 10, 6), (0, "g", 1, 3, 5, None), (0, "h", 0, 4, 4, 9)], "sample_index long, consumer_group string, part long, log_start_offset long, log_end_offset long, current_offset long")
+    assert {r.consumer_group: r.lag for r in D.consumer_lag(low).collect()} == {"g": 6, "h": 0}
     samples = spark.createDataFrame([(0, "drain", "g", 0, 10, 4, False), (0, "drain", "g", 1, 5, None, False), (1, "drain", "g", 0, 10, 12, False), (1, "drain", "g", 1, None, 3, False)], "sample_index long, phase string, consumer_group string, part long, log_end_offset long, current_offset long, query_failed boolean")
     assert {r.sample_index: r.lag for r in D.total_lag(D.partition_lag(samples)).collect()} == {0: 11, 1: None}
