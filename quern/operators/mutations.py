@@ -107,7 +107,7 @@ def replicated_write_outcome(results: DataFrame) -> DataFrame:
 
 
 def classify_mutation_events(log: DataFrame, own_node: int = 0, hosted=(0, 1)) -> DataFrame:
-    """log (event_id, topic, payload) with the event's fields as e and its class.
+    """log (topic, payload and more) with the event's fields as e and its class.
 
     skipped, malformed, self_skipped or candidate, by the first rule that holds.
     """
@@ -126,13 +126,17 @@ def classify_mutation_events(log: DataFrame, own_node: int = 0, hosted=(0, 1)) -
 
 
 def candidates(log: DataFrame, own_node: int = 0, hosted=(0, 1)) -> DataFrame:
-    """The events to apply: event_id, document_id, event_type, content."""
+    """The events to apply: log_offset, event_id, document_id, event_type, content.
+
+    log_offset is the place in the log. All events of a document stand in one partition
+    of the topic, so offsets put them in order; event ids come from many writers and don't.
+    """
     found = classify_mutation_events(log, own_node, hosted).where("class = 'candidate'")
-    return found.select(F.col("e.event_id").alias("event_id"), F.col("e.document_id").alias("document_id"), F.col("e.event_type").alias("event_type"), F.coalesce("e.document_content", F.lit("")).alias("content"))
+    return found.select("log_offset", F.col("e.event_id").alias("event_id"), F.col("e.document_id").alias("document_id"), F.col("e.event_type").alias("event_type"), F.coalesce("e.document_content", F.lit("")).alias("content"))
 
 
 def apply_mutations(events: DataFrame) -> DataFrame:
-    """Outcome of each event in the order of event_id, from an empty table.
+    """Outcome of each event in the order of log_offset, from an empty table.
 
     Removals cut a document's log into stretches that begin without it. In a stretch the
     first non-blank index event brings it in, and its content is that or the last
@@ -140,10 +144,10 @@ def apply_mutations(events: DataFrame) -> DataFrame:
     long history of one document is sorted and spilled like any window, never held.
     Columns added: outcome (Applied, Skipped, Failed) and content_after (null: absent).
     """
-    by_doc = Window.partitionBy("document_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    by_doc = Window.partitionBy("document_id").orderBy("log_offset").rowsBetween(Window.unboundedPreceding, -1)
     removal = F.col("event_type") == "document_removed"
     ev = events.withColumn("_stretch", F.coalesce(F.sum(F.when(removal, 1).otherwise(0)).over(by_doc), F.lit(0)))
-    before = Window.partitionBy("document_id", "_stretch").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("document_id", "_stretch").orderBy("log_offset").rowsBetween(Window.unboundedPreceding, -1)
     solid = ~X.blank(F.col("content"))
     index, update = (F.col("event_type") == "document_indexed") & solid, (F.col("event_type") == "document_updated") & solid
     ev = ev.withColumn("_present", F.coalesce(F.max(F.when(index, True)).over(before), F.lit(False)))
@@ -156,12 +160,12 @@ def apply_mutations(events: DataFrame) -> DataFrame:
         .otherwise(F.when(~F.col("_present"), "Failed").when(same, "Skipped").when(solid, "Applied").otherwise("Failed"))
     )
     after = F.when(removal, F.lit(None).cast("string")).when(F.col("_sets"), F.col("content")).otherwise(F.col("_before"))
-    return ev.select("event_id", "document_id", "event_type", outcome.alias("outcome"), after.alias("content_after"))
+    return ev.select("log_offset", "event_id", "document_id", "event_type", outcome.alias("outcome"), after.alias("content_after"))
 
 
 def materialize_documents(events: DataFrame) -> DataFrame:
     """Documents after the log."""
-    last = apply_mutations(events).groupBy("document_id").agg(F.max_by(F.struct("content_after"), "event_id").alias("s"))
+    last = apply_mutations(events).groupBy("document_id").agg(F.max_by(F.struct("content_after"), "log_offset").alias("s"))
     return last.where("s.content_after is not null").select("document_id", F.col("s.content_after").alias("content"))
 
 
@@ -188,5 +192,5 @@ def apply_stats(log: DataFrame, own_node: int = 0, hosted=(0, 1)) -> DataFrame:
 
 def latest_state(events: DataFrame) -> DataFrame:
     """The last writer wins: documents by their last event, absent if that is a removal."""
-    last = events.groupBy("document_id").agg(F.max_by(F.struct("event_type", "content"), "event_id").alias("s"))
+    last = events.groupBy("document_id").agg(F.max_by(F.struct("event_type", "content"), "log_offset").alias("s"))
     return last.where("s.event_type <> 'document_removed'").select("document_id", F.col("s.content").alias("content"))

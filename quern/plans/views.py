@@ -38,10 +38,11 @@ VIEWS: dict[str, str] = {
       WHEN event_id % 6 = 3 THEN 'Document with id 1 not found' WHEN event_id % 6 = 4 THEN 'Internal server error'
       ELSE 'strange' END AS error_message
 FROM events""",
-    "mutation_log": """SELECT event_id, event_id % 97 AS document_id, topic,
+    # log_offset is the order of the log; the ids in it come from several writers and clash
+    "mutation_log": """SELECT event_id AS log_offset, event_id % 97 AS document_id, topic,
  CASE WHEN et = 'error' AND event_id % 3 = 0 THEN 'not json'
-      WHEN et = 'error' AND event_id % 3 = 1 THEN '{"event_id":' || event_id || ',"event_type":"document_indexed","document_id":' || (event_id % 97) || '}'
-      ELSE '{"event_id":' || event_id || ',"event_type":"' || CASE et WHEN 'view' THEN 'document_indexed' WHEN 'signup' THEN 'document_indexed'
+      WHEN et = 'error' AND event_id % 3 = 1 THEN '{"event_id":' || (event_id % 1000) || ',"event_type":"document_indexed","document_id":' || (event_id % 97) || '}'
+      ELSE '{"event_id":' || (event_id % 1000) || ',"event_type":"' || CASE et WHEN 'view' THEN 'document_indexed' WHEN 'signup' THEN 'document_indexed'
              WHEN 'click' THEN 'document_updated' WHEN 'purchase' THEN 'document_removed' ELSE 'document_archived' END
            || '","document_id":' || (event_id % 97) || ',"shard_id":' || (event_id % 97 % 3) || ',"source_node_id":' || (user_id % 3)
            || CASE WHEN et = 'purchase' THEN '' WHEN event_id % 23 = 0 THEN ',"document_content":"   "' ELSE ',"document_content":"text v' || (user_id % 2) || '"' END || '}' END AS payload

@@ -99,24 +99,24 @@ def _(requests):
 @query(
     "validate_ingest_payloads",
     "mutation_log",
-    f"""SELECT event_id, CASE WHEN b IS NULL THEN '{X.MSG_JSON}' WHEN NOT coalesce(json_type(b, '$.id') = 'UBIGINT' AND CAST(b ->> '$.id' AS HUGEINT) <= {X.MAX_ID}, false) THEN '{_quoted(X.MSG_ID)}'
+    f"""SELECT log_offset, CASE WHEN b IS NULL THEN '{X.MSG_JSON}' WHEN NOT coalesce(json_type(b, '$.id') = 'UBIGINT' AND CAST(b ->> '$.id' AS HUGEINT) <= {X.MAX_ID}, false) THEN '{_quoted(X.MSG_ID)}'
       WHEN coalesce(json_type(b, '$.content') <> 'VARCHAR', true) THEN '{_quoted(X.MSG_CONTENT)}' ELSE '' END AS reject_reason FROM bodies""",
-    bodies="SELECT event_id, CASE WHEN json_valid(t) THEN t END AS b FROM (SELECT event_id, replace(replace(payload, 'document_id', 'id'), 'document_content', 'content') AS t FROM mutation_log)",
+    bodies="SELECT log_offset, CASE WHEN json_valid(t) THEN t END AS b FROM (SELECT log_offset, replace(replace(payload, 'document_id', 'id'), 'document_content', 'content') AS t FROM mutation_log)",
 )
 def _(log):
     body = F.regexp_replace(F.regexp_replace("payload", "document_id", "id"), "document_content", "content")
-    return log.select("event_id", F.coalesce(X.ingest_error(body), F.lit("")).alias("reject_reason"))
+    return log.select("log_offset", F.coalesce(X.ingest_error(body), F.lit("")).alias("reject_reason"))
 
 
 EVENT_CHAIN = {
-    "j": "SELECT event_id AS rid, topic, payload, CASE WHEN json_valid(payload) THEN payload END AS p FROM mutation_log",
+    "j": "SELECT log_offset AS rid, topic, payload, CASE WHEN json_valid(payload) THEN payload END AS p FROM mutation_log",
     "e": "SELECT rid, topic, CAST(p ->> '$.event_id' AS BIGINT) AS event_id, p ->> '$.event_type' AS event_type, CAST(p ->> '$.document_id' AS BIGINT) AS document_id, CAST(p ->> '$.shard_id' AS BIGINT) AS shard_id, coalesce(CAST(p ->> '$.source_node_id' AS BIGINT), 0) AS source_node_id, coalesce(p ->> '$.document_content', '') AS content FROM j",
 }
 
 
 @query("decode_mutation_event", "mutation_log", "SELECT rid, event_id, event_type, document_id, shard_id, source_node_id, content, (event_id IS NULL OR document_id IS NULL OR shard_id IS NULL) AS is_malformed FROM e", **EVENT_CHAIN)
 def _(log):
-    e = log.select(F.col("event_id").alias("rid"), X.decode_event(F.col("payload")).alias("e"))
+    e = log.select(F.col("log_offset").alias("rid"), X.decode_event(F.col("payload")).alias("e"))
     bad = F.col("e.event_id").isNull() | F.col("e.document_id").isNull() | F.col("e.shard_id").isNull()
     return e.select("rid", "e.event_id", "e.event_type", "e.document_id", "e.shard_id", F.coalesce("e.source_node_id", F.lit(0)).alias("source_node_id"), F.coalesce("e.document_content", F.lit("")).alias("content"), bad.alias("is_malformed"))
 
@@ -415,9 +415,9 @@ CLASS = {
 }
 FOLD = {
     **CLASS,
-    "ev": f"SELECT event_id, document_id, event_type, content, {BLANK} AS b, row_number() OVER (PARTITION BY document_id ORDER BY event_id) AS k FROM cl WHERE class = 'candidate'",
-    "st": """SELECT DISTINCT document_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS event_type, CAST(NULL AS VARCHAR) AS state, CAST(NULL AS VARCHAR) AS outcome FROM ev
-    UNION ALL SELECT e.document_id, e.k, e.event_id, e.event_type,
+    "ev": f"SELECT rid, event_id, document_id, event_type, content, {BLANK} AS b, row_number() OVER (PARTITION BY document_id ORDER BY rid) AS k FROM cl WHERE class = 'candidate'",
+    "st": """SELECT DISTINCT document_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS rid, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS event_type, CAST(NULL AS VARCHAR) AS state, CAST(NULL AS VARCHAR) AS outcome FROM ev
+    UNION ALL SELECT e.document_id, e.k, e.rid, e.event_id, e.event_type,
       CASE e.event_type WHEN 'document_removed' THEN NULL WHEN 'document_indexed' THEN CASE WHEN s.state IS NULL AND NOT e.b THEN e.content ELSE s.state END ELSE CASE WHEN s.state IS NULL OR e.b THEN s.state ELSE e.content END END,
       CASE e.event_type WHEN 'document_removed' THEN CASE WHEN s.state IS NULL THEN 'Skipped' ELSE 'Applied' END
         WHEN 'document_indexed' THEN CASE WHEN s.state IS NULL THEN CASE WHEN e.b THEN 'Failed' ELSE 'Applied' END WHEN s.state = e.content THEN 'Skipped' ELSE 'Failed' END
@@ -432,10 +432,10 @@ def _recursive(name: str) -> None:
 
 @query("classify_mutation_events", "mutation_log", "SELECT rid, class FROM cl", **CLASS)
 def _(log):
-    return M.classify_mutation_events(log).select(F.col("event_id").alias("rid"), "class")
+    return M.classify_mutation_events(log).select(F.col("log_offset").alias("rid"), "class")
 
 
-@query("apply_mutations", "mutation_log", "SELECT event_id, document_id, event_type, outcome, state AS content_after FROM st WHERE k > 0", **FOLD)
+@query("apply_mutations", "mutation_log", "SELECT rid AS log_offset, event_id, document_id, event_type, outcome, state AS content_after FROM st WHERE k > 0", **FOLD)
 def _(log):
     return M.apply_mutations(M.candidates(log))
 
@@ -463,7 +463,7 @@ for _name in ("apply_mutations", "materialize_documents", "apply_stats"):
     _recursive(_name)
 
 
-@query("latest_state_from_log", "mutation_log", "SELECT document_id, content FROM (SELECT document_id, arg_max(event_type, event_id) AS t, arg_max(content, event_id) AS content FROM cl WHERE class = 'candidate' GROUP BY 1) WHERE t <> 'document_removed'", **CLASS)
+@query("latest_state_from_log", "mutation_log", "SELECT document_id, content FROM (SELECT document_id, arg_max(event_type, rid) AS t, arg_max(content, rid) AS content FROM cl WHERE class = 'candidate' GROUP BY 1) WHERE t <> 'document_removed'", **CLASS)
 def _(log):
     return M.latest_state(M.candidates(log))
 

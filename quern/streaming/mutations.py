@@ -9,13 +9,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators import index as I
 from ..operators import mutations as M
 
-OUTCOMES = "document_id long, event_id long, event_type string, outcome string, content string"
+OUTCOMES = "document_id long, log_offset long, event_id long, event_type string, outcome string, content string"
 
 
 def _blank(content: str | None) -> bool:
@@ -38,39 +39,75 @@ def step(state: str | None, event_type: str, content: str) -> tuple[str | None,
 
 
 class _Apply(StatefulProcessor):
-    """Keeps the content of a document and applies its events in the order of their ids."""
+    """Keeps the content of a document and applies its events in the order of the log.
+
+    Offsets at or below the last one applied are deliveries made again and are left out.
+    A call sorts one document's events of a batch; the source's limit of rows or files in
+    a batch bounds them.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._content = handle.getValueState("content", "content string")
+        self._state = handle.getValueState("state", "content string, log_offset long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values("event_id")
-        state = self._content.get()[0] if self._content.exists() else None
+        events = pd.concat(list(rows)).sort_values("log_offset", kind="stable")
+        content, last = self._state.get() if self._state.exists() else (None, -1)
         out = []
-        for event_id, kind, content in zip(events.event_id, events.event_type, events.content, strict=True):
-            state, outcome = step(state, kind, content)
-            out.append((int(key[0]), int(event_id), kind, outcome, state))
-        if state is None:
-            self._content.clear()
-        else:
-            self._content.update((state,))
-        yield pd.DataFrame(out, columns=["document_id", "event_id", "event_type", "outcome", "content"])
+        for offset, event_id, kind, new in zip(events.log_offset, events.event_id, events.event_type, events.content, strict=True):
+            if offset > last:
+                content, outcome = step(content, kind, new)
+                out.append((int(key[0]), int(offset), int(event_id), kind, outcome, content))
+                last = int(offset)
+        self._state.update((content, last))
+        yield pd.DataFrame(out, columns=["document_id", "log_offset", "event_id", "event_type", "outcome", "content"])
 
     def close(self) -> None:
         pass
 
 
 def index_mutations(source: DataFrame, own_node: int = 0, hosted=(0, 1)) -> DataFrame:
-    """Outcomes of a stream of (topic, payload), each with the document's content after it.
+    """Outcomes of a stream of (topic, payload, offset), each with the document's content after it.
 
     A batch's rows of a document meet in one call. A failed event is an outcome, not a
-    halt of the stream. The newest row of a document is its state.
+    halt of the stream. The row of a document with the largest offset is its state.
     """
-    log = source.withColumn("event_id", F.lit(None).cast("long"))
-    events = M.candidates(log, own_node, hosted)
+    events = M.candidates(source.withColumnRenamed("offset", "log_offset"), own_node, hosted)
     return events.groupBy("document_id").transformWithStateInPandas(_Apply(), OUTCOMES, "Append", "None")
 
 
+def keep_index(outcomes: DataFrame, path: str, checkpoint: str):
+    """Start a query that keeps documents and postings under path from index_mutations.
+
+    Each batch writes what it changed to folders of its own, which a repeated batch
+    overwrites; its offsets count as read once both are written.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        last = batch.groupBy("document_id").agg(F.max("log_offset").alias("log_offset"), F.max_by(F.struct("content"), "log_offset").alias("s")).select("document_id", "log_offset", "s.content")
+        last.write.mode("overwrite").parquet(f"{path}/documents/batch={batch_id}")
+        changed = batch.sparkSession.read.parquet(f"{path}/documents/batch={batch_id}")
+        I.build_postings(changed.where("content is not null"), "log_offset").write.mode("overwrite").parquet(f"{path}/postings/batch={batch_id}")
+
+    return subscribe(outcomes, write, checkpoint)
+
+
+def _newest(spark: SparkSession, path: str) -> DataFrame:
+    changes = spark.read.parquet(f"{path}/documents")
+    return changes.groupBy("document_id").agg(F.max("log_offset").alias("log_offset"), F.max_by(F.struct("content"), "log_offset").alias("s")).select("document_id", "log_offset", "s.content")
+
+
+def kept_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(document_id, content) as keep_index left them."""
+    return _newest(spark, path).where("content is not null").select("document_id", "content")
+
+
+def kept_postings(spark: SparkSession, path: str) -> DataFrame:
+    """(term, document_id, tf) as keep_index left them: postings of each document's last change."""
+    schema = "term string, document_id long, tf long, log_offset long"
+    current = _newest(spark, path).select("document_id", "log_offset")
+    return spark.read.schema(schema).parquet(f"{path}/postings").join(current, ["document_id", "log_offset"], "left_semi").select("term", "document_id", "tf")
+
+
 def dedup_messages(source: DataFrame, id_column: str = "event_id", time_column: str = "ts", horizon: str = "10 minutes") -> DataFrame:
     """Rows whose id was not seen within the horizon; state older than that is dropped."""
     timed = source.withColumn(time_column, F.col(time_column).cast("timestamp"))
@@ -78,18 +115,23 @@ def dedup_messages(source: DataFrame, id_column: str = "event_id", time_column:
 
 
 class _Deliver(StatefulProcessor):
-    """Counts failed deliveries of a message until it is acknowledged or dead."""
+    """Counts failed deliveries of a message until it is acknowledged or dead.
+
+    A count is dropped once the watermark is a horizon past the message's last attempt.
+    """
 
-    def __init__(self, most: int):
-        self._most = most
+    def __init__(self, most: int, keep_ms: int):
+        self._most, self._keep_ms = most, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._tries = handle.getValueState("tries", "n long")
+        self._handle = handle
+        self._tries = handle.getValueState("tries", "n long, until long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        tries = int(self._tries.get()[0]) if self._tries.exists() else 0
-        out = []
-        for ok, seq in sorted(((o, s) for f in rows for o, s in zip(f.ok, f.seq, strict=True)), key=lambda x: x[1]):
+        tries, until = self._tries.get() if self._tries.exists() else (0, 0)
+        before, out = until, []
+        for seq, ok, at in sorted((r for f in rows for r in zip(f.seq, f.ok, f.ms, strict=True)), key=lambda r: r[0]):
+            until = max(until, int(at) + self._keep_ms)
             if tries < 0 or tries >= self._most:
                 continue
             tries += 1
@@ -98,17 +140,31 @@ class _Deliver(StatefulProcessor):
                 tries = -1
             elif tries >= self._most:
                 out.append((int(key[0]), int(seq), tries, "DeadLetter"))
-        self._tries.update((tries,))
+        self._tries.update((tries, until))
+        if until > before:
+            self._handle.registerTimer(until)
         yield pd.DataFrame(out, columns=["message_id", "seq", "attempts", "state"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # a message that was tried again has a later timer too
+        if self._tries.exists() and self._tries.get()[1] <= expiredTimerInfo.getExpiryTimeInMs():
+            self._tries.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def deliver(attempts: DataFrame, max_attempts: int = 3) -> DataFrame:
-    """Final states of messages from a stream of attempts (message_id, seq, ok)."""
+def deliver(attempts: DataFrame, max_attempts: int = 3, horizon: str = "7 days", keep_hours: float = 168.0) -> DataFrame:
+    """Final states of messages from a stream of attempts (message_id, seq, ok, ts).
+
+    Attempts later than the horizon are dropped. A message is forgotten keep_hours after
+    its last attempt, in the time of the stream; an attempt after that counts as a new one.
+    """
     schema = "message_id long, seq long, attempts long, state string"
-    return attempts.groupBy("message_id").transformWithStateInPandas(_Deliver(max_attempts), schema, "Append", "None")
+    timed = attempts.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", horizon)
+    timed = timed.select("message_id", "seq", "ok", "ts", F.unix_millis("ts").alias("ms"))
+    return timed.groupBy("message_id").transformWithStateInPandas(_Deliver(max_attempts, int(keep_hours * 3_600_000)), schema, "Append", "EventTime")
 
 
 def split_dead_letters(delivered: DataFrame, good_path: str, dead_path: str, checkpoint: str):
@@ -133,3 +189,39 @@ def request_metrics(log: DataFrame, seconds: int = 10, lateness: str = "1 minute
     return timed.groupBy(F.window("ts", f"{seconds} seconds"), "node_id").agg(
         F.count(F.lit(1)).alias("requests"), F.count(F.when(F.col("success"), 1)).alias("accepted"), F.count(F.when(F.col("status_code") == 429, 1)).alias("rejected"), F.avg("latency_ms").alias("mean_ms")
     )
+
+
+class _Totals(StatefulProcessor):
+    """Running counts of a node and its last samples."""
+
+    def __init__(self, last: int):
+        self._last = last
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._state = handle.getValueState("state", "counts array<long>, recent array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        counts, recent = self._state.get() if self._state.exists() else ([0, 0, 0, 0], [])
+        log = pd.concat(list(rows)).sort_values(["ts", "request_id"])
+        good, shed = log.success.astype(bool), log.status_code == 429
+        more = (len(log), good.sum(), shed.sum(), (~good & ~shed).sum())
+        counts = [int(c + m) for c, m in zip(counts, more, strict=True)]
+        recent = [float(x) for x in ([*recent, *log.latency_ms[good]])[-self._last :]]
+        self._state.update((counts, recent))
+        s = sorted(recent)
+        p50 = (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2 if s else 0.0
+        p99 = s[int(0.99 * (len(s) - 1))] if len(s) >= 10 else p50
+        yield pd.DataFrame([(key[0], *counts, p50, p99)], columns=["node_id", "requests", "accepted", "rejected", "errors", "recent_p50_ms", "recent_p99_ms"])
+
+    def close(self) -> None:
+        pass
+
+
+def running_metrics(log: DataFrame, last: int = 500) -> DataFrame:
+    """After each batch, totals so far of each node with new requests, and p50 and p99 of its last good samples.
+
+    A node's state is four counts and at most last samples.
+    """
+    schema = "node_id long, requests long, accepted long, rejected long, errors long, recent_p50_ms double, recent_p99_ms double"
+    needed = log.select("node_id", "ts", "request_id", "success", "status_code", "latency_ms")
+    return needed.groupBy("node_id").transformWithStateInPandas(_Totals(last), schema, "Update", "None")

@@ -129,7 +129,7 @@ def test_apply_is_the_ordered_fold(spark):
 
     rng = random.Random(3)
     log = [(i, rng.randrange(6), rng.choice(M.TYPES), rng.choice(["a", "b", "c", " ", ""])) for i in range(600)]
-    got = {r.event_id: (r.outcome, r.content_after) for r in M.apply_mutations(spark.createDataFrame(log, "event_id long, document_id long, event_type string, content string")).collect()}
+    got = {r.event_id: (r.outcome, r.content_after) for r in M.apply_mutations(spark.createDataFrame(log, "event_id long, document_id long, event_type string, content string").withColumn("log_offset", F.col("event_id"))).collect()}
     state = {}
     for i, d, kind, content in log:
         state[d], outcome = step(state.get(d), kind, content)
