@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -84,3 +84,9 @@ def write_postings(postings: DataFrame, path: str, files: int = 32) -> None:
     """Store postings so that a filter on term reads few row groups."""
     out = postings.repartitionByRange(files, "term").sortWithinPartitions("term", "document_id")
     out.write.mode("overwrite").option("parquet.bloom.filter.enabled#term", "true").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str, *terms: str) -> DataFrame:
+    """Stored postings, of the given terms if there are any: only their row groups are read."""
+    stored = spark.read.parquet(path)
+    return stored.where(F.col("term").isin(*terms)) if terms else stored

@@ -85,6 +85,17 @@ def test_and_within_or_and_order_of_build(five, postings):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, postings.collect()))
 
 
+def test_stored_postings_answer_like_fresh_ones(spark, five, postings, tmp_path):
+    I.write_postings(postings, str(tmp_path / "p"), 2)
+    stored = I.read_postings(spark, str(tmp_path / "p"))
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, postings.select(stored.columns).collect()))
+    few = I.read_postings(spark, str(tmp_path / "p"), "cat", "dog")
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term, [cat,dog])]" in plan
+    fresh = S.search(five, "cat dog", "or", None).collect()
+    assert [tuple(r) for r in S.search(five, "cat dog", "or", None, few).collect()] == [tuple(r) for r in fresh] and fresh
+
+
 def test_update_index_equals_rebuild(spark, five, postings):
     changed = spark.createDataFrame([(2, "a new cat"), (9, "fresh text")], "document_id long, content string")
     rebuilt = I.build_postings(five.select("document_id", "content").where("document_id <> 2").unionByName(changed))
