@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.storage import stored
 
 
-def build_postings(corpus: DataFrame, *keep: str) -> DataFrame:
+def build_postings(corpus: DataFrame, *keep: str, terms: list[str] | None = None) -> DataFrame:
     """(term, document_id, tf) of (document_id, content), and further columns of the corpus to keep.
 
     All tokens of a document stand in its row, so they are sorted there and each run of
-    equal ones becomes a posting: nothing is shuffled. A document id stands once.
+    equal ones becomes a posting: nothing is shuffled. A document id stands once. With
+    terms, only postings of these: other tokens go before the sort.
     """
-    tokens = corpus.select("document_id", *keep, F.sort_array(X.tokens(F.col("content"))).alias("tokens"))
+    found = X.tokens(F.col("content"))
+    if terms is not None:
+        found = F.filter(found, lambda t: t.isin(*terms)) if terms else F.array().cast("array<string>")
+    tokens = corpus.select("document_id", *keep, F.sort_array(found).alias("tokens"))
     at = F.when(F.size("tokens") > 0, F.sequence(F.lit(0), F.size("tokens") - 1))
     ends = F.filter(at, lambda i: (i == F.size("tokens") - 1) | (F.get("tokens", i) != F.get("tokens", i + 1)))
     runs = tokens.select("document_id", *keep, "tokens", ends.alias("ends"))
@@ -75,9 +80,33 @@ def update_index(postings: DataFrame, changed: DataFrame) -> DataFrame:
     return remove_from_index(postings, changed).unionByName(build_postings(changed).select("term", "document_id", "tf"))
 
 
+#: Terms of which a statistics table is broadcast; one with more is shuffled, with its hot terms apart.
+BROADCAST_TERMS = 1_000_000
+
+
+def join_terms(postings: DataFrame, stats: DataFrame, n: int) -> DataFrame:
+    """postings with the columns of stats (term, df, ...), a row for each term; n: documents.
+
+    Postings stay where they are if the statistics, which are counted, are small. Else
+    they meet by term, but those of terms in more than a thousandth of the documents
+    stay, as such terms are few: postings have at most as many terms above a share as a
+    document has tokens, on average, times its inverse.
+    """
+    if stats.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        return postings.join(F.broadcast(stats), "term")
+    hot = stats.where(F.col("df") > max(2000, n // 1000))
+    fast = postings.join(F.broadcast(hot), "term")
+    slow = postings.join(F.broadcast(hot.select("term")), "term", "left_anti").join(stats, "term")
+    return fast.unionByName(slow)
+
+
 def tfidf_weights(postings: DataFrame, corpus: DataFrame) -> DataFrame:
-    weights = postings.join(idf(postings, corpus), "term")
-    return weights.select("term", "document_id", (F.col("tf") * F.col("idf")).alias("weight"))
+    """(term, document_id, weight), weight = tf * ln(n / df). Statistics are counted once, from distinct terms of each document."""
+    terms = corpus.select(F.explode(F.array_distinct(X.tokens(F.col("content")))).alias("term"))
+    df = stored(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
+    n = corpus.count()
+    weights = join_terms(postings, df, n)
+    return weights.select("term", "document_id", (F.col("tf") * F.log(F.lit(n) / F.col("df"))).alias("weight"))
 
 
 def write_postings(postings: DataFrame, path: str, files: int = 32) -> None:

@@ -194,3 +194,52 @@ def latest_state(events: DataFrame) -> DataFrame:
     """The last writer wins: documents by their last event, absent if that is a removal."""
     last = events.groupBy("document_id").agg(F.max_by(F.struct("event_type", "content"), "log_offset").alias("s"))
     return last.where("s.event_type <> 'document_removed'").select("document_id", F.col("s.content").alias("content"))
+
+
+#: Places of `seq` that one range of a mixed batch spans.
+FOLD_RANGE = 10_000
+
+
+def mixed_writes(batch: DataFrame, corpus: DataFrame, span: int = FOLD_RANGE) -> DataFrame:
+    """Outcomes of writes (seq, document_id, kind, content) of kinds insert, update and delete, each seeing those before it.
+
+    seq is unique and not negative. An insert leaves an id present, a delete absent, all others
+    as it was, so what an operation finds is left by the last one that sets it: within
+    its range of seq, else in a range before, else in the corpus. Ranges of an id are
+    joined at their edges, so no task holds all writes of one id. Status: created,
+    conflict, updated (equal content too), deleted, not_found, invalid (blank content,
+    or an unknown kind, which is told as blank is).
+    """
+    blank = F.col("kind").isin("insert", "update") & X.blank(F.col("content"))
+    known = F.coalesce(F.col("kind").isin("insert", "update", "delete"), F.lit(False))
+    ops = batch.select("seq", "document_id", "kind", "content", (blank | ~known).alias("is_blank"), F.floor(F.col("seq") / span).alias("_range"))
+    leaves = F.when(~F.col("is_blank") & (F.col("kind") == "insert"), True).when(F.col("kind") == "delete", False)
+    ops = ops.withColumn("_leaves", leaves)
+    before = Window.partitionBy("document_id", "_range").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    ops = ops.withColumn("_local", F.last("_leaves", ignorenulls=True).over(before))
+    edges = ops.groupBy("document_id", "_range").agg(F.max_by("_leaves", F.when(F.col("_leaves").isNotNull(), F.col("seq"))).alias("_edge"))
+    held = corpus.select("document_id", F.lit(True).alias("_held"))
+    ranges = Window.partitionBy("document_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.join(held, "document_id", "left")  # a row for each range of an id
+    edges = edges.select("document_id", "_range", F.coalesce(F.last("_edge", ignorenulls=True).over(ranges), "_held", F.lit(False)).alias("_found"))
+    ops = ops.join(edges, ["document_id", "_range"]).withColumn("present", F.coalesce("_local", "_found"))
+    status = (
+        F.when(F.col("is_blank"), "invalid")
+        .when(F.col("kind") == "insert", F.when(F.col("present"), "conflict").otherwise("created"))
+        .when(~F.col("present"), "not_found")
+        .when(F.col("kind") == "update", "updated")
+        .otherwise("deleted")
+    )
+    ops = ops.withColumn("status", status)
+    message = F.when(F.col("status") == "invalid", X.MSG_BLANK).when(F.col("status") == "conflict", _message("already exists")).when(F.col("status") == "not_found", _message("not found")).otherwise("")
+    done = F.when(F.col("status").isin("created", "updated"), X.terms_indexed(F.col("content"))).otherwise(F.lit(0))
+    return ops.select("seq", "document_id", "kind", "status", message.alias("message"), done.cast("long").alias("terms_indexed"), "content")
+
+
+def mixed_table(batch: DataFrame, corpus: DataFrame, span: int = FOLD_RANGE) -> DataFrame:
+    """The documents after mixed_writes: what the last write that succeeded left of each id."""
+    done = mixed_writes(batch, corpus, span).where(F.col("status").isin("created", "updated", "deleted"))
+    content = F.when(F.col("status") != "deleted", F.col("content"))
+    last = done.groupBy("document_id").agg(F.max_by(F.struct(content.alias("new")), "seq").alias("last")).select("document_id", "last.new", F.lit(True).alias("touched"))
+    both = corpus.select("document_id", "content").join(last, "document_id", "full_outer")
+    return both.select("document_id", F.when(F.col("touched"), F.col("new")).otherwise(F.col("content")).alias("content"), "touched", "new").where("touched is null or new is not null").select("document_id", "content")

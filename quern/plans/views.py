@@ -14,10 +14,10 @@ VIEWS: dict[str, str] = {
     "corpus": "SELECT doc_id AS document_id, text AS content, doc_id % 3 AS shard_id, lang, source FROM documents",
     "query_batch": (
         "SELECT * FROM (VALUES (1,'the and','or',10),(2,'the and','and',10),(3,'and die the','or',5),(4,'and die the','and',100),(5,'que','or',10),(6,'license thou','and',10),"
-        "(7,'THE, the; The!','or',3),(8,'zzzqqq the','and',10),(9,'zzzqqq the','or',10),(10,'!!!','or',10),(11,'   ','or',10),(12,'thou','or',0)) AS q(query_id, query, mode, lim) "
-        # and the first words of a text of each language and source, so that requests grow with the table
-        "UNION ALL SELECT CAST(100 + row_number() OVER (ORDER BY lang, source) AS INT), substr(query, 1, 24), CASE WHEN lang = 'en' THEN 'and' ELSE 'or' END, 250 "
-        "FROM (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, min(text) AS query FROM documents GROUP BY 1, 2) g"
+        "(7,'THE, the; The!','or',3),(8,'zzzqqq the','and',10),(9,'zzzqqq the','or',10),(10,'!!!','or',10),(11,'   ','or',10),(12,'thou','or',0),(13,'the and','xor',10),(14,'the','AND',5)) AS q(query_id, query, mode, lim) "
+        # and the shortest text of each language and source, so that requests grow with the table
+        "UNION ALL SELECT CAST(100 + row_number() OVER (ORDER BY lang, source) AS INT), query, CASE WHEN lang = 'en' THEN 'and' ELSE 'or' END, 250 "
+        "FROM (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, min_by(text, length(text) * 1000000000000 + doc_id) AS query FROM documents GROUP BY 1, 2) g"
     ),
     # a request for each document, with blank, padded and wrong ones among them
     "requests": (
@@ -59,14 +59,28 @@ FROM events GROUP BY 1,2,3,4""",
     "replica_inventory": """SELECT n.node_id, d.doc_id AS document_id, d.doc_id % 3 AS shard_id, CASE WHEN d.doc_id % 31 = 0 AND n.node_id = 1 THEN d.text || '!' ELSE d.text END AS content
 FROM documents d CROSS JOIN (SELECT * FROM (VALUES (0),(1),(2)) AS v(node_id)) n
 WHERE ((n.node_id - d.doc_id % 3 + 3) % 3 < 2 AND (d.doc_id + n.node_id) % 17 <> 0) OR ((n.node_id - d.doc_id % 3 + 3) % 3 = 2 AND d.doc_id % 29 = 0)""",
-    # the last answers of each replica to a count and to a search
-    "shard_health": """SELECT event_id % 3 AS shard_id, user_id % 2 AS replica_rank, (event_id % 3 + user_id % 2) % 3 AS node_id,
- max_by(event_type <> 'error', event_id) AS count_ok, max_by(event_type NOT IN ('error', 'signup'), event_id) AS search_ok FROM events GROUP BY 1, 2, 3""",
+    # the answers of each replica to a count and to a search, at the last span of the log in
+    # which one shard had no replica that counts and one that counts could not be searched
+    "shard_health": """WITH answers AS (SELECT event_id - event_id % 50 AS span, event_id % 3 AS shard_id, user_id % 2 AS replica_rank, max_by(event_type, event_id) AS et FROM events GROUP BY 1, 2, 3),
+ pins AS (SELECT span, shard_id, count(*) AS k, min(CASE WHEN et <> 'error' THEN replica_rank END) AS pin, min_by(et, CASE WHEN et <> 'error' THEN replica_rank ELSE 9 END) AS pin_et FROM answers GROUP BY 1, 2),
+ partly AS (SELECT span FROM pins GROUP BY span HAVING sum(k) = 6 AND sum(CASE WHEN pin IS NULL THEN 1 ELSE 0 END) = 1 AND sum(CASE WHEN pin IS NOT NULL AND pin_et = 'signup' THEN 1 ELSE 0 END) = 1)
+SELECT shard_id, replica_rank, (shard_id + replica_rank) % 3 AS node_id, et <> 'error' AS count_ok, et NOT IN ('error', 'signup') AS search_ok
+FROM answers WHERE span = coalesce((SELECT max(span) FROM partly), (SELECT max(span) FROM answers))""",
     "propagation_log": """SELECT event_id AS document_id, value AS t_write_done, value + event_id % 7 AS t_published,
  CASE WHEN event_id % 37 = 0 THEN NULL ELSE value + event_id % 13 END AS t_node1, CASE WHEN event_id % 41 = 0 THEN NULL ELSE value + event_id % 17 END AS t_node2 FROM events""",
     # a write for each document, and a second one: new, clashing, repeated and blank ones
     "write_batch": """SELECT doc_id AS seq, CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE doc_id + 1000000000 END AS document_id, CASE WHEN doc_id % 15 = 0 THEN '  ' ELSE text || ' v2' END AS content FROM documents
 UNION ALL SELECT doc_id + 5000000000, CASE WHEN doc_id % 9 = 3 THEN doc_id + 1000000000 ELSE doc_id + 2000000000 END, 'again' FROM documents""",
+    # writes of all kinds; a quarter of them go to one id, and every fourth id is new
+    "mixed_batch": """SELECT doc_id * 4 + v AS seq, CASE WHEN doc_id % 4 = 0 THEN 7 WHEN doc_id % 4 = 1 THEN doc_id + 1000000000 ELSE doc_id END AS document_id,
+ CASE (doc_id * 7 + v * 5 + doc_id % 11) % 5 WHEN 0 THEN 'delete' WHEN 1 THEN 'insert' WHEN 2 THEN 'insert' ELSE 'update' END AS kind,
+ CASE WHEN (doc_id + v) % 13 = 0 THEN '  ' WHEN (doc_id + v) % 6 = 5 THEN text ELSE text || ' v' || v END AS content
+FROM documents CROSS JOIN (SELECT * FROM (VALUES (0),(1),(2),(3)) AS v(v)) x""",
+    # copies as nodes hold them, some under a second shard or not where they should be
+    "placed_inventory": """SELECT n.node_id, d.doc_id AS document_id, CASE WHEN d.doc_id % 37 = 5 AND n.node_id = (d.doc_id + 1) % 3 THEN (d.doc_id + 1) % 3 ELSE d.doc_id % 3 END AS shard_id,
+ CASE WHEN d.doc_id % 31 = 0 AND n.node_id = 1 THEN d.text || '!' ELSE d.text END AS content
+FROM documents d CROSS JOIN (SELECT * FROM (VALUES (0),(1),(2)) AS v(node_id)) n
+WHERE ((n.node_id - d.doc_id % 3 + 3) % 3 < 2 AND (d.doc_id + n.node_id) % 17 <> 0) OR ((n.node_id - d.doc_id % 3 + 3) % 3 = 2 AND d.doc_id % 29 = 0)""",
     # what each replica answered to a write
     "replica_results": """SELECT event_id AS op_id, r AS replica_rank, (event_id + r) % 5 <> 0 AS ok, event_id % 40 + 1 AS terms_indexed,
  CASE WHEN (event_id + r) % 5 = 0 THEN 'node ' || r || ' failed' ELSE '' END AS message FROM events CROSS JOIN (SELECT * FROM (VALUES (0),(1),(2)) AS v(r)) x""",

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .operators import audit as D
+from .operators import bitmaps as BM
+from .operators import blocks as B
 from .operators import index as I
 from .operators import mutations as M
 from .operators import outbox as O  # noqa: E741
@@ -124,11 +126,11 @@ def _(log):
 @query(
     "encode_mutation_event",
     "corpus",
-    "SELECT document_id, '{\"event_id\":' || document_id || ',\"event_type\":\"' || CASE WHEN document_id % 4 = 0 THEN 'document_removed' ELSE 'document_indexed' END || '\",\"document_id\":' || document_id || ',\"shard_id\":' || shard_id || ',\"source_node_id\":0' || CASE WHEN document_id % 4 = 0 THEN '' ELSE ',\"document_content\":' || CAST(to_json(source || ' \"' || lang || '\"') AS VARCHAR) END || '}' AS payload FROM corpus",
+    "SELECT document_id, '{\"event_id\":' || document_id || ',\"event_type\":\"' || CASE WHEN document_id % 4 = 0 THEN 'document_removed' ELSE 'document_indexed' END || '\",\"document_id\":' || document_id || ',\"shard_id\":' || shard_id || ',\"source_node_id\":0' || CASE WHEN document_id % 4 = 0 THEN '' ELSE ',\"document_content\":' || CAST(to_json(content) AS VARCHAR) END || '}' AS payload FROM corpus",
 )
 def _(corpus):
     gone = F.col("document_id") % 4 == 0
-    content = F.when(~gone, F.concat("source", F.lit(' "'), "lang", F.lit('"')))
+    content = F.when(~gone, F.col("content"))
     kind = F.when(gone, "document_removed").otherwise("document_indexed")
     return corpus.select("document_id", X.encode_event(F.col("document_id"), kind, F.col("document_id"), F.col("shard_id"), F.lit(0), content).alias("payload"))
 
@@ -202,13 +204,13 @@ def _(corpus):
     return I.remove_from_index(I.build_postings(corpus), corpus.where("document_id % 5 = 0"))
 
 
-CHANGED = {"changed": "SELECT document_id, source || ' ' || lang || ' again' AS content FROM corpus WHERE document_id % 5 = 0"}
+CHANGED = {"changed": "SELECT document_id, content || ' ' || source || ' again' AS content FROM corpus WHERE document_id % 5 = 0"}
 NEWTOK = {"ntok": TOK.replace("corpus", "changed")}
 
 
 @query("update_index", "corpus", "SELECT * FROM postings WHERE document_id % 5 <> 0 UNION ALL SELECT term, document_id, count(*) FROM ntok GROUP BY ALL", **POSTINGS, **CHANGED, **NEWTOK)
 def _(corpus):
-    changed = corpus.where("document_id % 5 = 0").select("document_id", F.concat_ws(" ", "source", "lang", F.lit("again")).alias("content"))
+    changed = corpus.where("document_id % 5 = 0").select("document_id", F.concat("content", F.lit(" "), "source", F.lit(" again")).alias("content"))
     return I.update_index(I.build_postings(corpus), changed)
 
 
@@ -263,7 +265,7 @@ def _(corpus):
 
 
 BATCH = {
-    "qt": "SELECT query_id, mode, lim, len(list_distinct(t)) AS n_terms, unnest(list_distinct(t)) AS term FROM (SELECT *, list_transform(regexp_extract_all(query, '[A-Za-z0-9]+'), lambda x: lower(x)) AS t FROM query_batch WHERE lim >= 1)",
+    "qt": "SELECT query_id, mode, lim, len(list_distinct(t)) AS n_terms, unnest(list_distinct(t)) AS term FROM (SELECT *, list_transform(regexp_extract_all(query, '[A-Za-z0-9]+'), lambda x: lower(x)) AS t FROM query_batch WHERE lim >= 1 AND mode IN ('and', 'or'))",
     "scored": "SELECT query_id, document_id, list_reduce(list_prepend(CAST(0 AS DOUBLE), list(tf * ln(n / df) ORDER BY term)), lambda a, b: a + b) AS score, any_value(lim) AS lim FROM qt JOIN postings USING (term) JOIN df USING (term), n GROUP BY query_id, document_id, mode, n_terms HAVING mode = 'or' OR count(*) = n_terms",
     "ranked": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rank FROM scored",
 }
@@ -272,19 +274,19 @@ HITS = "SELECT query_id, rank, document_id, round(score, 6) AS score FROM ranked
 
 @query("search_batch", "query_batch corpus", HITS, **POSTINGS, **DFN, **BATCH)
 def _(requests, corpus):
-    return S.search_batch(requests, I.build_postings(corpus), I.corpus_size(corpus)).withColumn("score", F.round("score", 6))
+    return S.search_batch(requests, S.asked_postings(requests, corpus), I.corpus_size(corpus)).withColumn("score", F.round("score", 6))
 
 
 @query(
     "search_totals",
     "query_batch corpus",
-    f"SELECT q.query_id, CAST(coalesce(t.total, 0) AS BIGINT) AS total, e AS is_error, CASE WHEN e THEN '{X.MSG_REQUEST}' ELSE '' END AS error_message, true AS complete FROM (SELECT *, (lim < 1 OR {TRIM} = '') AS e FROM query_batch) q LEFT JOIN (SELECT query_id, count(*) AS total FROM scored GROUP BY 1) t USING (query_id)",
+    f"SELECT q.query_id, CAST(coalesce(t.total, 0) AS BIGINT) AS total, m OR e AS is_error, CASE WHEN m THEN '{_quoted(X.MSG_MODE)}' WHEN e THEN '{X.MSG_REQUEST}' ELSE '' END AS error_message, true AS complete FROM (SELECT *, mode NOT IN ('and', 'or') AS m, (lim < 1 OR {TRIM} = '') AS e FROM query_batch) q LEFT JOIN (SELECT query_id, count(*) AS total FROM scored GROUP BY 1) t USING (query_id)",
     **POSTINGS,
     **DFN,
     **BATCH,
 )
 def _(requests, corpus):
-    return S.search_totals(requests, I.build_postings(corpus), I.corpus_size(corpus))
+    return S.search_totals(requests, S.asked_postings(requests, corpus), I.corpus_size(corpus))
 
 
 @query("sharded_search", "query_batch corpus", HITS, **POSTINGS, **DFN, **BATCH)
@@ -562,9 +564,15 @@ def _(log):
     return nodes.where("s <> node_id").select("node_id", "event_id")
 
 
-@query("in_order_check", "events", "SELECT user_id, ts, event_id, previous FROM (SELECT user_id, ts, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events) WHERE event_id < previous")
-def _(events):
-    return O.in_order_check(events, "user_id", "ts", "event_id")
+@query(
+    "in_order_check",
+    "mutation_log",
+    "SELECT document_id, log_offset, event_id, previous FROM (SELECT document_id, rid AS log_offset, event_id, lag(event_id) OVER (PARTITION BY document_id ORDER BY rid) AS previous FROM e WHERE event_id IS NOT NULL AND document_id IS NOT NULL) WHERE event_id < previous",
+    **EVENT_CHAIN,
+)
+def _(log):
+    e = log.select("log_offset", X.decode_event(F.col("payload")).alias("e")).select("e.document_id", "log_offset", "e.event_id").where("event_id is not null and document_id is not null")
+    return O.in_order_check(e, "document_id", "log_offset", "event_id")
 
 
 # --- telemetry --------------------------------------------------------------------------
@@ -819,3 +827,98 @@ def _(corpus, inventory):
 @query("replica_content_mismatch", "replica_inventory", "SELECT document_id, count(*) AS copies, count(DISTINCT content) AS contents FROM replica_inventory GROUP BY 1 HAVING count(DISTINCT content) > 1")
 def _(inventory):
     return D.replica_content_mismatch(inventory)
+
+
+# --- a stored index ---------------------------------------------------------------------
+
+
+@query("index_search", "query_batch corpus", HITS, **POSTINGS, **DFN, **BATCH)
+def _(requests, corpus):
+    return B.search_blocks(requests, B.write_index(corpus))[0].withColumn("score", F.round("score", 6))
+
+
+@query("index_weights", "corpus", "SELECT term, document_id, round(tf * ln(n / df), 6) AS weight FROM postings JOIN df USING (term), n", **POSTINGS, **DFN)
+def _(corpus):
+    return B.weights(B.write_index(corpus)).withColumn("weight", F.round("weight", 6))
+
+
+@query("index_lookup", "corpus", "SELECT term, document_id, tf FROM postings WHERE term IN ('the', 'die', 'que', 'zzzqqq')", **POSTINGS)
+def _(corpus):
+    return B.read_postings(B.write_index(corpus), "the", "die", "que", "zzzqqq")
+
+
+# --- writes of mixed kinds, in order ----------------------------------------------------
+
+# the plain fold: one step for each further write of an id
+MIXED = {
+    "mo": f"SELECT *, CAST(row_number() OVER (PARTITION BY document_id ORDER BY seq) AS BIGINT) AS k, (kind <> 'delete' AND {BLANK}) AS b, {TERMS} AS t FROM mixed_batch",
+    "ids": "SELECT DISTINCT m.document_id, c.document_id IS NOT NULL AS held, c.content FROM mo m LEFT JOIN corpus c USING (document_id)",
+    "fold": "SELECT document_id, CAST(0 AS BIGINT) AS k, held AS present, content, CAST(NULL AS BIGINT) AS seq, '' AS kind, '' AS status, CAST(0 AS BIGINT) AS t FROM ids "
+    "UNION ALL SELECT f.document_id, o.k, CASE WHEN o.b THEN f.present WHEN o.kind = 'insert' THEN true WHEN o.kind = 'delete' THEN false ELSE f.present END, "
+    "CASE WHEN NOT o.b AND ((o.kind = 'insert' AND NOT f.present) OR (o.kind = 'update' AND f.present)) THEN o.content ELSE f.content END, o.seq, o.kind, "
+    "CASE WHEN o.b THEN 'invalid' WHEN o.kind = 'insert' THEN CASE WHEN f.present THEN 'conflict' ELSE 'created' END WHEN NOT f.present THEN 'not_found' WHEN o.kind = 'update' THEN 'updated' ELSE 'deleted' END, CAST(o.t AS BIGINT) "
+    "FROM fold f JOIN mo o ON o.document_id = f.document_id AND o.k = f.k + 1",
+}
+
+
+def _recursive(name: str) -> None:
+    _ORACLE[name] = _ORACLE[name].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(
+    "mixed_writes",
+    "corpus mixed_batch",
+    f"SELECT seq, document_id, kind, status, CASE status WHEN 'invalid' THEN '{X.MSG_BLANK}' WHEN 'conflict' THEN 'Document with id ' || document_id || ' already exists' WHEN 'not_found' THEN 'Document with id ' || document_id || ' not found' ELSE '' END AS message, CASE WHEN status IN ('created', 'updated') THEN t ELSE 0 END AS terms_indexed FROM fold WHERE k > 0",
+    **MIXED,
+)
+def _(corpus, batch):
+    return M.mixed_writes(batch, corpus).drop("content")
+
+
+@query(
+    "mixed_snapshot",
+    "corpus mixed_batch",
+    "SELECT document_id, content FROM corpus WHERE document_id NOT IN (SELECT document_id FROM ids) UNION ALL SELECT document_id, content FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY k DESC) AS z FROM fold) WHERE z = 1 AND present",
+    **MIXED,
+)
+def _(corpus, batch):
+    return M.mixed_table(batch, corpus)
+
+
+_recursive("mixed_writes")
+_recursive("mixed_snapshot")
+
+# --- replicas by digests, Boolean retrieval by bitmaps ----------------------------------
+
+
+@query(
+    "replica_differences",
+    "corpus placed_inventory",
+    "SELECT document_id, shard_id, node_id, CASE WHEN h IS NULL THEN 'missing' WHEN w IS NULL THEN 'unexpected' ELSE 'content' END AS difference FROM (SELECT document_id, shard_id, CAST((shard_id + r) % 3 AS BIGINT) AS node_id, content AS want, 1 AS w FROM corpus, range(2) t(r)) FULL JOIN (SELECT document_id, shard_id, CAST(node_id AS BIGINT) AS node_id, content AS have, 1 AS h FROM placed_inventory) USING (document_id, shard_id, node_id) WHERE h IS NULL OR w IS NULL OR want IS DISTINCT FROM have",
+)
+def _(corpus, inventory):
+    return D.replica_differences(corpus, inventory)
+
+
+@query(
+    "ambiguous_placement",
+    "corpus placed_inventory",
+    "SELECT document_id, coalesce(k, 0) AS shards, CASE WHEN k IS NULL THEN 'not_found' ELSE 'ambiguous' END AS problem FROM (SELECT document_id FROM corpus UNION SELECT document_id FROM placed_inventory) LEFT JOIN (SELECT document_id, count(DISTINCT shard_id) AS k FROM placed_inventory WHERE node_id = shard_id % 3 GROUP BY 1) USING (document_id) WHERE k IS NULL OR k <> 1",
+)
+def _(corpus, inventory):
+    return D.ambiguous_placement(corpus, inventory)
+
+
+@query("bitmap_and", "corpus", "SELECT document_id FROM postings WHERE term IN ('and', 'in', 'the') GROUP BY 1 HAVING count(*) = 3", **POSTINGS)
+def _(corpus):
+    return BM.boolean_bitmaps(BM.build_bitmaps(I.build_postings(corpus)), "The in, and the", "and")
+
+
+@query("bitmap_or", "corpus", "SELECT DISTINCT document_id FROM postings WHERE term IN ('que', 'license', 'zzzqqq')", **POSTINGS)
+def _(corpus):
+    return BM.boolean_bitmaps(BM.build_bitmaps(I.build_postings(corpus)), "que license zzzqqq", "or")
+
+
+@query("bitmap_totals", "corpus", "SELECT count(DISTINCT document_id) AS total FROM postings WHERE term IN ('que', 'the')", **POSTINGS)
+def _(corpus):
+    return BM.count_matches(BM.build_bitmaps(I.build_postings(corpus)), "que the", "or")
