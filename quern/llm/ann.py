@@ -1,11 +1,13 @@
 """Approximate nearest neighbours on robust-pruned directed graphs.
 
-Distinct vectors are dealt to shards of bounded size. Each shard builds a directed graph:
+Distinct vectors are dealt to shards of bounded size and similar length. Each shard builds a directed graph:
 a greedy search proposes the neighbours of a node, and relaxed distance pruning keeps a
 candidate only if no kept neighbour is nearer to it by the factor alpha, so long and
 diverse edges remain. A query runs a beam search in each shard; the best of all shards
 are merged. Inner products become distances by one more coordinate,
-sqrt(longest**2 - |x|**2), which is 0 for queries.
+sqrt(longest**2 - |x|**2), which is 0 for queries; as a shard's vectors are about equally
+long, that coordinate stays small, and distances among them lead to what queries want. The
+beam is as wide as a sample of the queries needs to find what a brute-force search finds.
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ SHARD_ROWS = 8192
 #: Queries that a shard is sent with at once; they are searched BATCH by BATCH.
 QUERY_BLOCK = 65_536
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 24, 40, 128, 1.2
+#: Lengths of a shard differ by this factor at most, but for shards that a beam holds whole.
+BAND = 1.08
+#: Queries of the sample that the beam is fitted to, and the recall that it must have.
+TUNE_ROWS, TUNE_RECALL = 64, 0.97
 #: Nodes inserted together, and nodes of a beam expanded together.
 BATCH, EXPAND = 512, 4
 
@@ -197,16 +203,74 @@ def build_index(vectors: DataFrame, keep: int = 21, shard_rows: int = SHARD_ROWS
     Equal vectors share a row with their `keep` smallest ids: as ties go to the smaller
     id, no other can be among the keep nearest of a query. Null ids take no part; rows
     that repeat id and vector count once. Shorter vectors count as padded with zeros.
-    Vectors are searched as 32-bit parts of the longest of their shard, of any size;
-    every node of a shard can be reached from its entry.
+    Shards are bands of similar length; rare lengths share shards that a beam holds whole,
+    and common ones have several. Vectors are searched as 32-bit parts of the longest of
+    their shard, of any size; every node of a shard can be reached from its entry.
     """
     order = Window.partitionBy("vector").orderBy("vec_id")
     small = vectors.where("vec_id is not null").select("vec_id", "vector").distinct().withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= keep)
     classes = small.groupBy("vector").agg(F.array_sort(F.collect_list("vec_id")).alias("vec_ids")).withColumn("first_id", F.col("vec_ids")[0])
-    classes = materialize(classes, "ann-classes")
-    shards = max(1, math.ceil(classes.count() / shard_rows))
-    dealt = classes.withColumn("shard", F.pmod(F.xxhash64("first_id"), F.lit(shards)).cast("int"))
-    return materialize(dealt.groupBy("shard").applyInPandas(_build, INDEX_SCHEMA), "ann-index")
+    top = F.array_max(F.transform("vector", F.abs))
+    inner = F.aggregate("vector", F.lit(0.0), lambda a, v: a + (v / top) * (v / top))
+    band = F.floor((F.log(top) + F.log(inner) / 2) / math.log(BAND) + 0.5).cast("long")
+    classes = materialize(classes.withColumn("band", F.when(top > 0, band).otherwise(-(10**6))), "ann-classes")
+    sizes = sorted(((r.band, r.n) for r in classes.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)  # at most 20,000 bands
+    plan, base, held = [], -1, math.inf  # (band, first shard, shards)
+    for at, n in sizes:
+        if held + n <= SEARCH_BEAM:
+            held += n
+            plan.append((at, base, 1))
+            continue
+        parts = math.ceil(n / shard_rows)
+        base += plan[-1][2] if plan else 1
+        held = n if parts == 1 else math.inf
+        plan.append((at, base, parts))
+    known = classes.sparkSession.createDataFrame(plan, "band long, base int, parts int")
+    dealt = classes.join(F.broadcast(known), "band").withColumn("shard", (F.col("base") + F.pmod(F.xxhash64("first_id"), F.col("parts"))).cast("int"))
+    return materialize(dealt.select("shard", "vector", "vec_ids", "first_id").groupBy("shard").applyInPandas(_build, INDEX_SCHEMA), "ann-index")
+
+
+def _exact_sample(vectors: DataFrame, sample: list, k: int) -> dict:
+    """The k-th largest product of each sampled query with other ids, by brute force: each task returns its k best."""
+    dims = max(len(v) for _, v in sample)
+
+    def best(frames):
+        for f in frames:
+            width = max(dims, max(map(len, f.vector), default=0))
+            x, q = np.zeros((len(f), width)), np.zeros((len(sample), width))
+            for to, column in ((x, f.vector), (q, [v for _, v in sample])):
+                for i, v in enumerate(column):
+                    to[i, : len(v)] = v
+            for (qid, _), part in zip(sample, q):
+                score = np.where(f.vec_id.to_numpy() == qid, -np.inf, (x * part).sum(axis=1))
+                top = np.argsort(-score, kind="stable")[:k]
+                yield pd.DataFrame({"query_id": qid, "score": score[top]})
+
+    found = vectors.mapInPandas(best, "query_id long, score double")
+    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("r") <= k)
+    return {r.query_id: r.floor for r in ranked.groupBy("query_id").agg(F.min("score").alias("floor")).collect()}  # TUNE_ROWS rows
+
+
+def fitted_beam(index: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = SEARCH_BEAM) -> int:
+    """The least doubling of the beam with which a sample of the queries finds TUNE_RECALL of its k nearest.
+
+    At most TUNE_ROWS queries are sampled, those with the least hash of the id; a beam as
+    wide as a shard finds all.
+    """
+    rows = queries.where("vec_id is not null").select("vec_id", "vector").dropDuplicates(["vec_id"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(TUNE_ROWS)
+    sample = [(r.vec_id, r.vector) for r in rows.collect()]
+    if not sample:
+        return beam
+    floors = _exact_sample(vectors.where("vec_id is not null").select("vec_id", "vector"), sample, k)
+    asked = queries.sparkSession.createDataFrame(sample, "vec_id long, vector array<double>")
+    total = vectors.limit(k + 1).count() - 1
+    while beam < SHARD_ROWS:
+        found = search_index(index, asked, k, beam).select("query_id", "score").collect()  # k rows for each of the sample
+        hits = sum(r.score >= floors.get(r.query_id, math.inf) for r in found)
+        if hits >= TUNE_RECALL * min(k, total) * len(sample):
+            break
+        beam *= 2
+    return beam
 
 
 def _search(k: int, beam: int):
@@ -271,6 +335,8 @@ def nonzero(column):
 
 
 def op4_ann_graph(spark, sf_dir: str) -> DataFrame:
+    """Every twentieth vector against all, with a beam fitted to a sample of these queries."""
     vec = read_table(spark, sf_dir, "embeddings").where(usable(F.col("embedding")) & nonzero("embedding"))
     vec = vec.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    return search_index(build_index(vec), vec.where("vec_id % 20 = 0"))
+    index, asked = build_index(vec), vec.where("vec_id % 20 = 0")
+    return search_index(index, asked, beam=fitted_beam(index, vec, asked))

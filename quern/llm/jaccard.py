@@ -41,13 +41,11 @@ COMMON = 200
 @lru_cache(1)
 def _tables():
     rng = np.random.default_rng(20240608)
-    letters = rng.integers(1, 1 << 64, 256, dtype=np.uint64)
-    letters[ord("A") : ord("Z") + 1] = letters[ord("a") : ord("z") + 1]
+    lower = np.arange(256, dtype=np.uint64)
+    lower[ord("A") : ord("Z") + 1] += np.uint64(32)
     space = np.zeros(256, bool)
     space[[0x20, *range(0x09, 0x0E)]] = True
-    power = np.full(1 << 16, 0x9E3779B97F4A7C15 | 1, np.uint64)
-    power[0] = 1
-    return letters, space, np.multiply.accumulate(power), rng.integers(1, 1 << 64, 16, dtype=np.uint64) | np.uint64(1)
+    return lower, space, rng.integers(1, 1 << 64, 16, dtype=np.uint64) | np.uint64(1)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -57,8 +55,13 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def shingles(text: str) -> np.ndarray:
-    """Sorted distinct hashes of the five-word shingles of a text."""
-    letters, space, power, odd = _tables()
+    """Sorted distinct hashes of the five-word shingles of a text.
+
+    A word is hashed by eight bytes at a time, each mixed with its place before the sum, so no
+    arrangement of the same letters cancels out. Of two texts that differ, a given pair of
+    shingles has one hash with a probability of 2**-64.
+    """
+    lower, space, odd = _tables()
     x = np.frombuffer(text.encode(), np.uint8)
     if not len(x):
         return np.empty(0, np.uint64)
@@ -71,9 +74,12 @@ def shingles(text: str) -> np.ndarray:
     # no white space before the first word, so that each byte has a place in its word
     x, blank, starts = x[starts[0] :], blank[starts[0] :], starts - starts[0]
     within = np.arange(len(x)) - np.repeat(starts, np.diff(np.r_[starts, len(x)]))
-    value = letters[x] * (power[within & 0xFFFF] + (within >> 16).astype(np.uint64))
+    value = lower[x] << ((within & 7).astype(np.uint64) * np.uint64(8))
     value[blank] = 0
-    w = _mix(np.add.reduceat(value, starts) + sizes.astype(np.uint64) * odd[0])
+    first = np.flatnonzero((within & 7 == 0) & ~blank)  # where eight bytes of a word begin
+    part = np.add.reduceat(value, first)
+    part = _mix(part ^ _mix((within[first] >> 3).astype(np.uint64) * odd[14] + odd[15]))
+    w = _mix(np.add.reduceat(part, np.searchsorted(first, starts)) + sizes.astype(np.uint64) * odd[0])
     n = len(w) - SHINGLE + 1
     if n < 1:
         return _mix(np.array([(w * odd[1 : 1 + len(w)]).sum(dtype=np.uint64) + np.uint64(len(w))], np.uint64))

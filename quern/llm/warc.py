@@ -211,9 +211,9 @@ def _member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
 def _content(raw: bytes, error: str | None) -> tuple[list[tuple], str | None]:
     """Records and gaps of the content of a member, as (kind, record or reason), and the first failed check.
 
-    The bytes up to a cut are as they were written. Where gzip fails another check, the
-    damage must show in a record; if none fails, it is in a header, which no digest covers,
-    and no record of the member can be taken for right.
+    The bytes up to a cut are as they were written. Where gzip fails another check and no
+    record shows the damage, it is in the member's trailer or in a header, which no digest
+    covers; the records are given, each marked as suspect in its reason.
     """
     found, p, gap, why, first, shown = [], 0, None, "", None, False
     while p < len(raw):
@@ -234,7 +234,7 @@ def _content(raw: bytes, error: str | None) -> tuple[list[tuple], str | None]:
     if gap is not None or error:
         found.append(("gap", f"bytes {len(raw) if gap is None else gap} on of the member: {error or why}"))
     if error not in (None, "gzip: cut short") and not shown:
-        return [], error
+        found = [(kind, what | {"reason": f"suspect: {error}"} if kind == "record" else what) for kind, what in found]
     return found, error or first
 
 
@@ -254,8 +254,9 @@ def salvage(data: bytes):
                 found, first = _content(raw, error)
                 if not any(kind == "record" for kind, _ in found):
                     raise ValueError(first or "empty member")
-                if error:  # where the member would have ended isn't known
-                    end = min((x for x in (data.find(MAGIC, at + 1), data.find(VERSION, end)) if x >= 0), default=n)
+                if error:  # where the member would have ended is known only if its trailer is what failed
+                    after = end if " check" in error else at + 1
+                    end = min((x for x in (data.find(MAGIC, after), data.find(VERSION, end)) if x >= 0), default=n)
             elif data.startswith(VERSION, at):
                 rec, end = parse_record(data, at)
                 found = [("record", rec)]
@@ -309,7 +310,8 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = False) -> D
     """Records and quarantined gaps of all archives of a folder, one row each.
 
     kind is record or gap. A gap has its place, length and the reason of the first failed
-    check. A folder without archives gives no rows.
+    check. A record has a reason only if it is suspect: its own checks passed, but the
+    member that it stands in failed one. A folder without archives gives no rows.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("path", "content")
     return files.mapInPandas(_reader(with_payload), RECORD_SCHEMA)

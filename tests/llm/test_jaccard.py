@@ -107,3 +107,16 @@ def test_null_and_repeated_ids_and_empty_table(spark):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jc.jaccard_components(df).collect()}
     assert got == {(None, 2, 4), (4, 2, 4), (4, 3, 4), (9, 3, 4), (None, 1, None), (5, 0, 5)}
     assert jc.jaccard_components(df.limit(0)).count() == 0
+
+
+def test_long_words_of_two_letters_stay_apart(spark):
+    """Thue-Morse words and their complements have one polynomial hash modulo 2**64 whatever its base."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    words = [w[:n] for n in (1024, 2048) for w in (word, word.translate(str.maketrans("ab", "ba")))]
+    words += [word[k:] + word[:k] for k in (1, 8, 16)] + ["ab" * 1024, "ba" * 1024, "a" * 2047 + "b", "b" + "a" * 2047, "a" * 16, "a" * 8, "aaaaaaaabbbbbbbb", "bbbbbbbbaaaaaaaa"]
+    assert len(set(words)) == len(words) == len({int(jc.shingles(w)[0]) for w in words})
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    assert all(r.component_id == r.doc_id for r in jc.jaccard_components(docs).collect())
+    assert jc.shingles("A" + word).tolist() == jc.shingles(" a" + word.upper() + "\n").tolist()

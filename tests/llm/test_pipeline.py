@@ -96,4 +96,19 @@ def test_scratch_of_a_lazy_result_stays(spark, sf_dir):
     lazy = mixing.op7_mix_sources(spark, sf_dir)
     cp.run(spark, sf_dir)
     assert lazy.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
-    assert not cp._scratch.get(("near_duplicates", sf_dir))
+    assert all(ref() is not None for ref, _ in cp._scratch)
+
+
+def test_results_of_earlier_stages_can_still_be_read(spark, sf_dir):
+    """A result that is held keeps its scratch tables while later stages and whole runs go on."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held = cp.near_duplicates(spark, docs, sf_dir)
+    cp.repeated_passages(spark, docs, sf_dir).count()
+    first, second = cp.run(spark, sf_dir), cp.run(spark, sf_dir)
+    assert 0 < held.count() <= docs.count()
+    assert first.count() == second.count() > 0
+    kept = [paths for ref, paths in cp._scratch if ref() is held]
+    assert len(kept) == 1 and kept[0]
+    del held
+    cp._sweep(spark)
+    assert not [p for ref, p in cp._scratch if p == kept[0]]

@@ -147,3 +147,25 @@ def test_ann_huge_repeated_and_uneven_vectors(spark):
         found = {(r["rank"], r.vec_id, r.score) for r in out if r.query_id == q}
         missing = {(k, j, -s) for k, (s, j) in enumerate(want, 1)} - found
         assert not missing, (sorted(missing)[:3], sorted(found)[:70])
+
+
+def _recall(spark, x):
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    vec = spark.createDataFrame(rows, "vec_id long, vector array<double>").repartition(4)
+    index, asked = ann.build_index(vec), vec.where("vec_id % 20 = 0")
+    got = {}
+    for r in ann.search_index(index, asked, beam=ann.fitted_beam(index, vec, asked)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(list(range(len(x))), x, list(range(0, len(x), 20)), 20)
+    return sum(len(got[q] & {v for v, _ in w}) for q, w in want.items()) / sum(map(len, want.values()))
+
+
+@pytest.mark.parametrize("kind", ["gauss32", "gauss64", "lognormal", "giant"])
+def test_ann_recall_with_unequal_lengths(spark, kind):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 64 if kind == "gauss64" else 32))
+    if kind == "lognormal":
+        x *= np.exp(rng.normal(size=(len(x), 1)))
+    if kind == "giant":
+        x[77] *= 10_000
+    assert _recall(spark, x) >= 0.95
