@@ -254,8 +254,8 @@ def salvage(data: bytes):
                 found, first = _content(raw, error)
                 if not any(kind == "record" for kind, _ in found):
                     raise ValueError(first or "empty member")
-                if error:  # where the member would have ended is known only if its trailer is what failed
-                    after = end if " check" in error else at + 1
+                if error:  # where the member would have ended isn't known; if its trailer failed, that may be the start of the next
+                    after = max(at + 1, end - 8) if " check" in error else at + 1
                     end = min((x for x in (data.find(MAGIC, after), data.find(VERSION, end)) if x >= 0), default=n)
             elif data.startswith(VERSION, at):
                 rec, end = parse_record(data, at)
