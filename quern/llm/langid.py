@@ -28,13 +28,13 @@ TRAIN_ROWS, TRAIN_LANGS = 3000, 200
 EM_ROUNDS = 2
 SMOOTH = 0.1
 #: Letters of the words that are passed through side by side, and ends that are looked up at once.
-BATCH_LETTERS, WIDTH = 1 << 17, 1 << 14
+BATCH_LETTERS, WIDTH = 1 << 16, 1 << 13
 #: Steps after which the forward sums are rescaled.
 RESCALE = 8
 #: Scores of words by languages that a worker remembers.
 MEMO_CELLS = 1_600_000
 #: Characters of the texts whose new words are scored together.
-BATCH_TEXT = 4 << 20
+BATCH_TEXT = 1 << 20
 WORDS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 
