@@ -333,6 +333,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], name: str = "p
         known = (sizes > 0) & np.array([any(map(str.isalpha, x)) for x in plain], bool)  # words also hold signs like raised digits
         return pd.DataFrame({"lang_pred": np.where(known, np.array(names, object)[best], "und"), "score": np.where(known, z[np.arange(len(z)), best], 0.0)})
 
+    # not deterministic for the optimizer, as it would move a filter on the result below and predict twice
+    guess = guess.asNondeterministic()
     return kept.withColumn("_guess", guess(F.col("text").cast("string"))).select(*kept.columns, "_guess.lang_pred", "_guess.score")
 
 
