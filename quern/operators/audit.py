@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import stored
 from .telemetry import order_statistics
 
 
@@ -96,6 +97,79 @@ def propagation_summary(log: DataFrame) -> DataFrame:
     return counted.join(F.broadcast(stats), how="left")  # a row each
 
 
+def content_key(content: str = "content") -> Column:
+    """A digest that stands for a content in joins; an absent document (null) has one of its own."""
+    return F.coalesce(F.sha2(F.col(content), 256), F.lit("-"))
+
+
+def visibility_columns(first_seen: DataFrame, timeout_s: int, nodes: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """Latencies of writes from write_id, document_id and microseconds _t (write) and _seen0, _seen1, ...
+
+    Node 0 is the topic. A write must be published within the timeout, and stand on each node
+    within the timeout after that; error names what was missed.
+    """
+    limit = F.lit(timeout_s * 1_000_000)
+    since = lambda to, t: F.when(to.isNotNull(), F.greatest(F.lit(0), to - t)).cast("long")
+    published = F.when(F.col("_seen0") <= F.col("_t") + limit, F.col("_seen0"))
+    df = first_seen.withColumn("_published", published)
+    df = df.withColumns({f"_node{n}": F.when(F.col(f"_seen{n}") <= F.col("_published") + limit, F.col(f"_seen{n}")) for n in nodes})
+    missed = F.concat_ws(", ", *[F.when(F.col(f"_node{n}").isNull(), F.lit(str(n))) for n in nodes])
+    error = F.when(F.col("_published").isNull(), "not published").when(missed != "", F.concat(F.lit("missing on "), missed)).otherwise("")
+    last = F.greatest(*[F.col(f"_node{n}") for n in nodes]) if len(nodes) > 1 else F.col(f"_node{nodes[0]}")
+    df = df.withColumn("error", error).withColumn("_all", F.when(F.col("error") == "", last))
+    return df.select(
+        "write_id",
+        "document_id",
+        since(F.col("_published"), F.col("_t")).alias("publish_us"),
+        *[since(F.col(f"_node{n}"), F.col("_t")).alias(f"node{n}_us") for n in nodes],
+        since(F.col("_all"), F.col("_t")).alias("visible_us"),
+        since(F.col("_all"), F.col("_published")).alias("from_publish_us"),
+        "error",
+    )
+
+
+def write_visibility(writes: DataFrame, observations: DataFrame, timeout_s: int = 10, nodes: tuple[int, ...] = (1, 2), span_s: int = 600) -> DataFrame:
+    """Per write, how long until the topic and each node first showed its content.
+
+    writes: write_id (unique), document_id, content, t_write; observations: node_id (0 is the
+    topic), document_id, content, t_seen. The first observation at or after the write with
+    equal content counts; content null means an absent document. Writes without a time and
+    observations without a time or document are left out; a write without a document is never seen.
+
+    Both logs are cut into spans of time. The next observation is found inside a span by a
+    running last value from the latest row back, beyond it by the first ones of later spans,
+    so that no task sorts the whole log of a document.
+    """
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    none = lambda kind: F.lit(None).cast(kind)
+    kind = writes.schema["write_id"].dataType
+    w = writes.select("write_id", F.col("document_id").cast("long").alias("document_id"), content_key().alias("_key"), at("t_write").alias("_t"), none("long").alias("_node"), F.lit(1).alias("_write"))
+    o = observations.where("document_id is not null").select(none(kind).alias("write_id"), F.col("document_id").cast("long").alias("document_id"), content_key().alias("_key"), at("t_seen").alias("_t"), F.col("node_id").cast("long").alias("_node"), F.lit(0).alias("_write"))
+    log = w.unionByName(o).where("_t is not null").withColumn("_span", F.floor(F.col("_t") / F.lit(span_s * 1_000_000)))
+    watched = (0, *nodes)
+    seen = {n: F.when((F.col("_write") == 0) & (F.col("_node") == n), F.col("_t")) for n in watched}
+    key = ["document_id", "_key"]
+    later = Window.partitionBy(*key).orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, -1)
+    spans = log.groupBy(*key, "_span").agg(*[F.min(seen[n]).alias(f"_first{n}") for n in watched])
+    spans = spans.select(*key, "_span", *[F.last(f"_first{n}", True).over(later).alias(f"_later{n}") for n in watched])
+    inside = Window.partitionBy(*key, "_span").orderBy(F.desc("_t"), "_write").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    asked = log.withColumns({f"_near{n}": F.last(seen[n], True).over(inside) for n in watched}).where("_write = 1")
+    found = asked.join(spans, [*key, "_span"], "left").withColumns({f"_seen{n}": F.coalesce(f"_near{n}", f"_later{n}") for n in watched})
+    return visibility_columns(found, timeout_s, nodes)
+
+
+def visibility_summary(visibility: DataFrame) -> DataFrame:
+    """For each error, and none: writes, and quantiles of visible_us and from_publish_us."""
+    picks = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    visibility = stored(visibility, "visibility")  # read by the counts and both quantiles
+    good = visibility.where("error = ''")
+    out = visibility.groupBy("error").agg(F.count(F.lit(1)).alias("writes"), F.max("visible_us").alias("most_us"))
+    for c, prefix in (("visible_us", "visible"), ("from_publish_us", "from_publish")):
+        stats = order_statistics(good.withColumn(c, F.col(c).cast("double")), c, ("error",), picks)
+        out = out.join(stats.select("error", *[F.round(m, 3).alias(f"{prefix}_{m}_us") for m in picks]), "error", "left")
+    return out
+
+
 def shard_routing(corpus: DataFrame, shards: int = 3) -> DataFrame:
     """Documents of each shard and their share against an even one."""
     if shards < 1:

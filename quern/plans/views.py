@@ -68,6 +68,13 @@ SELECT shard_id, replica_rank, (shard_id + replica_rank) % 3 AS node_id, et <> '
 FROM answers WHERE span = coalesce((SELECT max(span) FROM partly), (SELECT max(span) FROM answers))""",
     "propagation_log": """SELECT event_id AS document_id, value AS t_write_done, value + event_id % 7 AS t_published,
  CASE WHEN event_id % 37 = 0 THEN NULL ELSE value + event_id % 13 END AS t_node1, CASE WHEN event_id % 41 = 0 THEN NULL ELSE value + event_id % 17 END AS t_node2 FROM events""",
+    # writes of few contents by 997 documents, so that contents come again
+    "write_log": """SELECT event_id AS write_id, event_id % 997 AS document_id, CASE WHEN event_type = 'purchase' THEN NULL ELSE 'v' || (user_id % 4) END AS content, ts AS t_write FROM events""",
+    # when the topic (0) and the nodes first showed a write: lost, stale, late and early ones among them
+    "observation_log": """SELECT n.node_id, event_id % 997 AS document_id,
+ CASE WHEN (event_id + n.node_id) % 31 = 0 THEN 'stale' WHEN event_type = 'purchase' THEN NULL ELSE 'v' || (user_id % 4) END AS content,
+ ts + INTERVAL '1' SECOND * CAST((event_id * (n.node_id + 3)) % (3 + 3 * n.node_id) + CASE WHEN event_id % 53 = n.node_id THEN 25 ELSE 0 END - CASE WHEN event_id % 71 = 5 THEN 90 ELSE 0 END AS INT) AS t_seen
+FROM events CROSS JOIN (SELECT * FROM (VALUES (0),(1),(2)) AS v(node_id)) n WHERE (event_id + 2 * n.node_id) % 43 <> 0""",
     # a write for each document, and a second one: new, clashing, repeated and blank ones
     "write_batch": """SELECT doc_id AS seq, CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE doc_id + 1000000000 END AS document_id, CASE WHEN doc_id % 15 = 0 THEN '  ' ELSE text || ' v2' END AS content FROM documents
 UNION ALL SELECT doc_id + 5000000000, CASE WHEN doc_id % 9 = 3 THEN doc_id + 1000000000 ELSE doc_id + 2000000000 END, 'again' FROM documents""",

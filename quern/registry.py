@@ -922,3 +922,34 @@ def _(corpus):
 @query("bitmap_totals", "corpus", "SELECT count(DISTINCT document_id) AS total FROM postings WHERE term IN ('que', 'the')", **POSTINGS)
 def _(corpus):
     return BM.count_matches(BM.build_bitmaps(I.build_postings(corpus)), "que the", "or")
+
+# --- write log against observations -----------------------------------------------------
+
+# the first observation at or after each write, by a plain join and minimum
+SEEN = {
+    "firsts": "SELECT w.write_id, w.document_id, any_value(epoch_us(w.t_write)) AS t, "
+    + ", ".join(f"min(epoch_us(o.t_seen)) FILTER (WHERE o.node_id = {n}) AS s{n}" for n in (0, 1, 2))
+    + " FROM write_log w LEFT JOIN observation_log o ON o.document_id = w.document_id AND o.content IS NOT DISTINCT FROM w.content AND o.t_seen >= w.t_write GROUP BY 1, 2",
+    "pub": "SELECT *, CASE WHEN s0 <= t + 10000000 THEN s0 END AS p FROM firsts",
+    "nod": "SELECT *, CASE WHEN s1 <= p + 10000000 THEN s1 END AS n1, CASE WHEN s2 <= p + 10000000 THEN s2 END AS n2 FROM pub",
+    "vis": "SELECT write_id, document_id, p - t AS publish_us, n1 - t AS node1_us, n2 - t AS node2_us, CASE WHEN n1 IS NOT NULL AND n2 IS NOT NULL THEN greatest(n1, n2) - t END AS visible_us, "
+    "CASE WHEN n1 IS NOT NULL AND n2 IS NOT NULL THEN greatest(0, greatest(n1, n2) - p) END AS from_publish_us, "
+    "CASE WHEN p IS NULL THEN 'not published' WHEN n1 IS NULL AND n2 IS NULL THEN 'missing on 1, 2' WHEN n1 IS NULL THEN 'missing on 1' WHEN n2 IS NULL THEN 'missing on 2' ELSE '' END AS error FROM nod",
+}
+
+
+@query("write_visibility", "write_log observation_log", "SELECT * FROM vis", **SEEN)
+def _(writes, observations):
+    return D.write_visibility(writes, observations)
+
+
+@query(
+    "write_visibility_summary",
+    "write_log observation_log",
+    "SELECT error, count(*) AS writes, max(visible_us) AS most_us, "
+    + ", ".join(f"round(quantile_cont(CAST({c} AS DOUBLE), {q}), 3) AS {name}_p{round(q * 100)}_us" for c, name in (("visible_us", "visible"), ("from_publish_us", "from_publish")) for q in (0.5, 0.95, 0.99))
+    + " FROM vis GROUP BY 1",
+    **SEEN,
+)
+def _(writes, observations):
+    return D.visibility_summary(D.write_visibility(writes, observations))

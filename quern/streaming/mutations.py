@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators import audit as D
 from ..operators import index as I
 from ..operators import mutations as M
 
@@ -75,37 +76,123 @@ def index_mutations(source: DataFrame, own_node: int = 0, hosted=(0, 1)) -> Data
     return events.groupBy("document_id").transformWithStateInPandas(_Apply(), OUTCOMES, "Append", "None")
 
 
-def keep_index(outcomes: DataFrame, path: str, checkpoint: str):
-    """Start a query that keeps documents and postings under path from index_mutations.
-
-    Each batch writes what it changed to folders of its own, which a repeated batch
-    overwrites; its offsets count as read once both are written.
+def _runs(n: int, fan: int) -> list[tuple[int, int]]:
+    """The runs (first batch, end) that hold n batches: the digits of n to the base fan, largest runs first."""
+    size = 1
+    while size * fan <= n:
+        size *= fan
+    out, first = [], 0
+    while size:
+        for _ in range((n - first) // size):
+            out.append((first, first + size))
+            first += size
+        size //= fan
+    return out
+
+
+class KeptIndex:
+    """Documents and postings of a stream, in runs of batches that are merged level by level.
+
+    A batch is a run of its own; each fan runs of a size become one, so n batches are read
+    from at most fan * (1 + log n) runs and a change is rewritten about log n times. Which
+    runs count follows from n alone, and n is the newest name under path/head, written after
+    the runs: what a crash leaves half done is not read, and is overwritten by the same batch
+    delivered again. Runs stay for `keep` further batches, for readers that began before.
     """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        last = batch.groupBy("document_id").agg(F.max("log_offset").alias("log_offset"), F.max_by(F.struct("content"), "log_offset").alias("s")).select("document_id", "log_offset", "s.content")
-        last.write.mode("overwrite").parquet(f"{path}/documents/batch={batch_id}")
-        changed = batch.sparkSession.read.parquet(f"{path}/documents/batch={batch_id}")
-        I.build_postings(changed.where("content is not null"), "log_offset").write.mode("overwrite").parquet(f"{path}/postings/batch={batch_id}")
-
-    return subscribe(outcomes, write, checkpoint)
-
-
-def _newest(spark: SparkSession, path: str) -> DataFrame:
-    changes = spark.read.parquet(f"{path}/documents")
-    return changes.groupBy("document_id").agg(F.max("log_offset").alias("log_offset"), F.max_by(F.struct("content"), "log_offset").alias("s")).select("document_id", "log_offset", "s.content")
-
-
-def kept_documents(spark: SparkSession, path: str) -> DataFrame:
+    def __init__(self, spark: SparkSession, path: str, fan: int = 8, keep: int = 8):
+        if fan < 2 or keep < 1:
+            raise ValueError("fan must be at least 2 and keep at least 1")
+        self._spark, self._path, self._fan, self._keep = spark, path.rstrip("/"), fan, keep
+
+    def _at(self, name: str):
+        jvm = self._spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(f"{self._path}/{name}")
+        return where.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()), where
+
+    def _names(self, folder: str) -> list[str]:
+        fs, where = self._at(folder)
+        return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+    def batches(self) -> int:
+        """How many batches are held."""
+        return int((self._names("head") or ["0"])[-1])
+
+    def _tables(self, runs: list[tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
+        names = [f"{first:012d}-{end:012d}" for first, end in runs]
+        read = lambda kind, schema: self._spark.read.schema(schema).parquet(*[f"{self._path}/{kind}/{n}" for n in names])
+        docs = read("documents", "document_id long, log_offset long, content string")
+        return docs, read("postings", "term string, document_id long, tf long, log_offset long")
+
+    def _newest(self, docs: DataFrame) -> DataFrame:
+        return docs.groupBy("document_id").agg(F.max("log_offset").alias("log_offset"), F.max_by(F.struct("content"), "log_offset").alias("s")).select("document_id", "log_offset", "s.content")
+
+    def _write(self, docs: DataFrame, postings, first: int, end: int) -> None:
+        name = f"{first:012d}-{end:012d}"
+        docs.write.mode("overwrite").parquet(f"{self._path}/documents/{name}")
+        written = self._spark.read.schema(docs.schema).parquet(f"{self._path}/documents/{name}")
+        postings(written).write.mode("overwrite").parquet(f"{self._path}/postings/{name}")
+
+    def add(self, batch: DataFrame, batch_id: int) -> None:
+        """Take in a batch of outcomes of index_mutations; batches come in order, the last one perhaps again."""
+        n = batch_id + 1
+        if n <= self.batches():
+            return
+        self._write(self._newest(batch), lambda docs: I.build_postings(docs.where("content is not null"), "log_offset"), batch_id, n)
+        size = self._fan
+        while n % size == 0:
+            parts = [(first, first + size // self._fan) for first in range(n - size, n, size // self._fan)]
+            docs, postings = self._tables(parts)
+            docs = self._newest(docs)
+            # nothing older is left that a removal could hide
+            docs = docs.where("content is not null") if n == size else docs
+            self._write(docs, lambda d, p=postings: p.join(d.select("document_id", "log_offset"), ["document_id", "log_offset"], "left_semi"), n - size, n)
+            size *= self._fan
+        fs, where = self._at(f"head/{n:012d}")
+        fs.create(where, True).close()
+        self._clear(n)
+
+    def _clear(self, n: int) -> None:
+        held = {f"{first:012d}-{end:012d}" for m in range(max(1, n - self._keep), n + 1) for first, end in _runs(m, self._fan)}
+        for kind in ("documents", "postings"):
+            for name in self._names(kind):
+                if name not in held:
+                    fs, where = self._at(f"{kind}/{name}")
+                    fs.delete(where, True)
+        for name in self._names("head")[:-1]:
+            fs, where = self._at(f"head/{name}")
+            fs.delete(where, True)
+
+    def _live(self) -> tuple[DataFrame, DataFrame]:
+        if n := self.batches():
+            docs, postings = self._tables(_runs(n, self._fan))
+            return self._newest(docs), postings
+        empty = lambda schema: self._spark.createDataFrame([], schema)
+        return empty("document_id long, log_offset long, content string"), empty("term string, document_id long, tf long, log_offset long")
+
+    def documents(self) -> DataFrame:
+        """(document_id, content)"""
+        return self._live()[0].where("content is not null").select("document_id", "content")
+
+    def postings(self) -> DataFrame:
+        """(term, document_id, tf): postings of each document's last change."""
+        docs, postings = self._live()
+        return postings.join(docs.select("document_id", "log_offset"), ["document_id", "log_offset"], "left_semi").select("term", "document_id", "tf")
+
+
+def keep_index(outcomes: DataFrame, path: str, checkpoint: str, fan: int = 8):
+    """Start a query that keeps documents and postings under path from index_mutations."""
+    return subscribe(outcomes, KeptIndex(outcomes.sparkSession, path, fan).add, checkpoint)
+
+
+def kept_documents(spark: SparkSession, path: str, fan: int = 8) -> DataFrame:
     """(document_id, content) as keep_index left them."""
-    return _newest(spark, path).where("content is not null").select("document_id", "content")
+    return KeptIndex(spark, path, fan).documents()
 
 
-def kept_postings(spark: SparkSession, path: str) -> DataFrame:
-    """(term, document_id, tf) as keep_index left them: postings of each document's last change."""
-    schema = "term string, document_id long, tf long, log_offset long"
-    current = _newest(spark, path).select("document_id", "log_offset")
-    return spark.read.schema(schema).parquet(f"{path}/postings").join(current, ["document_id", "log_offset"], "left_semi").select("term", "document_id", "tf")
+def kept_postings(spark: SparkSession, path: str, fan: int = 8) -> DataFrame:
+    """(term, document_id, tf) as keep_index left them."""
+    return KeptIndex(spark, path, fan).postings()
 
 
 def dedup_messages(source: DataFrame, id_column: str = "event_id", time_column: str = "ts", horizon: str = "10 minutes") -> DataFrame:
@@ -225,3 +312,21 @@ def running_metrics(log: DataFrame, last: int = 500) -> DataFrame:
     schema = "node_id long, requests long, accepted long, rejected long, errors long, recent_p50_ms double, recent_p99_ms double"
     needed = log.select("node_id", "ts", "request_id", "success", "status_code", "latency_ms")
     return needed.groupBy("node_id").transformWithStateInPandas(_Totals(last), schema, "Update", "None")
+
+
+def write_visibility(writes: DataFrame, observations: DataFrame, timeout_s: int = 10, nodes: tuple[int, ...] = (1, 2), lateness: str = "10 seconds") -> DataFrame:
+    """audit.write_visibility over two streams; a write's row comes once the watermark is past its last moment.
+
+    Rows later than the lateness are dropped. State holds a write, or an observation, as a
+    digest of its content for about twice the timeout; a node that never showed the
+    write is in the outer row of the join.
+    """
+    moment = lambda c: F.col(c).cast("timestamp").alias(c)
+    w = writes.select("write_id", F.col("document_id").cast("long").alias("document_id"), D.content_key().alias("_key"), moment("t_write")).where("t_write is not null")
+    o = observations.select(F.col("document_id").cast("long").alias("_document"), D.content_key().alias("_seen_key"), "node_id", moment("t_seen")).where("t_seen is not null and _document is not null")
+    in_time = F.col("t_seen").between(F.col("t_write"), F.col("t_write") + F.expr(f"interval {2 * timeout_s} seconds"))
+    same = (F.col("document_id") == F.col("_document")) & (F.col("_key") == F.col("_seen_key"))
+    both = w.withWatermark("t_write", lateness).join(o.withWatermark("t_seen", lateness), same & in_time, "leftOuter")
+    first = [F.min(F.when(F.col("node_id") == n, F.unix_micros("t_seen"))).alias(f"_seen{n}") for n in (0, *nodes)]
+    found = both.groupBy("write_id", "document_id", "t_write").agg(*first)
+    return D.visibility_columns(found.withColumn("_t", F.unix_micros("t_write")), timeout_s, nodes)
