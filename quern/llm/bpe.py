@@ -181,7 +181,7 @@ def encode_documents(docs: DataFrame, name: str = "byte_bpe_50k.json", pattern:
         import public_tokenizers
 
         bpe = load_bpe(public_tokenizers.path(name), pattern or public_tokenizers.PATTERN)
-        hold_memo("bpe", bpe.memo.clear)
+        hold_memo("bpe", load_bpe.cache_clear)
         rows = []
         for x in texts:
             ids = bpe.encode(x or "")

@@ -208,6 +208,19 @@ def expected_counts(words: list[str], weights: np.ndarray, table: PieceTable, pr
     return total
 
 
+def _together(frames, rows: int = 10_000):
+    """The rows of short batches in longer ones, so that words are passed through in full batches."""
+    held, n = [], 0
+    for f in frames:
+        held.append(f)
+        n += len(f)
+        if n >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def train(labelled: DataFrame, name: str = "piece_bpe_32k.model", rows: int = TRAIN_ROWS, rounds: int = EM_ROUNDS, most_langs: int = TRAIN_LANGS) -> tuple[list[str], np.ndarray]:
     """Languages and their piece probabilities, from rows (doc_id, text, lang).
 
@@ -237,9 +250,9 @@ def train(labelled: DataFrame, name: str = "piece_bpe_32k.model", rows: int = TR
         now = prob
 
         def count(frames, now=now):
+            hold_memo("langid", _scorers.clear)
             own, total = load_table(name), {}
-            for f in frames:  # a batch of rows at a time
-                f = f.reset_index(drop=True)
+            for f in _together(frames):
                 for lang, part in f[f.word.map(lambda w: bool(WORDS.fullmatch(w)))].groupby("lang"):
                     found = expected_counts(part.word.tolist(), part.n.to_numpy(float), own, now[:, lang])
                     total[lang] = total.get(lang, 0) + found
