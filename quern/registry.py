@@ -13,6 +13,7 @@ from .operators import mutations as M
 from .operators import outbox as O  # noqa: E741
 from .operators import search as S
 from .operators import telemetry as T
+from .plans.storage import stored
 from .plans.views import view, with_views
 
 _QUERIES: dict = {}
@@ -624,6 +625,18 @@ def _(log):
     return T.latency_percentiles(log, "op")
 
 
+@query(
+    "sketch_percentiles",
+    "request_log",
+    "SELECT node_id, count(*) AS samples, min(latency_ms) AS min_ms, max(latency_ms) AS max_ms, true AS p50_near, true AS p95_near, true AS p99_near FROM request_log WHERE success AND latency_ms IS NOT NULL GROUP BY 1",
+)
+def _(log):
+    """Quantiles out of stored sketches, with the ranks of the log to hold them against: less than 1 % off."""
+    found = T.sketch_percentiles(stored(T.latency_sketches(log), "latency-sketches"), ("node_id",))
+    off = T.sketch_rank_errors(log, found, ("node_id",)).select("node_id", *[(F.col(m) < 0.01).alias(m.replace("_ms", "_near")) for m in T.PERCENTILES])
+    return found.join(off, "node_id").select("node_id", "samples", "min_ms", "max_ms", "p50_near", "p95_near", "p99_near")
+
+
 @query("run_summary", "request_log", f"SELECT rf, concurrency, {SUM} FROM request_log GROUP BY 1, 2")
 def _(log):
     return T.run_summary(log)

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import topic
 
+MUTATIONS = "documents.mutations"
 OUTBOX_STATUSES = ("PENDING", "DISPATCHING", "PUBLISHED", "FAILED")
 
 
@@ -89,18 +91,31 @@ def mutation_source(spark: SparkSession, options: dict[str, str] | None = None,
     """A stream of (topic, payload, offset) of the mutation topic, from its beginning.
 
     Each node reads the whole topic under its own checkpoint. format "kafka" needs the
-    connector's jar; "json" reads files of {"topic", "value", "offset"} lines.
+    connector's jar; "topic_log" reads a topic of sources.topic; "json" reads files of
+    {"topic", "value", "offset"} lines.
     """
     options = options or {}
+    if format == topic.FORMAT:
+        spark.dataSource.register(topic.TopicSource)
+        raw = spark.readStream.format(format).options(**options).load(path)
+        return raw.select(F.lit(MUTATIONS).alias("topic"), F.col("value").alias("payload"), "offset", "partition")
     if format == "kafka":
-        raw = spark.readStream.format("kafka").options(**{"subscribe": "documents.mutations", "startingOffsets": "earliest"} | options).load()
+        raw = spark.readStream.format("kafka").options(**{"subscribe": MUTATIONS, "startingOffsets": "earliest"} | options).load()
         return raw.select("topic", F.col("value").cast("string").alias("payload"), "offset", "partition")
     raw = spark.readStream.schema("topic string, value string, offset long, partition int").options(**options).format(format).load(path)
     return raw.select("topic", F.col("value").alias("payload"), "offset", "partition")
 
 
 def mutation_sink(events: DataFrame, checkpoint: str, options: dict[str, str] | None = None, format: str = "kafka", path: str | None = None):
-    """A started stream writer of (document_id, payload), keyed by document."""
-    out = events.select(F.col("document_id").cast("string").alias("key"), F.col("payload").alias("value"), F.lit("documents.mutations").alias("topic"))
-    writer = out.writeStream.format(format).option("checkpointLocation", checkpoint).options(**options or {}).trigger(availableNow=True)
+    """A started stream writer of (document_id, payload), keyed by document.
+
+    A topic_log is dealt into the option partitions, 3 if not given; the stream is known to it by its checkpoint.
+    """
+    options = dict(options or {})
+    out = events.select(F.col("document_id").cast("string").alias("key"), F.col("payload").alias("value"), F.lit(MUTATIONS).alias("topic"))
+    if format == topic.FORMAT:
+        events.sparkSession.dataSource.register(topic.TopicSource)
+        out = topic.records(events, "document_id", "payload", int(options.pop("partitions", 3)))
+        options.setdefault("writer", checkpoint)
+    writer = out.writeStream.format(format).option("checkpointLocation", checkpoint).options(**options).trigger(availableNow=True)
     return writer.start(path) if path else writer.start()

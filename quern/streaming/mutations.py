@@ -205,10 +205,11 @@ class _Deliver(StatefulProcessor):
     """Counts failed deliveries of a message until it is acknowledged or dead.
 
     A count is dropped once the watermark is a horizon past the message's last attempt.
+    With every, each attempt that counts is a row, with its topic and whatever its state.
     """
 
-    def __init__(self, most: int, keep_ms: int):
-        self._most, self._keep_ms = most, keep_ms
+    def __init__(self, most: int, keep_ms: int, every: bool = False):
+        self._most, self._keep_ms, self._every = most, keep_ms, every
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
@@ -217,20 +218,22 @@ class _Deliver(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         tries, until = self._tries.get() if self._tries.exists() else (0, 0)
         before, out = until, []
-        for seq, ok, at in sorted((r for f in rows for r in zip(f.seq, f.ok, f.ms, strict=True)), key=lambda r: r[0]):
+        for seq, ok, at, topic in sorted((r for f in rows for r in zip(f.seq, f.ok, f.ms, f.topic, strict=True)), key=lambda r: r[0]):
             until = max(until, int(at) + self._keep_ms)
             if tries < 0 or tries >= self._most:
                 continue
             tries += 1
             if ok:
-                out.append((int(key[0]), int(seq), tries, "Acknowledged"))
+                out.append((topic, int(key[0]), int(seq), tries, "Acknowledged"))
                 tries = -1
             elif tries >= self._most:
-                out.append((int(key[0]), int(seq), tries, "DeadLetter"))
+                out.append((topic, int(key[0]), int(seq), tries, "DeadLetter"))
+            elif self._every:
+                out.append((topic, int(key[0]), int(seq), tries, "Retry"))
         self._tries.update((tries, until))
         if until > before:
             self._handle.registerTimer(until)
-        yield pd.DataFrame(out, columns=["message_id", "seq", "attempts", "state"])
+        yield pd.DataFrame(out, columns=["topic", "message_id", "seq", "attempt", "state"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # a message that was tried again has a later timer too
@@ -242,16 +245,29 @@ class _Deliver(StatefulProcessor):
         pass
 
 
+def _delivered(attempts: DataFrame, most: int, horizon: str, keep_hours: float, every: bool) -> DataFrame:
+    schema = "topic string, message_id long, seq long, attempt long, state string"
+    timed = attempts.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", horizon)
+    timed = timed.select("message_id", "seq", "ok", "ts", F.unix_millis("ts").alias("ms"), F.col("topic") if every else F.lit(None).cast("string").alias("topic"))
+    return timed.groupBy("message_id").transformWithStateInPandas(_Deliver(most, int(keep_hours * 3_600_000), every), schema, "Append", "EventTime")
+
+
 def deliver(attempts: DataFrame, max_attempts: int = 3, horizon: str = "7 days", keep_hours: float = 168.0) -> DataFrame:
     """Final states of messages from a stream of attempts (message_id, seq, ok, ts).
 
     Attempts later than the horizon are dropped. A message is forgotten keep_hours after
     its last attempt, in the time of the stream; an attempt after that counts as a new one.
     """
-    schema = "message_id long, seq long, attempts long, state string"
-    timed = attempts.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", horizon)
-    timed = timed.select("message_id", "seq", "ok", "ts", F.unix_millis("ts").alias("ms"))
-    return timed.groupBy("message_id").transformWithStateInPandas(_Deliver(max_attempts, int(keep_hours * 3_600_000)), schema, "Append", "EventTime")
+    out = _delivered(attempts, max_attempts, horizon, keep_hours, False)
+    return out.select("message_id", "seq", F.col("attempt").alias("attempts"), "state")
+
+
+def delivery_attempts(attempts: DataFrame, max_attempts: int = 3, horizon: str = "7 days", keep_hours: float = 168.0) -> DataFrame:
+    """Each attempt of a stream (topic, message_id, seq, ok, ts) that counts: its number, and Acknowledged, DeadLetter or Retry.
+
+    Attempts after a message's end don't count; horizon and keep_hours are as in deliver.
+    """
+    return _delivered(attempts, max_attempts, horizon, keep_hours, True)
 
 
 def split_dead_letters(delivered: DataFrame, good_path: str, dead_path: str, checkpoint: str):
