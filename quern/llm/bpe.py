@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold_memo, read_table
+from .common import give_back, hold_memo, read_table
 
 #: The longest fragment, in characters, and the number of fragments that a worker remembers.
 MEMO_CHARS, MEMO_SIZE = 48, 400_000
@@ -156,7 +156,9 @@ class ForcedBoundaryBPE:
 
 @lru_cache(4)
 def load_bpe(path: str, pattern: str) -> ForcedBoundaryBPE:
-    return ForcedBoundaryBPE(path, pattern)
+    out = ForcedBoundaryBPE(path, pattern)
+    give_back()
+    return out
 
 
 def tokenizer_file(name: str) -> str:
@@ -180,8 +182,8 @@ def encode_documents(docs: DataFrame, name: str = "byte_bpe_50k.json", pattern:
     def coded(texts: pd.Series) -> pd.DataFrame:
         import public_tokenizers
 
+        hold_memo("bpe", load_bpe.cache_clear)  # what other stages hold goes before the vocabulary is read
         bpe = load_bpe(public_tokenizers.path(name), pattern or public_tokenizers.PATTERN)
-        hold_memo("bpe", load_bpe.cache_clear)
         rows = []
         for x in texts:
             ids = bpe.encode(x or "")
