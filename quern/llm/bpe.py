@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import give_back, hold_memo, read_table
 
 #: The longest fragment, in characters, and the number of fragments that a worker remembers.
-MEMO_CHARS, MEMO_SIZE = 48, 400_000
+MEMO_CHARS, MEMO_SIZE = 48, 100_000
 SPACE = " \t\n\r\x0b\x0c"
 #: White space outside ASCII, as the word pattern takes it.
 ODD_SPACE = "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
