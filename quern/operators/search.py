@@ -189,11 +189,16 @@ def live_shards(health: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pinned.select("shard_id"), searched
 
 
+def _in_shards(corpus: DataFrame, shards: DataFrame) -> DataFrame:
+    """corpus rows of shards (shard_id), which are a handful by design: dealt by shard, texts would fill as few tasks."""
+    return corpus.join(F.broadcast(shards), "shard_id", "left_semi")
+
+
 def partial_search(requests: DataFrame, corpus: DataFrame, health: DataFrame) -> DataFrame:
     """search_batch over what is reachable, with complete; n and df may come from different shards."""
     counted, searched = live_shards(health)
-    n = corpus.join(counted, "shard_id", "left_semi").agg(F.count(F.lit(1)).alias("n"))
-    postings = asked_postings(requests, corpus.join(searched, "shard_id", "left_semi"))
+    n = _in_shards(corpus, counted).agg(F.count(F.lit(1)).alias("n"))
+    postings = asked_postings(requests, _in_shards(corpus, searched))
     shards = health.select("shard_id").distinct().agg(F.count(F.lit(1)).alias("k"))
     whole = searched.agg(F.count(F.lit(1)).alias("s")).crossJoin(F.broadcast(shards)).select((F.col("s") == F.col("k")).alias("complete"))
     return search_batch(requests, postings, n).crossJoin(F.broadcast(whole))
