@@ -216,12 +216,12 @@ def failure_rows(requests: DataFrame, corpus: DataFrame, health: DataFrame) -> D
     dead = primary.join(counted, "shard_id", "left_anti")  # shards are a handful by design
     count_rows = valid.select("query_id").crossJoin(F.broadcast(dead)).select("query_id", "node_id", "shard_id", F.lit("count_failure").alias("category"), F.lit("").alias("term"))
     asked = valid.select("query_id", "mode", F.explode("terms").alias("term"))
-    postings = I.build_postings(corpus.join(searched, "shard_id", "left_semi"), terms=asked_terms(requests))
+    postings = I.build_postings(_in_shards(corpus, searched), terms=asked_terms(requests))
     found = postings.join(asked.select("term").distinct(), "term", "left_semi").select("term").distinct().withColumn("found", F.lit(True))
     asked = asked.join(found, "term", "left")
     stop = asked.where("mode = 'and' and found is null").groupBy("query_id").agg(F.min("term").alias("stop"))
     reached = asked.join(stop, "query_id", "left").where("stop is null or term <= stop")
-    n = corpus.join(counted, "shard_id", "left_semi").agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+    n = _in_shards(corpus, counted).agg(F.count(F.lit(1)).alias("n")).where("n > 0")
     unsearched = primary.join(searched, "shard_id", "left_anti")
     search_rows = reached.crossJoin(F.broadcast(unsearched)).crossJoin(F.broadcast(n)).select("query_id", "node_id", "shard_id", F.lit("search_failure").alias("category"), "term")
     return count_rows.unionByName(search_rows)

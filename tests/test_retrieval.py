@@ -1,5 +1,7 @@
 """Retrieval from blocks and bitmaps, modes, and the plans that they must keep."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 from quern import registry
@@ -127,3 +129,16 @@ def test_queries_have_rows_of_each_kind(spark, sf_dir):
 def test_requests_are_whole_texts(spark, sf_dir):
     texts = {r.text for r in view(spark, sf_dir, "documents").collect()}
     assert all(r.query in texts for r in view(spark, sf_dir, "query_batch").where("query_id > 100").collect())
+
+
+def test_texts_are_not_dealt_by_shard(spark, small):
+    """Shards are a handful, and are broadcast even where their size is not known."""
+    corpus = small.withColumn("shard_id", F.col("document_id") % 3)
+    health = spark.createDataFrame([(0, 0, 0, True, True), (1, 0, 1, False, False), (2, 0, 2, True, False)], "shard_id long, replica_rank int, node_id int, count_ok boolean, search_ok boolean")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = S.failure_rows(requests(spark, ("apple pear", "or", 5)), corpus, health)
+        assert not re.search(r"SortMergeJoin \[shard_id#\d+L?\], \[shard_id#\d+L?\], LeftSemi", plan(out))
+        assert out.count() == 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
