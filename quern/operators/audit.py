@@ -223,26 +223,36 @@ def replica_content_mismatch(inventory: DataFrame) -> DataFrame:
 DIGEST_BUCKETS = 4096
 
 
+def _prints(rows: DataFrame) -> DataFrame:
+    """rows with `print`, the SHA-256 of id and content in hex, in place of content: null differs from an empty text."""
+    text = F.concat_ws(":", F.col("document_id").cast("string"), F.coalesce(F.concat(F.lit("s"), "content"), F.lit("-")))
+    return rows.withColumn("print", F.sha2(text, 256)).drop("content")
+
+
+def _digests(copies: DataFrame, buckets: int) -> DataFrame:
+    part = lambda k: F.conv(F.substring("print", k, 15), 16, 10).cast("decimal(20,0)")
+    rows = copies.select("shard_id", F.col("node_id").cast("long").alias("node_id"), F.pmod(F.xxhash64("document_id"), F.lit(buckets)).alias("bucket"), part(1).alias("a"), part(16).alias("b"))
+    return rows.groupBy("shard_id", "node_id", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
 def replica_digests(copies: DataFrame, buckets: int = DIGEST_BUCKETS) -> DataFrame:
     """(shard_id, node_id, bucket, n, digest) of copies (shard_id, node_id, document_id, content).
 
     A digest is the sum of the hashes of the bucket's rows, in any order; sums add up to digests of
     nodes and shards. Hashes are cut to 128 bits' worth in two numbers of 60 bits, summed as decimals.
     """
-    hashed = F.sha2(F.concat_ws(":", F.col("document_id").cast("string"), F.coalesce(F.concat(F.lit("s"), "content"), F.lit("-"))), 256)
-    part = lambda k: F.conv(F.substring(hashed, k, 15), 16, 10).cast("decimal(20,0)")
-    rows = copies.select("shard_id", F.col("node_id").cast("long").alias("node_id"), F.pmod(F.xxhash64("document_id"), F.lit(buckets)).alias("bucket"), part(1).alias("a"), part(16).alias("b"))
-    return rows.groupBy("shard_id", "node_id", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return _digests(_prints(copies), buckets)
 
 
 def _expected_copies(corpus: DataFrame, nodes: int, replicas: int) -> DataFrame:
-    ranks = corpus.select("document_id", "content", "shard_id", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))).alias("r"))
-    return ranks.select("shard_id", F.pmod(F.col("shard_id") + F.col("r"), F.lit(nodes)).cast("long").alias("node_id"), "document_id", "content")
+    """(shard_id, node_id, document_id, print) as nodes should hold them; a text is hashed once, not for each copy."""
+    ranks = _prints(corpus.select("document_id", "content", "shard_id")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
+    return ranks.select("shard_id", F.pmod(F.col("shard_id") + F.col("r"), F.lit(nodes)).cast("long").alias("node_id"), "document_id", "print")
 
 
 def differing_buckets(corpus: DataFrame, inventory: DataFrame, nodes: int = 3, replicas: int = 2, buckets: int = DIGEST_BUCKETS) -> DataFrame:
     """(shard_id, node_id, bucket) in which what a node holds is not what it should hold, by digests alone."""
-    want = replica_digests(_expected_copies(corpus, nodes, replicas), buckets)
+    want = _digests(_expected_copies(corpus, nodes, replicas), buckets)
     have = replica_digests(inventory, buckets).select("shard_id", "node_id", "bucket", *[F.col(c).alias(f"_{c}") for c in ("n", "a", "b")])
     both = want.join(have, ["shard_id", "node_id", "bucket"], "full_outer")
     same = (F.col("n") == F.col("_n")) & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))
@@ -252,17 +262,17 @@ def differing_buckets(corpus: DataFrame, inventory: DataFrame, nodes: int = 3, r
 def replica_differences(corpus: DataFrame, inventory: DataFrame, nodes: int = 3, replicas: int = 2, buckets: int = DIGEST_BUCKETS) -> DataFrame:
     """(document_id, shard_id, node_id, difference): missing, unexpected or content.
 
-    Digests of buckets are compared first; rows are joined only in those that differ. An
-    id held twice by a node is reported for each row that does not fit.
+    Digests of buckets are compared first; rows are joined only in those that differ, and
+    carry the SHA-256 of their content, so no text is shuffled. An id held twice by a node
+    is reported for each row that does not fit.
     """
     differ = differing_buckets(corpus, inventory, nodes, replicas, buckets)
     keys = ["shard_id", "node_id", "bucket"]
     at = lambda df: df.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)))
-    want = at(_expected_copies(corpus, nodes, replicas)).join(differ, keys, "left_semi").select("shard_id", "node_id", "document_id", F.col("content").alias("want"), F.lit(True).alias("w"))
-    have = inventory.select("shard_id", F.col("node_id").cast("long").alias("node_id"), "document_id", "content")
-    have = at(have).join(differ, keys, "left_semi").select("shard_id", "node_id", "document_id", F.col("content").alias("have"), F.lit(True).alias("h"))
-    both = want.join(have, ["shard_id", "node_id", "document_id"], "full_outer")
-    what = F.when(F.col("h").isNull(), "missing").when(F.col("w").isNull(), "unexpected").when(~F.col("want").eqNullSafe(F.col("have")), "content")
+    cells = lambda df, name: at(df).join(differ, keys, "left_semi").select("shard_id", "node_id", "document_id", F.unhex("print").alias(name))
+    held = _prints(inventory.select("shard_id", F.col("node_id").cast("long").alias("node_id"), "document_id", "content"))
+    both = cells(_expected_copies(corpus, nodes, replicas), "want").join(cells(held, "have"), ["shard_id", "node_id", "document_id"], "full_outer")
+    what = F.when(F.col("have").isNull(), "missing").when(F.col("want").isNull(), "unexpected").when(F.col("want") != F.col("have"), "content")
     return both.select("document_id", "shard_id", "node_id", what.alias("difference")).where("difference is not null")
 
 

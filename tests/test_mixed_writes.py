@@ -1,6 +1,7 @@
 """Writes of mixed kinds against a plain fold, and audits by digests against a plain join."""
 
 import random
+import re
 
 from quern.operators import audit as D
 from quern.operators import mutations as M
@@ -78,6 +79,17 @@ def test_digests_find_every_difference(spark):
     assert D.differing_buckets(corpus, whole).count() == 0
 
 
+def test_differences_shuffle_no_texts(spark):
+    """Every bucket differs, and still only hashes are shuffled."""
+    corpus = spark.range(400).selectExpr("id AS document_id", "repeat(sha2(string(id), 512), 80) AS content", "id % 3 AS shard_id")
+    inventory = corpus.selectExpr("int(shard_id) AS node_id", "document_id", "shard_id", "content || '!' AS content")
+    out = D.replica_differences(corpus, inventory)
+    assert {r.difference: r["count"] for r in out.groupBy("difference").count().collect()} == {"content": 400, "missing": 400}
+    text = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
+    inputs = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", text)
+    assert inputs and not [x for x in inputs if "content#" in x]
+
+
 def test_ambiguous_placement(spark):
     corpus = spark.createDataFrame([(1, "a", 0), (2, "b", 1), (3, "c", 2)], "document_id long, content string, shard_id long")
     inventory = spark.createDataFrame([(0, 1, 0), (1, 1, 1), (1, 2, 1), (0, 3, 2)], "node_id int, document_id long, shard_id long")
