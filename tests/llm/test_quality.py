@@ -116,6 +116,25 @@ def test_bars_are_of_all_trusted_rows_above_the_bound(spark):
         assert 15 <= n_over <= 20
 
 
+def test_model_counts_all_trusted_rows_but_the_held_out(spark, monkeypatch):
+    class Stop(Exception):
+        pass
+
+    def seen(docs, trusted):
+        raise Stop(trusted.count())
+
+    docs = spark.range(24_000).selectExpr("id AS doc_id", "'en' AS lang", "'the cat' AS text")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    want = docs.where(F.expr(f"crc32(string(doc_id)) % {q.HELD_OUT} <> 0")).count()
+    monkeypatch.setattr(q, "perplexities", seen)
+    for ids in (10**6, 1):
+        monkeypatch.setattr(q, "BROADCAST_IDS", ids, raising=False)
+        try:
+            q.classify(docs, labels)
+        except Stop as e:
+            assert e.args == (want,)
+
+
 def test_nulls_blank_repeats_empty(spark):
     docs = spark.createDataFrame([(1, "en", "the cat", 5), (2, None, "the cat", 5), (3, "en", None, 5), (4, "en", " \n", 5), (None, "en", "the cat", 5), (1, "en", "the cat", 5), (9, "xx", "the cat", 5)], "doc_id long, lang string, text string, n int")
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 0, 0), (None, 1, 0), (9, 1, 1), (4, 1, None)], "doc_id long, quality int, toxic int")
