@@ -42,13 +42,20 @@ EVENT_SCHEMA = T.StructType(
 )
 
 
+#: The characters outside ASCII whose lower case has ASCII letters: dotted capital I and the Kelvin sign.
+ODD_CASE = "\u0130\u212a"
+
+
 def tokens(content: Column) -> Column:
     """Maximal runs of ASCII letters and digits, lower-cased, in order; null gives [].
 
-    The runs are taken first: lower-casing can turn other characters into ASCII ones.
+    A text is lower-cased as a whole, which is cheaper than each run; the characters that
+    would turn into ASCII ones are blanked before.
     """
-    found = F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0))
-    return F.transform(found, F.lower)
+    text = F.coalesce(content, F.lit(""))
+    odd = F.contains(text, F.lit(ODD_CASE[0])) | F.contains(text, F.lit(ODD_CASE[1]))
+    lowered = F.lower(F.when(odd, F.translate(text, ODD_CASE, " " * len(ODD_CASE))).otherwise(text))
+    return F.regexp_extract_all(lowered, F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def distinct_terms(content: Column) -> Column:

@@ -18,14 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions import text as X
 from ..plans.storage import new_path, stored
 from . import index as I
 from . import search as S
 
 #: Documents of a range, on average; ranges that the first pass may read for each request, above what its limit needs.
 RANGE_DOCS, SPARE_RANGES = 128, 2
-#: Length classes of one doubling of the number of tokens.
+#: Length classes of one doubling of the number of bytes.
 CLASSES = 4
 #: Bytes of blocks that one bucket file should hold, and the bytes that a document's postings are taken for.
 BUCKET_BYTES, DOC_BYTES = 256 << 20, 4096
@@ -59,7 +58,7 @@ class BlockIndex:
 
 def with_ranges(corpus: DataFrame) -> DataFrame:
     """corpus with `range`: a class of lengths and, inside it, one of as many parts as it has RANGE_DOCS documents."""
-    size = F.size(X.tokens(F.col("content")))
+    size = F.coalesce(F.octet_length("content"), F.lit(0))  # bytes tell the length as well as tokens do, and cost nothing
     classed = corpus.select("document_id", "content", F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double")) * CLASSES).cast("long").alias("_class"))
     # a row for each class: at most CLASSES times 31
     parts = corpus.sparkSession.createDataFrame([(r[0], max(1, -(-r[1] // RANGE_DOCS))) for r in classed.groupBy("_class").count().collect()], "_class long, _parts long")

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 from quern import registry
+from quern.functions import text as X
 from quern.operators import bitmaps as BM
 from quern.operators import blocks as B
 from quern.operators import index as I
@@ -142,3 +143,18 @@ def test_texts_are_not_dealt_by_shard(spark, small):
         assert out.count() == 5
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_texts_are_taken_apart_once(small):
+    """Weights and each way of their join read written postings; ranges of the index need no tokens."""
+    assert "regexp_extract_all" not in plan(I.tfidf_weights(I.build_postings(small), small))
+    assert "regexp_extract_all" not in plan(B.with_ranges(small))
+
+
+def test_tokens_are_lower_cased_as_runs(spark):
+    """Characters whose lower case is or has an ASCII letter stay outside of runs."""
+    texts = ["a\u0130B \u212aelvin 3\u212a", "\u00c4Pfel \u03a3A \ufb01N", "", None, "The THE the"]
+    df = spark.createDataFrame(list(enumerate(texts)), "document_id long, content string")
+    got = {r.document_id: r.t for r in df.select("document_id", X.tokens(F.col("content")).alias("t")).collect()}
+    assert got == {i: [t.lower() for t in re.findall("[A-Za-z0-9]+", x or "")] for i, x in enumerate(texts)}
+    assert "lambda" not in plan(df.select(X.tokens(F.col("content"))))
