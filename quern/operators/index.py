@@ -23,11 +23,10 @@ def build_postings(corpus: DataFrame, *keep: str, terms: list[str] | None = None
     at = F.when(F.size("tokens") > 0, F.sequence(F.lit(0), F.size("tokens") - 1))
     ends = F.filter(at, lambda i: (i == F.size("tokens") - 1) | (F.get("tokens", i) != F.get("tokens", i + 1)))
     runs = tokens.select("document_id", *keep, "tokens", ends.alias("ends"))
-    before = lambda k: F.coalesce(F.get("ends", k - 1), F.lit(-1))
-    run = F.transform("ends", lambda e, k: F.struct(F.get("tokens", e).alias("term"), (e - before(k)).cast("long").alias("tf")))
-    # explode_outer, as explode would bring a filter on the runs, for which each step is done again and again below
-    rows = runs.select("document_id", *keep, run.alias("run")).select("document_id", *keep, F.explode_outer("run").alias("run"))
-    return rows.where("run is not null").select("run.term", "document_id", "run.tf", *keep)
+    before = F.coalesce(F.get("ends", F.col("k") - 1), F.lit(-1))
+    # the outer form, as the other would bring a filter on the ends, for which each step is done again below
+    rows = runs.select("document_id", *keep, "tokens", "ends", F.posexplode_outer("ends").alias("k", "e")).where("e is not null")
+    return rows.select(F.get("tokens", F.col("e")).alias("term"), "document_id", (F.col("e") - before).cast("long").alias("tf"), *keep)
 
 
 def postings_lists(postings: DataFrame) -> DataFrame:
@@ -101,12 +100,12 @@ def join_terms(postings: DataFrame, stats: DataFrame, n: int) -> DataFrame:
 
 
 def tfidf_weights(postings: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(term, document_id, weight), weight = tf * ln(n / df). Statistics are counted once, from distinct terms of each document."""
-    terms = corpus.select(F.explode(F.array_distinct(X.tokens(F.col("content")))).alias("term"))
-    df = stored(terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
+    """(term, document_id, weight), weight = tf * ln(n / df). Postings are written once: statistics and each way of the join read them."""
+    postings = stored(postings.select("term", "document_id", "tf"), "postings")
+    df = stored(document_frequency(postings), "df")
     n = corpus.count()
-    weights = join_terms(postings, df, n)
-    return weights.select("term", "document_id", (F.col("tf") * F.log(F.lit(n) / F.col("df"))).alias("weight"))
+    weights = join_terms(postings, df.withColumn("idf", F.log(F.lit(n) / F.col("df"))), n)
+    return weights.select("term", "document_id", (F.col("tf") * F.col("idf")).alias("weight"))
 
 
 def write_postings(postings: DataFrame, path: str, files: int = 32) -> None:
