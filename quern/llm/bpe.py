@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import give_back, hold_memo, read_table
 
-#: The longest fragment, in characters, and the number of fragments that a worker remembers.
-MEMO_CHARS, MEMO_SIZE = 48, 100_000
+#: The longest fragment, in characters, and the number of fragments that a worker remembers: beside other operators, and by itself.
+MEMO_CHARS, MEMO_SIZE, OWN_MEMO_SIZE = 48, 100_000, 1_000_000
 SPACE = " \t\n\r\x0b\x0c"
 #: White space outside ASCII, as the word pattern takes it.
 ODD_SPACE = "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -65,6 +65,7 @@ class ForcedBoundaryBPE:
         self.odd = re.compile(f"[{ODD_SPACE}]")
         self.splits = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.memo: dict[str, bytes] = {}
+        self.memo_size = MEMO_SIZE
 
     def _cuts(self, text: str) -> list[str]:
         """Fragments of a text; their encodings in order are the text's."""
@@ -137,7 +138,7 @@ class ForcedBoundaryBPE:
             if ids is None:
                 ids = self._fragment(x)
                 if len(x) <= MEMO_CHARS:
-                    if len(memo) >= MEMO_SIZE:
+                    if len(memo) >= self.memo_size:
                         memo.clear()
                     memo[x] = ids
             out.append(ids)
@@ -168,12 +169,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encode_documents(docs: DataFrame, name: str = "byte_bpe_50k.json", pattern: str | None = None, with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, name: str = "byte_bpe_50k.json", pattern: str | None = None, with_ids: bool = True, memo_size: int = MEMO_SIZE) -> DataFrame:
     """docs with n_tokens, ids (binary, little-endian unsigned 32-bit), ids_sha256, decoded_sha256.
 
     A null text is an empty one and has no ids. Strings of special tokens in a text
     become those tokens. Rows stay in their partitions; other columns are kept, but
-    columns of the names above are replaced. with_ids=False leaves the ids out.
+    columns of the names above are replaced. with_ids=False leaves the ids out. memo_size:
+    the number of fragments that a worker remembers.
     """
     new = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
     kept = docs.drop("n_tokens", "ids", "ids_sha256", "decoded_sha256")
@@ -184,6 +186,7 @@ def encode_documents(docs: DataFrame, name: str = "byte_bpe_50k.json", pattern:
 
         hold_memo("bpe", load_bpe.cache_clear)  # what other stages hold goes before the vocabulary is read
         bpe = load_bpe(public_tokenizers.path(name), pattern or public_tokenizers.PATTERN)
+        bpe.memo_size = memo_size
         rows = []
         for x in texts:
             ids = bpe.encode(x or "")
@@ -208,4 +211,4 @@ def decode_documents(docs: DataFrame, name: str = "byte_bpe_50k.json") -> DataFr
 
 def op3_bpe_codec(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode_documents(docs, with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return encode_documents(docs, with_ids=False, memo_size=OWN_MEMO_SIZE).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -59,3 +59,13 @@ def test_nulls_clashing_columns_empty_table_and_decode(spark):
     rows = bpe.decode_documents(bpe.encode_documents(df)).collect()
     assert sorted((r.n_tokens, r.decoded_text) for r in rows) == [(0, ""), (0, ""), (2, "a b"), (2, "a b")]
     assert bpe.encode_documents(df.limit(0)).count() == 0
+
+
+def test_memory_of_fragments_follows_its_bound():
+    coder = bpe.ForcedBoundaryBPE(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    text = " ".join(f"{i:x}" for i in range(120_000))
+    want = coder.encode(text)
+    assert len(coder.memo) <= bpe.MEMO_SIZE
+    coder.memo_size = bpe.OWN_MEMO_SIZE
+    coder.memo.clear()
+    assert coder.encode(text) == want and len(coder.memo) >= 120_000
