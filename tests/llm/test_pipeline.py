@@ -112,3 +112,31 @@ def test_results_of_earlier_stages_can_still_be_read(spark, sf_dir):
     del held
     cp._sweep(spark)
     assert not [p for ref, p in cp._scratch if p == kept[0]]
+
+
+def test_stages_chained_before_anything_is_written(spark, sf_dir):
+    """The third result reads the second one's scratch tables when the fourth stage starts, though nobody holds the second."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, sf_dir)
+    assert rows(docs) == rows(cp.run(spark, sf_dir))
+    paths = next(paths for ref, paths in cp._scratch if ref() is docs)
+    assert len(paths) > 2
+    del docs
+    cp._sweep(spark)
+    assert not [p for _, kept in cp._scratch for p in kept if p in paths]
+
+
+def test_stages_chained_on_derived_frames(spark):
+    """A frame that was derived from a result keeps what it reads, though the result itself is gone."""
+    text = "the cat sat on the mat and the dog ran home"
+    shared = " ".join(f"alpha{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text, "en", "a", 9), (2, text + " again", "en", "a", 9), (3, "one " + shared, "en", "b", 1), (4, "two other words and then " * 9 + shared, "en", "b", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = df
+    for _, stage in cp.STAGES[1:4]:
+        docs = stage(spark, docs, "").where("doc_id > 0")
+    got = rows(docs)
+    held = [df]
+    for _, stage in cp.STAGES[1:4]:
+        held.append(stage(spark, held[-1], ""))
+    assert got == rows(held[-1]) and got
